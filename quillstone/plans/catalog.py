@@ -1,0 +1,6 @@
+"""Registered queries over the given tables, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
