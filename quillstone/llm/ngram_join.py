@@ -9,7 +9,9 @@ documents with frequent shingles take a larger l. A pair is verified only if it
 The order comes from a sketch of fixed size that counts the shingles of all documents; any order gives the same
 result, a good one gives fewer candidates. Documents with equal sets are one node. Groups of near copies do not
 become pairs: every node is first verified against one leader, the node it shares most prefix shingles with among
-those that come first in its buckets, and afterwards only pairs from different components are enumerated.
+those that come first in its buckets, and afterwards only pairs from different components are enumerated. Of
+those, pairs whose parity bitmaps differ in more bits than similar sets can differ in shingles are left out
+within the join (each shingle flips one bit of its set's bitmap, so the sets differ in as many shingles at least).
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WORDS = 5
 SKETCH_BITS, SKETCH_BLOCKS = 20, 64
 #: Values of l that a document chooses from, and the cost of a prefix row in candidates.
 MATCHES, ROW_COST = (1, 2, 3, 4), 1.0
+#: 64-bit words of a parity bitmap.
+PARITY_WORDS = 8
 #: Estimated documents of a shingle from which its bucket is dealt out over several tasks.
 HOT_DOCUMENTS = 50_000
 #: Ids of documents with an equal set elsewhere that may be broadcast.
@@ -92,20 +96,29 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    bits = np.bincount((shingles >> np.uint64(8)) % np.uint64(64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype("u1")).view("i8")
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row its number of shingles and a digest of the set, and at the end the task's part of the sketch."""
-    names = ["doc_id", "n_shingles", "digest", "block", "counts"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "n_shingles", "digest", *PARITY, "block", "counts"]
+    types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * PARITY_WORDS, pa.int32(), pa.binary()]
     sketch = np.zeros(1 << SKETCH_BITS, "u4")
     for b in batches:
         sets = shingle_sets(b.column(1).to_pylist())
         sketch += np.bincount(np.concatenate(sets or [np.zeros(0, "u8")]) >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS).astype("u4")
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         none = pa.nulls(b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        parity = np.array([_parity(s) for s in sets], "i8").reshape(len(sets), PARITY_WORDS)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), *[pa.array(parity[:, k]) for k in range(PARITY_WORDS)], none.cast(pa.int32()), none.cast(pa.binary())], names)
     parts = np.split(sketch, SKETCH_BLOCKS)
     used = [i for i, p in enumerate(parts) if p.any()]
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(used), t) for t in types[:3]] + [pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(used), t) for t in types[:-2]] + [pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names)
 
 
 def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +199,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    seen = stored(map_arrow(rows, _survey, "doc_id long, n_shingles long, digest binary, block int, counts binary"), "survey")
+    bitmap = "".join(f", {p} long" for p in PARITY)
+    seen = stored(map_arrow(rows, _survey, f"doc_id long, n_shingles long, digest binary{bitmap}, block int, counts binary"), "survey")
     parts = seen.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_added, "block int, counts binary").collect()
     counts = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), "u8")
     for p in parts:
         counts[p.block] = np.frombuffer(p.counts, "u8")
     held = spark.sparkContext.broadcast(Order(counts.ravel()))  # one byte a cell, whatever the input
 
-    whole = seen.where("block is null").select("doc_id", "n_shingles", "digest")
+    whole = seen.where("block is null").drop("block", "counts")
     first = whole.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = stored(whole.join(first.hint("merge"), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), "members")
+    members = stored(whole.join(first.hint("merge"), "digest", "left").select("doc_id", "n_shingles", *PARITY, F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), "members")
     others = stored(members.where("node is null or node != doc_id").select("doc_id").distinct(), "others")
     kind = "broadcast" if others.count() <= BROADCAST_IDS else "merge"
     nodes = rows.join(others.hint(kind), "doc_id", "left_anti")
@@ -218,13 +232,15 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = shared.drop("leader").join(named.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = stored(of, "placed")
     mixed = of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    rest = stored(of.join(mixed.hint("merge"), "token", "left_semi"), "mixed")
+    maps = members.where("node = doc_id").select("node", F.col("n_shingles").cast("int").alias("size"), *PARITY).dropDuplicates(["node", "size"])
+    rest = stored(of.join(mixed.hint("merge"), "token", "left_semi").join(maps.hint("merge"), ["node", "size"]), "mixed")
     x = rest.where("place < size - ceil(6 * size / 7.0) + least").alias("x")
     y = rest.alias("y").hint("merge")
     need = F.expr("ceil(3 * (x.size + y.size) / 7.0)")
     able = F.expr("least(x.place, y.place) + least(x.size - x.place, y.size - y.place)") >= need
     pair = F.expr("x.token = y.token and x.component != y.component and (x.size < y.size or x.size = y.size and x.node < y.node) and 4 * x.size >= 3 * y.size") & able
-    met = x.join(y, pair).select(
+    differ = F.expr(" + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY)) <= F.expr("x.size + y.size") - 2 * need
+    met = x.join(y, pair & differ).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.expr("least(x.least, y.least)").alias("least"), need.alias("need"),
         F.expr("struct(x.place as p, least(x.size - x.place, y.size - y.place) as room)").alias("at"),
     )
@@ -241,6 +257,7 @@ def components(docs: DataFrame) -> DataFrame:
     any of its texts count. An empty table gives no rows; other columns are not read.
     """
     members, edges = links(docs)
+    members = members.select("doc_id", "n_shingles", "node")
     # a node is linked with the other ids of its set through them; an id with several texts joins their nodes
     own = members.where("node is not null and node != doc_id").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     twice = own.groupBy("src").agg(F.count_distinct("dst").alias("n")).where("n > 1").select("src")
