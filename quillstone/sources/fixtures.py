@@ -26,9 +26,9 @@ CTES = {
             FROM fx_base WHERE (pk + ln) % 7 <> 0
             UNION ALL SELECT image_id, k, 1, 10, 10, 210, 160, 'artifact', 50 FROM fx_base WHERE k = 0 AND image_id % 6 = 0) p
       WHERE image_id % 10 <> 0""",
-    "fx_rewards": """SELECT event_id AS sample_id, user_id AS unique_id, 'value' AS reward_name, value / 100.0 AS reward FROM events
-      UNION ALL SELECT event_id, user_id, 'key', event_id * 17 % 23 / 23.0 FROM events
-      UNION ALL SELECT event_id, user_id, 'type', length(event_type) * 1.0 FROM events""",
+    "fx_rewards": """SELECT event_id AS sample_id, user_id AS unique_id, 'value' AS reward_name, value / 100e0 AS reward FROM events
+      UNION ALL SELECT event_id, user_id, 'key', event_id * 17 % 23 / 23e0 FROM events
+      UNION ALL SELECT event_id, user_id, 'type', length(event_type) * 1e0 FROM events""",
 }
 NEEDS = {"fx_images": [], "fx_base": [], "fx_gt": ["fx_base"], "fx_pred": ["fx_base"], "fx_rewards": []}
 
