@@ -41,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids (8 bytes each) that may be broadcast to pick rows of a table by.
+BROADCAST_IDS = 200_000
+
+
+def join_kind(ids: DataFrame) -> str:
+    """Hint for a join with a stored table of ids: broadcast where they are few, else a sort-merge join."""
+    return "broadcast" if ids.count() <= BROADCAST_IDS else "merge"
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)

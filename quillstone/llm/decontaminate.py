@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_arrow, stored
+from quillstone.llm.common import join_kind, map_arrow, stored
 
 #: An item may have one edit in this many characters.
 CHARS_PER_EDIT = 15
@@ -149,4 +149,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id has a test item in it; columns as they were."""
     leaks = stored(contamination(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks.hint("merge"), docs["doc_id"] == F.col("__leak"), "left_anti")
+    return docs.join(leaks.hint(join_kind(leaks)), docs["doc_id"] == F.col("__leak"), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_arrow, stored
+from quillstone.llm.common import join_kind, map_arrow, stored
 
 #: Distinct fingerprints that one merged part of the filter holds at about most.
 PART_FINGERPRINTS = 200_000
@@ -140,5 +140,6 @@ def drop_exact(docs: DataFrame) -> DataFrame:
 
     Rows with the same doc_id and text are repeats of one row: all stay or all go.
     """
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    marks = exact_groups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = stored(marks.where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+    return docs.join(gone.hint(join_kind(gone)), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.llm import textbytes
-from quillstone.llm.common import map_arrow, stored
+from quillstone.llm.common import join_kind, map_arrow, stored
 from quillstone.llm.components import components as connected
 
 WORDS = 5
@@ -38,8 +38,6 @@ MATCHES, ROW_COST = (1, 2, 3, 4), 1.0
 PARITY_WORDS = 8
 #: Estimated documents of a shingle from which its bucket is dealt out over several tasks.
 HOT_DOCUMENTS = 50_000
-#: Ids of documents with an equal set elsewhere that may be broadcast.
-BROADCAST_IDS = 200_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -185,8 +183,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(src, dst) of the pairs (a, b) of ids whose texts are similar; the texts are compared whole."""
     named = stored(pairs, "pairs")
-    ids = named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
+    ids = stored(named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = stored(docs.select("doc_id", "text").join(ids.hint(join_kind(ids)), "doc_id", "left_semi"), "texts")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     both = named.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return map_arrow(both, _similar, "src long, dst long")
@@ -211,8 +209,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = whole.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     members = stored(whole.join(first.hint("merge"), "digest", "left").select("doc_id", "n_shingles", *PARITY, F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), "members")
     others = stored(members.where("node is null or node != doc_id").select("doc_id").distinct(), "others")
-    kind = "broadcast" if others.count() <= BROADCAST_IDS else "merge"
-    nodes = rows.join(others.hint(kind), "doc_id", "left_anti")
+    nodes = rows.join(others.hint(join_kind(others)), "doc_id", "left_anti")
 
     # buckets: rows of prefixes that share a shingle
     made = map_arrow(nodes, _prefixes(held), "token long, node long, place int, size int, least int, salts int")
@@ -271,4 +268,4 @@ def drop_near(docs: DataFrame) -> DataFrame:
     """docs without the rows whose group has a smaller doc_id; columns as they were."""
     gone = components(docs).where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = stored(gone, "gone")
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint(join_kind(gone)), docs["doc_id"] == F.col("__gone"), "left_anti")
