@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import paths, text
 from quillstone.functions.geometry import box, diou, iou
 from quillstone.operators import advantage, matching, metrics, rows, spatial
-from quillstone.plans import oracles
+from quillstone.plans import oracles, replies
 from quillstone.sources.fixtures import fixture
 from quillstone.sources.tables import read_table
 
@@ -305,4 +305,5 @@ def g06_strip_think(spark, sf_dir):
     return d.select("conv_id", "turn", F.md5(text.strip_think(t)).alias("digest"))
 
 
-ORACLE_SQL = oracles.ORACLE_SQL
+QUERIES |= replies.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | replies.ORACLE_SQL
