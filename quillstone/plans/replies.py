@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.functions import responses
-from quillstone.operators import assignment, boxes
+from quillstone.functions import paths, records, responses
+from quillstone.operators import assignment, boxes, rows
 from quillstone.sources import files
 from quillstone.sources.fixtures import fixture, with_clause
 from quillstone.sources.tables import read_table
@@ -44,7 +44,7 @@ def _parse_query(policy: str):
     def run(spark, sf_dir):
         parsed = replies(spark, sf_dir).select("image_id", responses.POLICIES[policy](F.col("reply")).alias("b"))
         total = F.aggregate("b", F.lit(0.0), lambda s, b: s + b["box_2d"][0] + 2 * b["box_2d"][3] + b["importance"])
-        return parsed.select("image_id", F.when(F.col("b").isNotNull(), F.size("b")).alias("n"), total.cast("long").alias("check"))
+        return parsed.select("image_id", F.when(F.col("b").isNotNull(), F.size("b")).cast("long").alias("n"), total.cast("long").alias("check"))
 
     return run
 
@@ -112,8 +112,8 @@ def s08_appended(spark, sf_dir):
 
 
 def _events(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # a pattern, as a stream does not take the path of a single file
+    return spark.readStream.schema(read_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 @query
@@ -137,7 +137,57 @@ def t03_appended_once(spark, sf_dir):
     return read("ok").unionByName(read("failed"))
 
 
-GT, PRED = with_clause("fx_gt"), with_clause("fx_pred")
+TEMPLATE = 'Find defects of "{caption}" as {{"box_2d": []}}'
+
+
+@query
+def r01_prompts(spark, sf_dir):
+    return fixture(spark, sf_dir, "fx_images").select("image_id", records.filled(TEMPLATE, F.col("caption")).alias("prompt"))
+
+
+@query
+def r02_sft_reasons(spark, sf_dir):
+    both = fixture(spark, sf_dir, "fx_images").select("image_id", "caption").join(replies(spark, sf_dir), "image_id", "left")
+    valid = records.valid_boxes(responses.parse_eval(F.col("reply")))
+    reason = F.coalesce(records.sft_reason(F.col("caption"), F.col("reply"), valid), F.lit("ok"))
+    return both.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def m07_reply_quality(spark, sf_dir):
+    r = replies(spark, sf_dir).select("image_id", F.when(F.col("image_id") % 5 == 0, F.concat(F.repeat(F.lit("7"), 200), "reply")).when(F.col("image_id") % 11 == 0, F.repeat(F.lit("\ufffd"), 101)).otherwise(F.col("reply")).alias("reply"))
+    kind = F.when(records.degenerate(F.col("reply")), "degenerate").when(responses.parse_eval(F.col("reply")).isNull(), "failed").otherwise("parsed")
+    return r.where("image_id % 5 != 0 or image_id % 8 = 6").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def m02_class_confusion(spark, sf_dir):
+    """Image-level confusion of each class; ``both`` counts in each."""
+    classes = F.explode(F.when(F.col("label") == "both", F.array(F.lit("artifact"), F.lit("misalignment"))).otherwise(F.array("label"))).alias("class")
+    has = lambda n: fixture(spark, sf_dir, n).select("image_id", classes).groupBy("image_id", "class").agg(F.lit(1).alias(n))
+    every = fixture(spark, sf_dir, "fx_images").select("image_id", F.explode(F.array(F.lit("artifact"), F.lit("misalignment"))).alias("class"))
+    t = every.join(has("fx_gt"), ["image_id", "class"], "left").join(has("fx_pred"), ["image_id", "class"], "left").na.fill(0)
+    n = lambda g, p: F.count_if((F.col("fx_gt") == g) & (F.col("fx_pred") == p))
+    return t.groupBy("class").agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
+
+
+@query
+def j05_common_images(spark, sf_dir):
+    images = fixture(spark, sf_dir, "fx_images").select("filepath", "image_id")
+    method = lambda k: images.where(F.col("image_id") % k != 0).select("filepath", F.concat(F.lit(f"m{k}_"), paths.basename(F.col("filepath"))).alias(f"m{k}"))
+    return method(3).join(method(4), "filepath").join(method(5), "filepath")
+
+
+@query
+def j12_numbered_outputs(spark, sf_dir):
+    """Line i with the output %04d.png; lines without an output are dropped."""
+    images = fixture(spark, sf_dir, "fx_images").select("image_id", "caption")
+    lines = rows.global_index(images, F.col("image_id")).withColumn("file", F.format_string("%04d.png", "index"))
+    done = images.select(F.format_string("%04d.png", F.col("image_id")).alias("file")).where("file not like '%7.png'")
+    return lines.join(done, "file").select("image_id", "file")
+
+
+GT, PRED, IMAGES = (with_clause(n) for n in ("fx_gt", "fx_pred", "fx_images"))
 
 
 def _parse_sql(policy: str) -> str:
@@ -165,6 +215,19 @@ ORACLE_SQL = {name: _parse_sql(policy) for policy, name in NAMES.items()} | {
     "g09_pixels": f"""{GT}, p AS (SELECT image_id, gt_idx, x0 * 37 // 1000 AS x0, y0 * 53 // 1000 AS y0, x1 * 37 // 1000 AS x1, y1 * 53 // 1000 AS y1 FROM fx_gt) SELECT * FROM p WHERE x0 < x1 AND y0 < y1""",
     "g14_jitter": f"""{GT}, e AS (SELECT *, unnest([0, 1, 2]) AS epoch FROM fx_gt), m AS (SELECT epoch, image_id, gt_idx, {", ".join(map(_shift, ("x0", "y0", "x1", "y1")))} FROM e)
         SELECT epoch, image_id, gt_idx, {_side("x0", "x1")}, {_side("y0", "y1")} FROM m""",
+    "r01_prompts": f"""{IMAGES} SELECT image_id, concat('Find defects of "', caption, '" as {{"box_2d": []}}') AS prompt FROM fx_images""",
+    "r02_sft_reasons": f"""{with_clause("fx_images", "fx_pred")}, p AS (SELECT image_id, count(*) FILTER (x0 >= x1 OR y0 >= y1 OR x1 > 1000 OR y1 > 1000) AS bad FROM fx_pred GROUP BY 1)
+        SELECT CASE WHEN bad IS NULL THEN 'missing_field' WHEN image_id % 8 IN (4, 5, 6) THEN 'missing_think_block' WHEN bad > 0 AND image_id % 8 <> 7 THEN 'invalid_bbox' ELSE 'ok' END AS reason, count(*) AS n
+        FROM fx_images LEFT JOIN p USING (image_id) GROUP BY 1""",
+    "m07_reply_quality": f"""{PRED}, i AS (SELECT DISTINCT image_id FROM fx_pred WHERE image_id % 5 <> 0 OR image_id % 8 = 6)
+        SELECT CASE WHEN image_id % 5 = 0 OR image_id % 11 = 0 THEN 'degenerate' WHEN image_id % 8 IN (4, 6) THEN 'failed' ELSE 'parsed' END AS kind, count(*) AS n FROM i GROUP BY 1""",
+    "m02_class_confusion": f"""{with_clause("fx_images", "fx_gt", "fx_pred")}, c AS (SELECT unnest(['artifact', 'misalignment']) AS class),
+        t AS (SELECT class, EXISTS (SELECT 1 FROM fx_gt g WHERE g.image_id = i.image_id AND g.label IN (class, 'both')) AS g, EXISTS (SELECT 1 FROM fx_pred p WHERE p.image_id = i.image_id AND p.label IN (class, 'both')) AS p FROM fx_images i, c)
+        SELECT class, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM t GROUP BY 1""",
+    "j05_common_images": f"""{IMAGES}, b AS (SELECT *, string_split(filepath, '/')[-1] AS name FROM fx_images) SELECT filepath, concat('m3_', name) AS m3, concat('m4_', name) AS m4, concat('m5_', name) AS m5
+        FROM b WHERE image_id % 3 <> 0 AND image_id % 4 <> 0 AND image_id % 5 <> 0""",
+    "j12_numbered_outputs": f"""{IMAGES}, l AS (SELECT image_id, printf('%04d.png', row_number() OVER (ORDER BY image_id) - 1) AS file FROM fx_images)
+        SELECT image_id, file FROM l WHERE file IN (SELECT printf('%04d.png', image_id) FROM fx_images) AND file NOT LIKE '%7.png'""",
     "s03_jsonl_round_trip": "SELECT doc_id, lang, md5(text) AS digest FROM documents",
     "s08_appended": "SELECT doc_id, CASE WHEN lang = 'en' THEN 'ok' ELSE 'failed' END AS part FROM documents",
     "t01_complete_groups": f"SELECT user_id AS unique_id, count(*) // {GROUP} AS groups, count(*) // {GROUP} * {GROUP} AS members FROM events GROUP BY 1 HAVING count(*) >= {GROUP}",
