@@ -72,7 +72,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         space = _SPACE[codes]
         first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         after = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        up, down = _powers(1 << max(22, int(len(codes)).bit_length()))
+        up, down = _powers(1 << max(20, int(len(codes)).bit_length()))
         total = np.zeros(len(codes) + 1, "u8")
         np.cumsum(_BYTE[codes] * up[: len(codes)], out=total[1:])
         word = _mix((total[after] - total[first]) * down[first] + (after - first).astype("u8"))

@@ -28,7 +28,7 @@ from quillstone.llm.common import map_arrow
 
 MARK = "▁"
 #: Chunks that a worker remembers; the table is emptied when it is full.
-CHUNKS_HELD = 800_000
+CHUNKS_HELD = 400_000
 #: Chunks of more characters are not remembered.
 LONGEST_HELD = 64
 NONE = np.iinfo("i8").max

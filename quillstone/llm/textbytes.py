@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Texts are taken together up to about this many bytes.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
