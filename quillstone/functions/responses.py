@@ -84,3 +84,13 @@ def parse_snippet(text: Column) -> Column:
 
 
 POLICIES = {"eval": parse_eval, "reward": parse_reward, "labels": parse_labels, "repair": parse_repair, "snippet": parse_snippet}
+
+
+def format_gate(text: Column) -> Column:
+    """Whether a reply has a think block and an answer whose boxes are four ordered numbers with a description."""
+    def fits(b: Column) -> Column:
+        c = b["box_2d"]
+        return (F.size(c) == 4) & (F.get(c, F.lit(0)) < F.get(c, F.lit(2))) & (F.get(c, F.lit(1)) < F.get(c, F.lit(3))) & b["description"].isNotNull()
+
+    boxes = F.forall(parse_reward(text), lambda b: F.coalesce(fits(b), F.lit(False)))
+    return F.coalesce(text.contains("<think>") & boxes, F.lit(False))

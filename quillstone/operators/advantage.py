@@ -52,3 +52,33 @@ def group_diagnostics(scalars: DataFrame) -> DataFrame:
 def wrong_groups(samples: DataFrame, k: int) -> DataFrame:
     """Groups that do not have k members."""
     return samples.groupBy("unique_id").agg(F.count("*").alias("n")).where(F.col("n") != k)
+
+
+def cell_advantage(samples: DataFrame, penalties: DataFrame, least_deviation: float = FLOOR) -> DataFrame:
+    """(sample_id, unique_id, y, x, advantage) at the cells that a sample's penalty map covers.
+
+    The reward of a cell is minus its penalty, 0 where a sample has none, so groups are summed over covered
+    cells and divided by their whole size. Sample deviation, least_deviation at least; null in a group of one.
+    samples: (sample_id, unique_id); penalties: (sample_id, y, x, penalty).
+    """
+    cells = penalties.join(samples, "sample_id").withColumn("r", -F.col("penalty"))
+    sizes = samples.groupBy("unique_id").agg(F.count("*").alias("k"))
+    sums = cells.groupBy("unique_id", "y", "x").agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    mean, k = F.col("s") / F.col("k"), F.col("k")
+    variance = F.greatest((F.col("q") - F.col("s") * mean) / F.when(k > 1, k - 1), F.lit(0.0))
+    moments = sums.join(sizes, "unique_id").select("unique_id", "y", "x", mean.alias("mean"), F.when(k > 1, F.greatest(F.sqrt(variance), F.lit(least_deviation))).alias("sd"))
+    return cells.join(moments, ["unique_id", "y", "x"]).select("sample_id", "unique_id", "y", "x", ((F.col("r") - F.col("mean")) / F.col("sd")).alias("advantage"))
+
+
+def not_antisymmetric(preferences: DataFrame) -> DataFrame:
+    """(i, j) with i < j whose values (i, j, value), 0 or 1, do not add up to 1; a missing side counts as 0."""
+    one = preferences.where("i < j").select("i", "j", F.col("value").alias("a"))
+    other = preferences.where("i > j").select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("value").alias("b"))
+    return one.join(other, ["i", "j"], "full_outer").where("coalesce(a, 0) + coalesce(b, 0) != 1").select("i", "j")
+
+
+def intransitive(preferences: DataFrame) -> DataFrame:
+    """(i, j, k), all distinct, where i is preferred to j and j to k but not i to k."""
+    over = preferences.where("value = 1 and i != j").select("i", "j")
+    chains = over.join(over.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").where("i != k")
+    return chains.join(over.select("i", F.col("j").alias("k")), ["i", "k"], "left_anti").select("i", "j", "k")

@@ -47,3 +47,17 @@ def jitter(boxes: DataFrame, epochs: int, most: int, seed: str, *key: str) -> Da
         out[a] = F.when(flat & (high >= EXTENT), low - 1).otherwise(low)
         out[b] = F.when(flat & (high < EXTENT), high + 1).otherwise(high)
     return rows.withColumns(out).drop(*[f"_{s}" for s in SIDES])
+
+
+def smart_resize(height: Column, width: Column, factor: int = 32, least: int = 256 * 32 * 32, most: int = 1280 * 32 * 32) -> Column:
+    """struct(height, width): sides as multiples of factor, within a pixel budget; null above an aspect of 200.
+
+    Sides are rounded half to even; where the budget is missed both are scaled by one ratio and rounded down.
+    """
+    h, w = height.cast("double"), width.cast("double")
+    near = lambda side: F.greatest(F.bround(side / factor), F.lit(1.0)) * factor
+    down = lambda side: F.greatest(F.floor(side / factor), F.lit(1)) * factor
+    pixels = near(h) * near(w)
+    shrink, grow = F.sqrt(h * w / most), F.sqrt(least / h / w)
+    side = lambda s: F.when(pixels > most, down(s / shrink)).when(pixels < least, down(s * grow)).otherwise(near(s)).cast("long")
+    return F.when(F.greatest(h, w) <= 200 * F.least(h, w), F.struct(side(h).alias("height"), side(w).alias("width")))

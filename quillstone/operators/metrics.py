@@ -40,3 +40,22 @@ def count_metrics(counts: DataFrame) -> DataFrame:
         F.count("*").alias("n_images"), F.sum(g).alias("total_gt"), F.sum(p).alias("total_pred"), F.round(F.avg(g), 6).alias("mean_gt"), F.round(F.avg(p), 6).alias("mean_pred"),
         F.round(F.avg(F.abs(g - p)), 6).alias("mae"), F.round(F.avg((g == p).cast("double")), 6).alias("exact_share"), F.round(F.when(flat, 0.0).otherwise(F.corr(g, p)), 6).alias("pearson"),
     )
+
+
+def description_similarity(pairs: DataFrame, *keys: str, shares: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
+    """Mean, median and shares at or above each threshold of the column ``similarity`` of matched pairs, for each value of keys."""
+    s = F.col("similarity")
+    reached = [F.round(F.avg((s >= t).cast("double")), 6).alias(f"share_{round(100 * t)}") for t in shares]
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("mean"), F.round(F.percentile(s, 0.5), 6).alias("median"), *reached)
+
+
+def detection_aware_mean(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Mean over all images of the total similarity over the larger box count; counts: image_id, n_gt, n_pred."""
+    total = pairs.groupBy("image_id").agg(F.sum("similarity").alias("total"))
+    per = F.coalesce("total", F.lit(0.0)) / F.greatest("n_gt", "n_pred", F.lit(1))
+    return counts.join(total, "image_id", "left").agg(F.count("*").alias("n_images"), F.round(F.avg(per), 6).alias("mean"))
+
+
+def severity(importance: Column, cuts: tuple[float, float] = (40, 70)) -> Column:
+    """Negligible, moderate or critical by the cut points; null stays null."""
+    return F.when(importance < cuts[0], "negligible").when(importance < cuts[1], "moderate").when(importance.isNotNull(), "critical")

@@ -52,3 +52,22 @@ def route_keywords(df: DataFrame, column: str, keywords: list[str]) -> DataFrame
     """A row for each keyword that the column contains, whatever the case, as column route."""
     hits = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(F.col(column)), k))
     return df.withColumn("route", F.explode(hits))
+
+
+def mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, n_left, n_right) of the keys that two tables do not hold equally often; empty where they are aligned."""
+    n = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return n(left, "n_left").join(n(right, "n_right"), key, "full_outer").select(key, zero("n_left"), zero("n_right")).where("n_left != n_right")
+
+
+def repeat_manifest(prompts: DataFrame, key: str, m: int, k: int, ranks: int, batch: int, seed: str) -> DataFrame:
+    """(key, copy, iteration, rank, slot): m prompts by hash order, k copies each, shuffled and dealt out.
+
+    The last iteration may be short. Copies are m * k rows, whatever the size of prompts.
+    """
+    chosen = keyed_sample(prompts.select(key), m, seed, F.col(key))
+    copies = chosen.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    placed = global_index(copies.withColumn("_h", hash_order(f"{seed}|deal", F.col(key), F.col("copy"))), F.col("_h"), F.col(key), F.col("copy"))
+    at = F.col("index")
+    return placed.select(key, "copy", F.floor(at / (ranks * batch)).alias("iteration"), F.floor(at % (ranks * batch) / batch).alias("rank"), (at % batch).alias("slot"))
