@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import dataset_remainder
 from quillstone.llm import decontaminate, exact_dedup, langid, ngram_join, personal_data, quality, queries, sentencepieces, toxicity, url_filters, warc
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -441,8 +442,11 @@ def test_same_rows_as_sql(spark):
         pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True), check_dtype=False)
 
 
-def test_split_is_crc32():
-    assert zlib.crc32(b"12") % 5 == 2
+def test_split_is_crc32(spark):
+    rows = spark.range(0, 100_000, 997).select(F.col("id").alias("doc_id"))
+    for m in (4, 5):
+        got = rows.select("doc_id", dataset_remainder("doc_id", m).alias("r")).collect()
+        assert all(x.r == zlib.crc32(str(x.doc_id).encode()) % m for x in got)
 
 
 def test_pipeline(spark):
