@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -256,6 +257,36 @@ def test_personal_data_takes_out_what_reveals(spark):
     assert "[EMAIL]" in clean[0].sanitised and "Zorbatron" not in clean[0].sanitised and clean[10].sanitised == texts[10]
 
 
+def revealing_spans(texts):
+    """For each text (start, end) of the words that reveal a value of it, a coarser entity or a kind."""
+    part = {"email": lambda v: v.split("@")[-1].lower(), "phone": lambda v: re.sub("[^0-9]", "", v)[:5], "card": lambda v: re.sub("[^0-9]", "", v)[:6], "ip": lambda v: ".".join(v.split(".")[:2])}
+    base = [plain_spans(t) for t in texts]
+    entities = [{e for a, _, z, k in b for e in ((k, t[a:z]), (k, "part", part[k](t[a:z])), k)} for t, b in zip(texts, base)]
+    words = [{m[0].lower() for m in re.finditer(r"[^\W\d_]{2,}", t)} for t in texts]
+    n_e, n_t = (collections.Counter(x for s in sets for x in s) for sets in (entities, words))
+    n_te = collections.Counter((e, t) for es, ts in zip(entities, words) for e in es for t in ts)
+    n = len(texts)
+    told = {(e, t) for (e, t), k in n_te.items() if n_e[e] < n and k >= 0.6 * n_e[e] and math.log2(k * n / (n_t[t] * n_e[e])) / math.log2(n / n_e[e]) >= 0.8}
+    return [sorted({(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{2,}", t) if any((e, m[0].lower()) in told for e in es) and not any(a < m.end() and m.start() < z for a, _, z, _ in b)}) for t, es, b in zip(texts, entities, base)]
+
+
+def test_personal_data_takes_out_all_that_reveals(spark):
+    filler = "one two three four five six seven eight nine ten eleven twelve "
+    texts = [
+        "Quorvex " + filler * 20 + "call +1 456 555 2186 now " + filler + "quorvex é🙂 Quorvex end",  # a value in one document, terms far away
+        filler + "a.b@firm.example badge " + filler, filler + "c.d@firm.example " + filler + "Badge", filler + "e.f@other.example " + filler,  # terms of a domain
+        "mailto " + filler + "g@h.io", "mailto " + filler + "i@j.io twice i@j.io", "badge 10.0.0.7 " + filler, *[filler + f"word{i}" for i in range(200)],
+    ]
+    rows = by_id(personal_data.summary(frame(spark, texts)))
+    want = revealing_spans(texts)
+    for i in range(len(texts)):
+        got = sorted((int(a), int(z)) for k, a, z in (x.split(":") for x in rows[i].spans.split(",") if x) if k in ("term", "gen"))
+        assert got == want[i], texts[i]
+    assert all(want[i] for i in (0, 1, 2)) and not any(want[7:])
+    clean = by_id(personal_data.sanitise(frame(spark, texts)))
+    assert "uorvex" not in clean[0].sanitised and "adge" not in clean[1].sanitised + clean[2].sanitised
+
+
 # 7 --------------------------------------------------------------------------------------------------------------
 
 
