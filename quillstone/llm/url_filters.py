@@ -39,17 +39,56 @@ def alias_form(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, in quotes or without, blanks around it cut; empty where there is none."""
+    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.trim(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    return F.regexp_replace(value, r"(?i)&(?:amp|#38|#x26);", "&")
+
+
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*+>"), F.lit(0))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. parts worked off; one that ends in them ends in a slash."""
+    parts = F.slice(F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/"), 2, 1_000_000_000)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda out, p: F.when(p == ".", out).when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p))),
+    )
+    return F.when(path == "", "").otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """The url that a link names on the page base; null for other schemes (``mailto:`` and the like)."""
+    scheme, root = F.regexp_extract(base, r"^((?s:.*?):)//", 1), F.regexp_extract(base, r"^((?s:.*?)://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_replace(path_of(base), r"[^/]*$", ""), "^$", "/")
+    path, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*((?s:.*))$", 1)
+    return (
+        F.when(to == "", base)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(to.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .when(to.startswith("?"), F.concat(page, to))
+        .when(to.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), to))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) over alias forms: canonical links and meta refreshes in the html, absolute or from the host's root."""
-    canonical = F.regexp_extract(F.col("html"), r"""(?is)<link\b[^>]*\brel=["']?canonical["']?[^>]*\bhref=["']([^"']+)["']""", 1)
-    reverse = F.regexp_extract(F.col("html"), r"""(?is)<link\b[^>]*\bhref=["']([^"']+)["'][^>]*\brel=["']?canonical\b""", 1)
-    refresh = F.regexp_extract(F.col("html"), r"""(?is)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*\bcontent=["'][^"']*?url=([^"'>\s]+)""", 1)
+    """(src, dst), urls: canonical links and meta refreshes in the html, absolute or relative to the page or its base tag."""
+    canonical = F.transform(F.filter(_tags(F.col("html"), "link"), lambda t: F.lower(_attribute(t, "rel")).rlike(r"(?:^|\s)canonical(?:\s|$)")), lambda t: _attribute(t, "href"))
+    meta = F.transform(F.filter(_tags(F.col("html"), "meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"), lambda t: _attribute(t, "content"))
+    refresh = F.transform(meta, lambda c: F.trim(F.regexp_extract(c, r"""(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?["']?([^"']+)""", 1)))
+    own = _attribute(F.coalesce(F.get(_tags(F.col("html"), "base"), F.lit(0)), F.lit("")), "href")
     # html without the two words is not searched any further
     worth = F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").contains("://")
-    found = pages.where(worth).select("url", F.explode(F.array(canonical, reverse, refresh)).alias("to")).where("to != ''")
-    root = F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*)", 1)
-    to = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(root, "to"))
-    return found.select(alias_form(F.col("url")).alias("src"), alias_form(to).alias("dst")).where("src != dst")
+    found = pages.where(worth).select("url", own.alias("own"), F.explode(F.concat(canonical, refresh)).alias("to")).where("to != ''")
+    return found.select(F.col("url").alias("src"), resolved(F.col("to"), F.coalesce(resolved(F.col("own"), F.col("url")), "url")).alias("dst")).where("dst is not null")
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -74,19 +113,26 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redire
 
     redirects: further edges (src, dst) of urls. A url with a rule gets the rule's verdict (``rule``); else,
     where an alias is allowed by a rule, allow; else, where an alias is blocked, block (both ``alias``);
-    else allow (``default``). Null urls and urls without ``://`` have an empty host and path, and no
+    else allow (``default``). What links and redirects name counts as an alias whether or not it is a row of pages. Null urls and urls without ``://`` have an empty host and path, and no
     aliases. Repeated rows stay repeated. An empty table gives no rows.
     """
     url = F.col("url")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(url.contains("://"), alias_form(url)).alias("node"))
     seen = stored(seen.withColumn("m", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "node", "m.rule", "m.action"), "urls")
-    edges = page_links(pages)
+    links = page_links(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.where("src is not null and dst is not null").select(alias_form(F.col("src")).alias("src"), alias_form(F.col("dst")).alias("dst")))
+        links = links.unionByName(redirects.where("src is not null and dst is not null").select("src", "dst"))
+    links = stored(links, "links")
+    edges = links.select(alias_form(F.col("src")).alias("src"), alias_form(F.col("dst")).alias("dst")).where("src != dst")
+    # the ends of links, most of which are no pages, decide as pages do
+    end = links.select(F.explode(F.array("src", "dst")).alias("url")).where(url.contains("://")).select(host_of(url).alias("host"), path_of(url).alias("path"), alias_form(url).alias("node"))
+    ends = end.select("node", matching_rule(F.col("host"), F.col("path"), rules)["action"].alias("action")).where("action is not null").distinct()
     named = stored(components(edges), "components")
     node = seen.where("node is not null").join(named.hint("merge"), "node", "left").select("page_id", "host", "path", "rule", "action", F.coalesce("component", "node").alias("component"))
     node = node.unionByName(seen.where("node is null").select("page_id", "host", "path", "rule", "action", F.lit(None).cast("string").alias("component")))
-    decided = node.where("action is not null and component is not null").groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"))
+    deciding = node.where("action is not null and component is not null").select("component", "action")
+    deciding = deciding.unionByName(ends.join(named.hint("merge"), "node", "left").select(F.coalesce("component", "node").alias("component"), "action"))
+    decided = deciding.groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"))
     out = node.join(decided.hint("merge"), "component", "left")
     alias = F.when(F.col("allowed").isNull(), None).when(F.col("allowed"), "allow").otherwise("block")
     return out.select(

@@ -382,6 +382,21 @@ def test_url_aliases(spark):
     assert got[4] == got[5] == ("allow", "alias") and got[7] == ("block", "rule") and got[8] == ("allow", "rule")
 
 
+def test_url_targets_that_are_no_pages(spark):
+    link = lambda u: f"<link rel=canonical href={u}>"
+    pages = [
+        (0, "http://s.biz/1", None), (1, "http://t.biz/a/1", link("http://z.net/q")), (2, "http://u.biz/1", link("'http://g.org/fr/x'")), (3, "http://v.biz/1", None),
+        (4, "http://w.biz/d/e/1", link("../b.html")), (5, "http://x.biz/d/1", '<META content="0; URL=\'sub/c\'" http-equiv=Refresh>'), (6, "http://y.biz/1", '<link href="//z.net/q?a=1&amp;b=2" rel="nofollow canonical">'),
+        (7, "http://k.biz/1", '<base href="http://z.net/m/"><link rel="canonical" href="n">'), (8, "http://l.biz/1", link("mailto:a@z.net")), (9, "http://n.biz/1?u=2", link("/go?u=http://z.net/")), (10, "http://o.biz/1", '<link rel="icon" href="http://z.net/i">'),
+    ]
+    redirects = [("http://s.biz/1", "http://z.net/"), ("http://v.biz/1", "http://z.net/"), ("http://v.biz/1", "http://g.org/fr/y"), ("http://w.biz/d/b.html", "http://q.net/"), ("http://x.biz/d/sub/c", "http://r.net/")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {i: (r.verdict, r.decided_by) for i, r in by_id(url_filters.verdicts(df, redirects=spark.createDataFrame(redirects, "src string, dst string")), "page_id").items()}
+    # 0 and 3 share z.net/, of which 3 is allowed by its other target
+    assert got == {i: (v, "alias" if d else "default") for i, (v, d) in enumerate([("allow", 1), ("block", 1), ("allow", 1), ("allow", 1), ("block", 1), ("block", 1), ("block", 1), ("block", 1), ("allow", 0), ("allow", 0), ("allow", 0)])}
+    assert {i: r.verdict for i, r in by_id(url_filters.verdicts(df, redirects=spark.createDataFrame(redirects[:1], "src string, dst string")), "page_id").items()}[0] == "block"
+
+
 def test_url_small_tables(spark):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for i, r in by_id(queries.op8_url_filters(spark, SF), "page_id").items():
