@@ -4,9 +4,9 @@ Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.
 some words, every window is compressed with the ordinary dictionary alone and with the toxic dictionary put in
 front of the ordinary one, and the gain (how many bytes the toxic dictionary saves) tells how much of a
 window is toxic. As both runs share the ordinary dictionary, ordinary text gains nothing. The toxic dictionary
-is trained on the words of toxic training texts that ordinary ones hardly have, each in its windows, as whole
-toxic texts are ordinary but for a few words. A text's gains become a score through a logistic calibration on
-training rows that the dictionaries have not seen.
+holds the words of toxic training texts that ordinary ones hardly have, as whole toxic texts are ordinary but
+for a few words; the ordinary one is trained on all windows of ordinary training texts that have none of these.
+A text's gains become a score through a logistic calibration on training rows that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def _contexts(texts: list[bytes]) -> collections.Counter:
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> ToxicityModel:
-    """Dictionaries from two thirds of each class, calibration on the rest (on all, where there are few)."""
+    """Dictionaries from all of two thirds of each class, calibration on the rest (on all, where there are few)."""
     cut = [i % 3 != 0 for i in range(max(len(toxic), len(ordinary)))]
     tox, plain = ([x for x, use in zip(texts, cut, strict=False) if use] or texts for texts in (toxic, ordinary))
     counts = [_contexts(texts) for texts in (tox, plain)]
@@ -125,8 +125,9 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> ToxicityModel:
     # each marked word between blanks, the most frequent last, where references are shortest
     samples = [b" " + w + b" " for w in marked]
     words = _trained(samples, TOXIC_BYTES) if sum(map(len, samples)) > TOXIC_BYTES else b"".join(samples)
-    plain_windows = [t[a : a + n] for t in plain for a, n in windows(t)[:40].tolist() if not any(w in t[a : a + n] for w in samples)]
-    model = ToxicityModel(_trained(plain_windows[:20000], ORDINARY_BYTES), words or b" ", np.zeros(10))
+    known = set(marked)
+    plain_windows = [w for t in plain for a, n in windows(t).tolist() if known.isdisjoint((w := t[a : a + n]).split())]
+    model = ToxicityModel(_trained(plain_windows, ORDINARY_BYTES), words or b" ", np.zeros(10))
     rest_t, rest_p = ([x for x, use in zip(texts, cut, strict=False) if not use] if len(texts) > 30 else texts for texts in (toxic, ordinary))
     x = _inputs(model.gains(rest_t + rest_p))
     y = np.r_[np.ones(len(rest_t)), np.zeros(len(rest_p))]

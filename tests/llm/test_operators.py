@@ -424,6 +424,15 @@ def test_toxicity_odd_rows(spark, small):
         assert set(b" ".join(words).split()) == set(raw.split())
 
 
+def test_toxicity_learns_from_whole_texts(monkeypatch):
+    plain = sorted(toxicity.normal(" ".join(f"w{i}x{j}" for j in range(600))) for i in range(900))
+    taught = []
+    monkeypatch.setattr(toxicity, "_trained", lambda samples, size: taught.append(samples) or b"".join(samples)[-size:])
+    toxicity.fit([toxicity.normal(f"grubbish {i} snarkel") for i in range(40)], plain)
+    kept = [t for i, t in enumerate(plain) if i % 3]
+    assert {w for sample in taught[-1] for w in sample.split()} == {w for t in kept for w in t.split()}
+
+
 # 10 -------------------------------------------------------------------------------------------------------------
 
 
