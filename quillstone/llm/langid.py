@@ -164,14 +164,19 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 def with_language(docs: DataFrame) -> DataFrame:
     """docs without the rows that have no language (null or letterless text); columns as they were.
 
-    Only such rows are rejected: an ambiguous text, as one in two languages, is kept.
+    Only such rows are rejected: an ambiguous text, as one in two languages, is kept, and so is every text with a
+    letter where no model could be learnt.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(docs))
-    names = docs.columns
+    model = train(docs)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    names, learnt = docs.columns, model is not None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predict(held)
         for b in batches:
+            if not learnt:
+                yield b.filter(pa.array([_has_letter(t or "") for t in b.column(names.index("text")).to_pylist()], pa.bool_()))
+                continue
             ids = pa.array(range(b.num_rows), pa.int64())
             (seen,) = predict([pa.RecordBatch.from_arrays([ids, b.column(names.index("text"))], ["doc_id", "text"])])
             yield b.filter(pa.compute.not_equal(seen.column("lang_pred"), UNKNOWN))

@@ -199,6 +199,11 @@ def test_language_odd_rows(spark, small):
     assert kept.columns == small.columns and kept.count() == sum(any(map(str.isalpha, t or "")) for t in ODD)
 
 
+def test_language_keeps_letters_without_labels(spark, small):
+    kept = langid.with_language(small.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == small.columns and sorted(kept.toPandas().doc_id) == [i for i, t in enumerate(ODD) if any(map(str.isalpha, t or ""))]
+
+
 def test_codewords_differ():
     for n in (1, 2, 3, 4, 7, 20):
         m = langid.codewords(n)
