@@ -153,11 +153,22 @@ def r02_sft_reasons(spark, sf_dir):
     return both.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query
-def m07_reply_quality(spark, sf_dir):
+def judged(spark, sf_dir):
+    """(image_id, reply, kind) of the replies, some of them degenerate by digits or by U+FFFD."""
     r = replies(spark, sf_dir).select("image_id", F.when(F.col("image_id") % 5 == 0, F.concat(F.repeat(F.lit("7"), 200), "reply")).when(F.col("image_id") % 11 == 0, F.repeat(F.lit("\ufffd"), 101)).otherwise(F.col("reply")).alias("reply"))
     kind = F.when(records.degenerate(F.col("reply")), "degenerate").when(responses.parse_eval(F.col("reply")).isNull(), "failed").otherwise("parsed")
-    return r.where("image_id % 5 != 0 or image_id % 8 = 6").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return r.withColumn("kind", kind)
+
+
+@query
+def m07_reply_quality(spark, sf_dir):
+    return judged(spark, sf_dir).where("image_id % 5 != 0 or image_id % 8 = 6").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def m07_all_replies(spark, sf_dir):
+    """m07_reply_quality over every reply, those with digits too; without SQL, held to a plain version by tests."""
+    return judged(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query

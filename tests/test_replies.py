@@ -1,5 +1,6 @@
 """Assignment against all permutations, rewards of empty sides, readers of lines and headers, streams of several files."""
 
+import collections
 import itertools
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from quillstone.operators import assignment, boxes
 from quillstone.plans import catalog
+from quillstone.plans import replies as plans_replies
 from quillstone.sources import files
 from quillstone.streaming import groups
 
@@ -73,3 +75,20 @@ def test_groups_over_several_batches(spark, tmp_path):
     members = [m for r in got.collect() for m in r.members]
     assert got.count() == 8 and len(set(members)) == 40 and all(len({m % 4 for m in r.members}) == 1 for r in got.collect())
     assert {(r.unique_id, r.n) for r in groups.incomplete_groups(d, got).collect()} == {(0, 3), (1, 3), (2, 2), (3, 2)}
+
+
+def test_quality_of_all_replies(spark):
+    """Digits and U+FFFD are counted in each text; the others fail to parse as their dialect does."""
+    read = plans_replies.judged(spark, SF).collect()
+    share = lambda t, c: t.count(c) / len(t)
+    want = collections.Counter()
+    for r in read:
+        bad = len(r.reply) > 100 and (max(share(r.reply, str(d)) for d in range(10)) > 0.5 or share(r.reply, "\ufffd") > 0.3)
+        want["degenerate" if bad else "failed" if r.image_id % 8 in (4, 6) else "parsed"] += r.image_id % 5 != 0 or bad
+        assert r.image_id % 5 or (r.kind == "degenerate") == bad
+    got = {r.kind: r.n for r in catalog.QUERIES["m07_all_replies"](spark, SF).collect()}
+    with_digits = [r for r in read if r.image_id % 5 == 0]
+    assert sum(got.values()) == len(read) and got["degenerate"] == want["degenerate"]
+    assert any(r.kind == "degenerate" for r in with_digits)
+    rest = collections.Counter(r.kind for r in read if r.image_id % 5)
+    assert rest["failed"] == want["failed"] and rest["parsed"] == want["parsed"]
