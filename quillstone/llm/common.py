@@ -27,9 +27,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local master takes a temporary folder, others fail."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         at = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -51,6 +53,35 @@ def join_kind(ids: DataFrame) -> str:
     return "broadcast" if ids.count() <= BROADCAST_IDS else "merge"
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose key is in gone (one column); columns as they were, whatever their names."""
+    name = f"gone_{uuid.uuid4().hex}"
+    ids = stored(gone.toDF(name), "gone")
+    return docs.join(ids.hint(join_kind(ids)), docs[key].eqNullSafe(ids[name]), "left_anti")
+
+
+#: A key with more rows than both the first number and this share of all rows is dealt out over several tasks.
+HOT_ROWS, HOT_SHARE = 500, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key, with the hot keys of left dealt out over several tasks.
+
+    The rows of right that hot keys meet are repeated for each of them. Both tables should be stored: left is read
+    once more for its hot keys, of which there are HOT_SHARE at most.
+    """
+    limit = max(HOT_ROWS, left.count() // HOT_SHARE)
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).agg((1 + F.count("*") / limit).cast("int").alias("_tasks")).where("_tasks > 1").collect()
+    if not hot:
+        return left.join(right.hint("merge"), key, how)
+    spark = left.sparkSession
+    tasks = spark.createDataFrame([(r[0], r[1]) for r in hot], left.select(F.col(key), F.lit(1).alias("_tasks")).schema)
+    dealt = F.coalesce("_tasks", F.lit(1))
+    rows = left.join(tasks.hint("broadcast"), key, "left").withColumn("_task", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c != key]), dealt).cast("int")).drop("_tasks")
+    met = right.join(tasks.hint("broadcast"), key, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("_tasks")
+    return rows.join(met.hint("merge"), [key, "_task"], how).drop("_task")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)

@@ -6,12 +6,17 @@ them if both prefixes are l - 1 longer. Each document chooses its own l: a longe
 by Markov's inequality at most (frequencies in the prefix) / l documents share l shingles with it, so that
 documents with frequent shingles take a larger l. A pair is verified only if it shares the smaller l of the two.
 
-The order comes from a sketch of fixed size that counts the shingles of all documents; any order gives the same
-result, a good one gives fewer candidates. Documents with equal sets are one node. Groups of near copies do not
-become pairs: every node is first verified against one leader, the node it shares most prefix shingles with among
-those that come first in its buckets, and afterwards only pairs from different components are enumerated. Of
-those, pairs whose parity bitmaps differ in more bits than similar sets can differ in shingles are left out
-within the join (each shingle flips one bit of its set's bitmap, so the sets differ in as many shingles at least).
+The work is done in two rounds. In the first the order is that of the hashes and l is an eighth of the set: a
+document that does not share as many prefix shingles with others has no similar one and is left out. In the second
+the shingles of the remaining documents are counted exactly; a document that has too few shared ones is left out,
+and of the others the prefixes in the order of these frequencies meet in buckets. Very frequent shingles are known
+from a sample beforehand, so that their buckets can be dealt out over tasks; results do not depend on it.
+
+Documents with equal sets are one node. Groups of near copies do not become pairs: every set is first verified
+against one leader, the set it shares most prefix shingles with among those that come first in its buckets, and
+afterwards only pairs from different components are enumerated. Of those, pairs whose parity bitmaps differ in more
+bits than similar sets can differ in shingles are left out within the join (each shingle flips one bit of its set's
+bitmap, so the sets differ in as many shingles at least).
 """
 
 from __future__ import annotations
@@ -27,17 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.llm import textbytes
-from quillstone.llm.common import join_kind, map_arrow, stored
+from quillstone.llm.common import join_kind, map_arrow, spread_join, stored, without
 from quillstone.llm.components import components as connected
 
 WORDS = 5
-SKETCH_BITS, SKETCH_BLOCKS = 20, 64
 #: Values of l that a document chooses from, and the cost of a prefix row in candidates.
-MATCHES, ROW_COST = (1, 2, 3, 4), 1.0
+MATCHES, ROW_COST = (1, 2, 3, 4, 6, 8), 1.0
 #: 64-bit words of a parity bitmap.
 PARITY_WORDS = 8
-#: Estimated documents of a shingle from which its bucket is dealt out over several tasks.
-HOT_DOCUMENTS = 50_000
+#: Nodes of the sample that frequent shingles are known from, about, and in how many of them such a shingle is.
+SAMPLE_NODES, HOT_IN_SAMPLE = 4_000, 8
+#: Documents of a shingle for each task that its bucket is dealt out over.
+BUCKET_ROWS = 2_000
+_PARITY_DDL = ", ".join(f"p{k} long" for k in range(PARITY_WORDS))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -102,148 +109,173 @@ def _parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype("u1")).view("i8")
 
 
+def _sets(b: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
+    """(row, set) of a batch, some texts at a time."""
+    at = b.schema.get_field_index(column)
+    for i in range(0, b.num_rows, 200):
+        yield from enumerate(shingle_sets(b.column(at).slice(i, 200).to_pylist()), i)
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row its number of shingles and a digest of the set, and at the end the task's part of the sketch."""
-    names = ["doc_id", "n_shingles", "digest", *PARITY, "block", "counts"]
-    types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * PARITY_WORDS, pa.int32(), pa.binary()]
-    sketch = np.zeros(1 << SKETCH_BITS, "u4")
+    """Per row its number of shingles and a digest of the set."""
     for b in batches:
-        sets = shingle_sets(b.column(1).to_pylist())
-        sketch += np.bincount(np.concatenate(sets or [np.zeros(0, "u8")]) >> np.uint64(64 - SKETCH_BITS), minlength=1 << SKETCH_BITS).astype("u4")
-        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        none = pa.nulls(b.num_rows)
-        parity = np.array([_parity(s) for s in sets], "i8").reshape(len(sets), PARITY_WORDS)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), *[pa.array(parity[:, k]) for k in range(PARITY_WORDS)], none.cast(pa.int32()), none.cast(pa.binary())], names)
-    parts = np.split(sketch, SKETCH_BLOCKS)
-    used = [i for i, p in enumerate(parts) if p.any()]
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(used), t) for t in types[:-2]] + [pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names)
-
-
-def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, "u8")
+        seen = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for _, s in _sets(b)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in seen], pa.int64()), pa.array([d for _, d in seen], pa.binary())], ["doc_id", "n_shingles", "digest"])
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.r_[0, np.cumsum([len(a) for a in arrays])].astype("i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, "u8")]).astype("u8").view("i8")))
+
+
+def _opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefixes in the order of hashes, and how many of their shingles a document must share to have a similar one.
+
+    A prefix for l = n // 8 of n shingles; a similar set has 3 n / 4 shingles at least, so that its own l is 3 n / 32 or more.
+    """
     for b in batches:
-        for c in b.column("counts").to_pylist():
-            total += np.frombuffer(c, "u4")
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
-
-
-class Order:
-    """The order of shingles: by estimated frequency (in steps of an eighth of a power of two), then by hash."""
-
-    def __init__(self, counts: np.ndarray):
-        self.levels = np.minimum(np.round(8 * np.log2(1 + counts.astype("f8"))), 255).astype("u1")
-        usual = float(counts.mean())
-        seen = 2.0 ** (np.arange(256) / 8) - 1
-        # what chance alone puts into a cell is not the shingle's own
-        self.documents = np.maximum(seen - usual - 3 * np.sqrt(usual + 1), 1.0)
-
-    def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """The prefix with its estimated frequencies, and l."""
-        level = self.levels[shingles >> np.uint64(64 - SKETCH_BITS)]
-        order = np.lexsort((shingles, level))
-        n = len(shingles)
-        plain = n - -(-3 * n // 4)  # a prefix with l has l more
-        docs = self.documents[level[order[: plain + MATCHES[-1]]]]
-        cost = [np.sum(docs[: plain + k] - 1) / k + ROW_COST * k for k in MATCHES]
-        k = min(MATCHES[int(np.argmin(cost))], n)
-        return shingles[order[: plain + k]], docs[: plain + k], k
-
-
-def _prefixes(held):
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order: Order = held.value
-        names = ["token", "node", "place", "size", "least", "salts"]
-        for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                rows = []
-                for node, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True):
-                    if len(s):
-                        tokens, docs, k = order.prefix(s)
-                        rows.append((tokens, np.full(len(tokens), node, "i8"), np.arange(len(tokens), dtype="i4"), np.full(len(tokens), len(s), "i4"), np.full(len(tokens), k, "i4"), (1 + docs // HOT_DOCUMENTS).astype("i4")))
-                if rows:
-                    c = [np.concatenate(x) for x in zip(*rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0].view("i8")), *map(pa.array, c[1:])], names)
-
-    return prefixes
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, needs, lists = [], [], []
+        ids = b.column(0).to_pylist()
+        for i, s in _sets(b):
+            n = len(s)
+            if n:
+                least = -(-3 * n // 4)
+                nodes.append(ids[i])
+                needs.append(max(1, least // 8))
+                lists.append(s[: n - least + max(1, n // 8)])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), _lists(lists)], ["node", "need", "tokens"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sets with their parity bitmaps."""
     for b in batches:
-        for at in range(0, b.num_rows, 200):
-            part = b.slice(at, 200)
-            one, two = (shingle_sets(part.column(c).to_pylist()) for c in ("text_a", "text_b"))
-            keep = []
-            for x, y in zip(one, two, strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src, dst) of the pairs (a, b) of ids whose texts are similar; the texts are compared whole."""
+        ids = b.column(0).to_pylist()
+        found = [(ids[i], s) for i, s in _sets(b) if len(s)]
+        parity = np.array([_parity(s) for _, s in found], "i8").reshape(len(found), PARITY_WORDS)
+        columns = [pa.array([d for d, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int32()), *[pa.array(parity[:, k]) for k in range(PARITY_WORDS)], _lists([s for _, s in found])]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "size", *PARITY, "tokens"])
+
+
+def hot_tokens(nodes: DataFrame, n: int) -> DataFrame:
+    """(token, hot): shingles of many documents with their estimated number, from a sample of about SAMPLE_NODES of n.
+
+    The list is bounded by the sample. It only says which buckets are dealt out over several tasks and in which order
+    such shingles stand; a shingle that it lacks is counted exactly.
+    """
+    share = min(1.0, SAMPLE_NODES / max(1, n))
+    some = nodes.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
+    tokens = map_arrow(some, _whole, f"node long, size int, {_PARITY_DDL}, tokens array<long>").select(F.explode("tokens").alias("token"))
+    hot = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE)
+    return stored(hot.select("token", (F.col("n") / share).cast("long").alias("hot")), "hot")
+
+
+def _counted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (token, node, ...) whose shingle another document has too, with df, its number of documents."""
+    known = rows.join(hot.hint("broadcast"), "token", "left")  # hot: bounded by its sample
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.hash("node"), (1 + F.col("hot") / BUCKET_ROWS).cast("int"))).otherwise(0)
+    n = F.count("*").over(Window.partitionBy("token", "salt"))
+    return known.withColumn("salt", salt).withColumn("df", F.coalesce("hot", n)).where("df > 1").drop("salt", "hot")
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(token, df, place, key, size, least): the prefixes in the order of frequency, each as long as its estimated cost asks for.
+
+    tokens of sets are those that other documents have, rare ones first; the size - size(tokens) others come before.
+    """
+    least = F.ceil(3 * F.col("size") / 4.0).cast("int")
+    single = F.col("size") - F.size("tokens")
+    end = lambda k: F.greatest(F.col("size") - least + k - single, F.lit(0))
+    # of the documents that the prefix meets, (sum of frequencies) / l at most share l of its shingles
+    met = lambda k: F.aggregate(F.slice("docs", F.lit(1), end(k)), F.lit(0.0), lambda s, d: s + d - 1)
+    costs = F.transform(F.filter(F.array(*map(F.lit, MATCHES)), lambda k: (k == 1) | (k <= least)), lambda k: F.struct((met(k) / k + ROW_COST * end(k)).alias("cost"), k.alias("k")))
+    chosen = sets.select("key", "size", "tokens", "docs", F.array_min(costs)["k"].alias("least"))
+    cut = chosen.select("key", "size", "least", single.alias("single"), F.posexplode(F.slice(F.arrays_zip("tokens", "docs"), F.lit(1), end(F.col("least")))).alias("at", "t"))
+    return cut.select(F.col("t.tokens").alias("token"), F.col("t.docs").alias("df"), (F.col("single") + F.col("at")).cast("int").alias("place"), "key", "size", "least")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, src, dst) of the pairs (a, b) of keys whose sets are similar, src and dst their nodes; whole sets are compared.
+
+    Shingles that no other document has are in no intersection, so that the shared ones are enough.
+    """
     named = stored(pairs, "pairs")
-    ids = stored(named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = stored(docs.select("doc_id", "text").join(ids.hint(join_kind(ids)), "doc_id", "left_semi"), "texts")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = named.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    return map_arrow(both, _similar, "src long, dst long")
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("node").alias(f"n{c}"), F.col("size").alias(f"s{c}"), F.col("tokens").alias(f"t{c}"))
+    both = spread_join(named, side("b"), "b").join(side("a").hint("merge"), "a")
+    return both.where(7 * F.size(F.array_intersect("ta", "tb")) >= 3 * (F.col("sa") + F.col("sb"))).select("a", "b", F.col("na").alias("src"), F.col("nb").alias("dst"))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node) of every row, and edges (src, dst) between nodes that give the components.
+def surveyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, node) of every row; node is the smallest doc_id with the same set, null without a shingle."""
+    seen = stored(map_arrow(docs.select("doc_id", "text"), _survey, "doc_id long, n_shingles long, digest binary"), "survey")
+    first = seen.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    out = spread_join(seen, first, "digest", "left")
+    return stored(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).alias("node")), "members")
+
 
-    A node is the smallest doc_id with a set; rows without a shingle have no node.
+def shared_sets(docs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets that may have a similar one: (key, node, size, tokens, docs), and (key, parity bitmap).
+
+    tokens are the shingles that other such sets have, by frequency, then hash; docs their frequencies.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    bitmap = "".join(f", {p} long" for p in PARITY)
-    seen = stored(map_arrow(rows, _survey, f"doc_id long, n_shingles long, digest binary{bitmap}, block int, counts binary"), "survey")
-    parts = seen.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_added, "block int, counts binary").collect()
-    counts = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), "u8")
-    for p in parts:
-        counts[p.block] = np.frombuffer(p.counts, "u8")
-    held = spark.sparkContext.broadcast(Order(counts.ravel()))  # one byte a cell, whatever the input
-
-    whole = seen.where("block is null").drop("block", "counts")
-    first = whole.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = stored(whole.join(first.hint("merge"), "digest", "left").select("doc_id", "n_shingles", *PARITY, F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), "members")
-    others = stored(members.where("node is null or node != doc_id").select("doc_id").distinct(), "others")
-    nodes = rows.join(others.hint(join_kind(others)), "doc_id", "left_anti")
-
-    # buckets: rows of prefixes that share a shingle
-    made = map_arrow(nodes, _prefixes(held), "token long, node long, place int, size int, least int, salts int")
-    made = made.withColumn("salt", F.pmod(F.hash("node"), F.col("salts")))
+    # an id stays if one of its texts stands for its set
+    others = members.groupBy("doc_id").agg(F.max(F.coalesce(F.col("node") == F.col("doc_id"), F.lit(False))).alias("own")).where("not own").select("doc_id")
+    others = stored(others, "others")
+    nodes = docs.select("doc_id", "text").join(others.hint(join_kind(others)), "doc_id", "left_anti")
+    hot = hot_tokens(nodes, members.where("node = doc_id").count())
+
+    opened = map_arrow(nodes, _opening, "node long, need int, tokens array<long>").select("node", "need", F.explode("tokens").alias("token"))
+    alive = _counted(opened, hot).groupBy("node", "need").agg(F.count("*").alias("n")).where("n >= need").select(F.col("node").alias("doc_id")).distinct()
+    alive = stored(alive, "alive")
+    rows = nodes.join(alive.hint(join_kind(alive)), "doc_id", "left_semi")
+    whole = map_arrow(rows, _whole, f"node long, size int, {_PARITY_DDL}, tokens array<long>")
+    whole = stored(whole.withColumn("key", F.monotonically_increasing_id()), "whole")
+
+    tokens = _counted(whole.select("key", "node", F.explode("tokens").alias("token")), hot)
+    by_key = tokens.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    sets = by_key.join(whole.select("key", "node", "size").hint("merge"), "key").where(F.size("t") >= F.ceil(3 * F.col("size") / 4.0))
+    sets = stored(sets.select("key", "node", "size", F.col("t.token").alias("tokens"), F.col("t.df").alias("docs")), "sets")
+    return sets, whole.select("key", *PARITY)
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every row, and edges (src, dst) between nodes that give the components."""
+    members = surveyed(docs)
+    sets, maps = shared_sets(docs, members)
+
+    # buckets: rows of prefixes that share a shingle; those of frequent ones are dealt out
+    salts = (1 + F.col("df") / BUCKET_ROWS).cast("int")
+    made = _prefixes(sets).withColumn("salts", salts).withColumn("salt", F.pmod(F.hash("key"), salts))
     bucket = Window.partitionBy("token", "salt")
-    rank = F.struct("place", "size", "node")
+    rank = F.struct("place", "size", "key")
     shared = made.select("*", F.count("*").over(bucket).alias("n"), F.min(rank).over(bucket).alias("leader")).where("n > 1 or salts > 1")
-    shared = stored(shared.select("token", "node", "place", "size", "least", F.col("leader.node").alias("leader")), "buckets")
+    shared = stored(shared.select("token", "salt", "salts", "key", "place", "size", "least", F.col("leader.key").alias("leader")), "buckets")
 
-    # every node against the leader that it shares most with
-    near = shared.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    best = near.groupBy("node").agg(F.max(F.struct("n", -F.col("leader"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.col2")).alias("b"))
-    star = stored(verified(best, docs), "star")
-    named = stored(connected(star), "star-components")
+    # every set against the leader that it shares most with
+    near = shared.where("key != leader").groupBy("key", "leader").agg(F.count("*").alias("n"))
+    best = near.groupBy("key").agg(F.max(F.struct("n", -F.col("leader"))).alias("m")).select(F.col("key").alias("a"), (-F.col("m.col2")).alias("b"))
+    star = stored(verified(best, sets), "star")
+    named = stored(connected(star.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "star-components").withColumnRenamed("node", "key")
 
     # pairs from different components, in buckets that have several
-    of = shared.drop("leader").join(named.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = spread_join(shared.drop("leader"), named, "key", "left").withColumn("component", F.coalesce("component", "key"))
     of = stored(of, "placed")
-    mixed = of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    maps = members.where("node = doc_id").select("node", F.col("n_shingles").cast("int").alias("size"), *PARITY).dropDuplicates(["node", "size"])
-    rest = stored(of.join(mixed.hint("merge"), "token", "left_semi").join(maps.hint("merge"), ["node", "size"]), "mixed")
+    mixed = of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("salts").alias("most")).where("x < y")
+    mixed = mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("salt"))
+    rest = of.join(mixed.hint("merge"), ["token", "salt"], "left_semi").join(maps.hint("merge"), "key")
+    rest = stored(rest, "mixed")
     x = rest.where("place < size - ceil(6 * size / 7.0) + least").alias("x")
-    y = rest.alias("y").hint("merge")
+    y = rest.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y").hint("merge")
     need = F.expr("ceil(3 * (x.size + y.size) / 7.0)")
     able = F.expr("least(x.place, y.place) + least(x.size - x.place, y.size - y.place)") >= need
-    pair = F.expr("x.token = y.token and x.component != y.component and (x.size < y.size or x.size = y.size and x.node < y.node) and 4 * x.size >= 3 * y.size") & able
+    pair = F.expr("x.token = y.token and x.salt = y.salt and x.component != y.component and (x.size < y.size or x.size = y.size and x.key < y.key) and 4 * x.size >= 3 * y.size") & able
     differ = F.expr(" + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY)) <= F.expr("x.size + y.size") - 2 * need
     met = x.join(y, pair & differ).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.expr("least(x.least, y.least)").alias("least"), need.alias("need"),
+        F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.expr("least(x.least, y.least)").alias("least"), need.alias("need"),
         F.expr("struct(x.place as p, least(x.size - x.place, y.size - y.place) as room)").alias("at"),
     )
     again = met.groupBy("a", "b", "least", "need").agg(F.count("*").alias("n"), F.min("at").alias("at")).where("n >= least and at.room >= need").select("a", "b")
-    late = verified(again, docs)
-    return members, stored(star.unionAll(late), "links")
+    late = verified(again, sets)
+    return members, stored(star.unionAll(late).select("src", "dst"), "links")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -254,18 +286,15 @@ def components(docs: DataFrame) -> DataFrame:
     any of its texts count. An empty table gives no rows; other columns are not read.
     """
     members, edges = links(docs)
-    members = members.select("doc_id", "n_shingles", "node")
     # a node is linked with the other ids of its set through them; an id with several texts joins their nodes
     own = members.where("node is not null and node != doc_id").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
-    twice = own.groupBy("src").agg(F.count_distinct("dst").alias("n")).where("n > 1").select("src")
+    twice = members.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select(F.col("doc_id").alias("src"))
     ties = own.join(twice.hint("merge"), "src", "left_semi")
     named = stored(connected(edges.unionAll(ties)), "components")
-    out = members.join(named.hint("merge"), members["node"] == named["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", members["node"], "doc_id").alias("component_id"))
+    out = spread_join(members, named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """docs without the rows whose group has a smaller doc_id; columns as they were."""
-    gone = components(docs).where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = stored(gone, "gone")
-    return docs.join(gone.hint(join_kind(gone)), docs["doc_id"] == F.col("__gone"), "left_anti")
+    return without(docs, components(docs).where("component_id != doc_id").select("doc_id").distinct())
