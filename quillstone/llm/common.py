@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,9 +83,22 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return rows.join(met.hint("merge"), [key, "_task"], how).drop("_task")
 
 
+def _released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """fn, and at the end of its task free memory goes back to the system: workers live on and share theirs with the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_released(fn), schema)
 
 
 def dataset_remainder(key: str, modulus: int):
