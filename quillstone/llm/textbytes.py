@@ -34,3 +34,20 @@ def gram_bins(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
     for k in range(n):
         key = key << np.uint64(8) | codes[k : k + m]
     return ((key + np.uint64(n)) * _ODD >> np.uint64(64 - bits)).astype("i4")
+
+
+def own_grams(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of joined() the range (from, to) of the n-grams that lie between its two marks, both included."""
+    first = starts[:-1]
+    return first, np.maximum(first, starts[1:] - n + 2)
+
+
+def range_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums of values over the ranges, 0 for empty ones; each depends on its own range only."""
+    out = np.zeros(len(first))
+    some = np.flatnonzero(last > first)
+    if len(some):
+        cuts = np.stack([first[some], last[some]], 1).ravel()
+        padded = np.r_[values, 0]  # a range may end at the end
+        out[some] = np.add.reduceat(padded, cuts, dtype="f8")[::2]
+    return out
