@@ -1,17 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text. A text is cut into windows of
-some words, every window is compressed with the ordinary dictionary alone and with the toxic dictionary put in
-front of the ordinary one, and the gain (how many bytes the toxic dictionary saves) tells how much of a
-window is toxic. As both runs share the ordinary dictionary, ordinary text gains nothing. The toxic dictionary
-holds the words of toxic training texts that ordinary ones hardly have, as whole toxic texts are ordinary but
-for a few words; the ordinary one is trained on all windows of ordinary training texts that have none of these.
-A text's gains become a score through a logistic calibration on training rows that the dictionaries have not seen.
+Two zstandard dictionaries are trained, one on windows of ordinary training texts, one on windows of toxic ones. A
+text is cut into windows of some words; every window is compressed with the ordinary dictionary and with the toxic
+one, and the difference of the two lengths, its gain, tells how much closer it is to toxic text. Compressing for
+the toxic class, the trained toxic dictionary stands before the ordinary one: toxic text is ordinary but for a few
+words, and a window without these has the same length in both runs instead of a random difference.
+
+For the same reason the windows of toxic texts are chosen before the final training: each half of the toxic texts
+trains a dictionary for the other half, and the windows that gain more than hardly any ordinary window stay. How
+many windows of a text reach each gain becomes a score through a logistic calibration on training rows that the
+dictionaries have not seen, with the classes in their true proportion.
 """
 
 from __future__ import annotations
 
-import collections
 import dataclasses
 from collections.abc import Iterator
 
@@ -25,14 +27,18 @@ from quillstone.llm.common import dataset_remainder, map_arrow
 
 #: Labelled rows of each class that a model is fitted on at most, about.
 FIT_ROWS = 2_500
-ORDINARY_BYTES, TOXIC_BYTES = 6_000, 12_000
+ORDINARY_BYTES, TOXIC_BYTES = 64_000, 8_000
+#: Lengths of the segments and of what they are compared by in training (the names of the library are k and d).
+SEGMENT, UNIT = 64, 6
 #: A window ends at the first blank after this many bytes.
-WINDOW_BYTES = 96
-#: A word teaches the toxic dictionary if its share of toxic contexts is LEAST_LIFT times that of ordinary ones,
-#: and it is in LEAST_TEXTS of them and in a share of LEAST_SHARE.
-LEAST_LIFT, LEAST_TEXTS, LEAST_SHARE = 10.0, 3, 0.01
+WINDOW_BYTES = 40
+#: Share of ordinary windows that may reach the gain from which a window of a toxic text is trained on.
+ORDINARY_SHARE = 0.01
+#: Gains, in bytes, whose windows are counted.
+GAINS = (1, 2, 3, 4, 6)
 #: A level with lazy matching: the greedy ones choose worse matches in windows as short as these, at random.
 LEVEL = 6
+RIDGE = 1e-4
 THRESHOLD = 0.3
 BLANKED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -57,88 +63,89 @@ def windows(raw: bytes) -> np.ndarray:
 def _trained(samples: list[bytes], size: int) -> bytes:
     """The content of a trained dictionary; of few samples, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()[-size:]
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=UNIT).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    held = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def _cut(raw: bytes) -> list[bytes]:
+    return [raw[a : a + n] for a, n in windows(raw).tolist()]
+
+
+def _lengths(compressor: zstandard.ZstdCompressor, cuts: list[bytes]) -> np.ndarray:
+    return np.fromiter((len(compressor.compress(x)) for x in cuts), "i8", len(cuts))
+
+
 @dataclasses.dataclass
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray
 
-    def _compressors(self):
-        raw = zstandard.DICT_TYPE_RAWCONTENT
-        out = []
-        for content in (self.ordinary, self.toxic + self.ordinary):
-            d = zstandard.ZstdCompressionDict(content, dict_type=raw)
-            d.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        return out
-
-    def gains(self, raws: list[bytes]) -> np.ndarray:
-        """(texts, 4): the largest gain of a window, the next, the sum of gains and that sum to the number of windows."""
+    def counts(self, raws: list[bytes]) -> np.ndarray:
+        """(texts, 1 + gains): the number of windows, and of those that reach each of GAINS."""
         if not hasattr(self, "_held"):
-            self._held = self._compressors()
-        out = np.zeros((len(raws), 4))
-        parts = [windows(r) for r in raws]
-        for i, (raw, w) in enumerate(zip(raws, parts, strict=True)):
-            if not len(w):
-                continue
-            cuts = [raw[a : a + n] for a, n in w.tolist()]
-            alone, both = (np.array([len(c.compress(x)) for x in cuts]) for c in self._held)
-            gain = np.maximum(alone - both, 0)
-            top = np.sort(gain)
-            out[i] = top[-1], top[-2] if len(top) > 1 else 0, gain.sum(), gain.sum() / len(gain)
+            self._held = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+        out = np.zeros((len(raws), 1 + len(GAINS)))
+        for i, raw in enumerate(raws):
+            cuts = _cut(raw)
+            if cuts:
+                gain = _lengths(self._held[0], cuts) - _lengths(self._held[1], cuts)
+                out[i] = len(cuts), *((gain >= g).sum() for g in GAINS)
         return out
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_held"}
 
     def scores(self, raws: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(_inputs(self.gains(raws)) @ self.weights).clip(-30, 30)))
-
-
-def _inputs(gains: np.ndarray) -> np.ndarray:
-    top, second, total, mean = gains.T
-    return np.stack([np.ones(len(top)), top, top >= 2, top >= 3, top >= 4, top >= 5, second, second >= 3, np.log1p(total), np.sqrt(mean)], 1).astype("f8")
-
-
-def _contexts(texts: list[bytes]) -> collections.Counter:
-    """For each word the number of different pairs of neighbours it has; copies of a text add nothing."""
-    seen = set()
-    for t in texts:
-        words = t.split()
-        seen.update({w: (w, a, z) for a, w, z in zip([b"", *words], words, [*words[1:], b""], strict=False)}.values())
-    return collections.Counter(w for w, _, _ in seen)
-
-
-def fit(toxic: list[bytes], ordinary: list[bytes]) -> ToxicityModel:
-    """Dictionaries from all of two thirds of each class, calibration on the rest (on all, where there are few)."""
-    cut = [i % 3 != 0 for i in range(max(len(toxic), len(ordinary)))]
-    tox, plain = ([x for x, use in zip(texts, cut, strict=False) if use] or texts for texts in (toxic, ordinary))
-    counts = [_contexts(texts) for texts in (tox, plain)]
-    least = max(min(LEAST_TEXTS, max(1, len(tox) // 10)), LEAST_SHARE * len(tox))
-    lift = {w: n / len(tox) / ((counts[1][w] + 0.5) / (len(plain) + 1)) for w, n in counts[0].items() if n >= least and len(w) >= 3}
-    marked = sorted((w for w, x in lift.items() if x >= LEAST_LIFT), key=lambda w: (counts[0][w], w))
-    # each marked word between blanks, the most frequent last, where references are shortest
-    samples = [b" " + w + b" " for w in marked]
-    words = _trained(samples, TOXIC_BYTES) if sum(map(len, samples)) > TOXIC_BYTES else b"".join(samples)
-    known = set(marked)
-    plain_windows = [w for t in plain for a, n in windows(t).tolist() if known.isdisjoint((w := t[a : a + n]).split())]
-    model = ToxicityModel(_trained(plain_windows, ORDINARY_BYTES), words or b" ", np.zeros(10))
-    rest_t, rest_p = ([x for x, use in zip(texts, cut, strict=False) if not use] if len(texts) > 30 else texts for texts in (toxic, ordinary))
-    x = _inputs(model.gains(rest_t + rest_p))
-    y = np.r_[np.ones(len(rest_t)), np.zeros(len(rest_p))]
-    each = np.where(y > 0, 0.25 / max(1, len(rest_t)), 0.75 / max(1, len(rest_p)))
+        return 1 / (1 + np.exp(-(_inputs(self.counts(raws)) @ self.weights).clip(-30, 30)))
+
+
+def _inputs(counts: np.ndarray) -> np.ndarray:
+    n, reached = counts[:, :1], counts[:, 1:]
+    share = reached / np.maximum(n, 1)
+    return np.hstack([np.ones((len(n), 1)), np.log1p(n), np.sqrt(share), share, np.log1p(reached)])
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, toxic_share: float) -> np.ndarray:
+    """Logistic weights by Newton steps with a ridge, the classes weighted to their true shares."""
+    each = np.where(y > 0, toxic_share / max(1, (y > 0).sum()), (1 - toxic_share) / max(1, (y == 0).sum()))
     w = np.zeros(x.shape[1])
-    for _ in range(60):  # Newton steps with a ridge
+    for _ in range(60):
         p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-        g = x.T @ (each * (p - y)) + 1e-4 * w
-        h = (x * (each * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
+        g = x.T @ (each * (p - y)) + RIDGE * w
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
         w -= np.linalg.solve(h, g).clip(-2, 2)
-    model.weights = w
+    return w
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], toxic_share: float | None = None) -> ToxicityModel:
+    """Dictionaries from all windows of two thirds of each class, calibration on the rest (on all, where there are few)."""
+    parts = []
+    for texts in (toxic, ordinary):
+        few = len(texts) <= 30
+        parts.append(([t for i, t in enumerate(texts) if few or i % 3], [t for i, t in enumerate(texts) if few or not i % 3]))
+    (tox, rest_t), (plain, rest_p) = parts
+    base = _trained([w for t in plain for w in _cut(t)], ORDINARY_BYTES)
+    alone = _compressor(base)
+    usual = [w for t in rest_p for w in _cut(t)]
+    usual_length = _lengths(alone, usual)
+    chosen: list[bytes] = []
+    for half in (0, 1):
+        taught, asked = ([w for t in tox[k::2] for w in _cut(t)] for k in (half, 1 - half))
+        both = _compressor(_trained(taught, TOXIC_BYTES) + base)
+        least = max(1.0, np.quantile(usual_length - _lengths(both, usual), 1 - ORDINARY_SHARE) + 0.5) if usual else 1.0
+        gain = _lengths(alone, asked) - _lengths(both, asked)
+        chosen += [w for w, g in zip(asked, gain.tolist(), strict=True) if g >= least]
+    model = ToxicityModel(base, _trained(chosen or [w for t in tox for w in _cut(t)], TOXIC_BYTES), np.zeros(0))
+    y = np.r_[np.ones(len(rest_t)), np.zeros(len(rest_p))]
+    model.weights = _calibrated(_inputs(model.counts(rest_t + rest_p)), y, len(toxic) / (len(toxic) + len(ordinary)) if toxic_share is None else toxic_share)
     return model
 
 
@@ -157,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     found: dict[int, list[bytes]] = {0: [], 1: []}
     for r in rows.select("toxic", "text").toLocalIterator():
         found[r.toxic].append(normal(r.text))
-    return fit(sorted(found[1]), sorted(found[0])) if found[0] and found[1] else None
+    return fit(sorted(found[1]), sorted(found[0]), n[1] / (n[0] + n[1])) if found[0] and found[1] else None
 
 
 def _score(held):
