@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are lower-cased and their white space is collapsed. An item of m characters may be
-found with up to k = max(1, m // 15) edits. Cut into k + 1 pieces, at least one piece of any such occurrence is
+found with up to k = m // 15 edits, so that items of fewer than 15 characters must occur as they are. Cut into k + 1 pieces, at least one piece of any such occurrence is
 intact, so exact hits of pieces (an Aho-Corasick automaton over all pieces) are candidates, and the stretch
 around each hit is verified with Myers' bit-parallel approximate matching.
 """
@@ -14,9 +14,8 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quillstone.llm.common import join_kind, map_arrow, stored
+from quillstone.llm.common import map_arrow, without
 
 #: An item may have one edit in this many characters.
 CHARS_PER_EDIT = 15
@@ -29,9 +28,8 @@ def normal(text: str | None) -> str:
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """k + 1 pieces (fewer in an item of fewer characters) of nearly equal length, with their places."""
-    n = min(k + 1, len(item))
-    cuts = [len(item) * i // n for i in range(n + 1)]
+    """k + 1 pieces of nearly equal length, with their places; an item has more characters than edits."""
+    cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -60,8 +58,9 @@ def best_end(item: str, text: str) -> tuple[int, int]:
 
 
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = {i: (t, max(1, len(t) // CHARS_PER_EDIT)) for i, t in items if t}
+    def __init__(self, texts: list[str]):
+        """Normalised texts of items; hits() names them by their places in the list."""
+        self.items = {i: (t, len(t) // CHARS_PER_EDIT) for i, t in enumerate(texts) if t}
         at: dict[str, list[tuple[int, int]]] = {}
         for i, (t, k) in self.items.items():
             for place, piece in pieces(t, k):
@@ -100,53 +99,57 @@ class ItemIndex:
 
 
 @functools.lru_cache(maxsize=1)
-def _index(items: tuple[tuple[int, str], ...]) -> ItemIndex:
-    return ItemIndex(list(items))
+def _index(texts: tuple[str, ...]) -> ItemIndex:
+    return ItemIndex(list(texts))
 
 
 def _match(items):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items.value)
+        names, texts = items.value
+        index = _index(texts)
         for b in batches:
-            rows = [(d, i, e[0], e[1]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for i, e in sorted(index.hits(normal(t)).items())]
+            rows = [(d, names[i], e[0], e[1]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for i, e in sorted(index.hits(normal(t)).items())]
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["doc_id", "item_id", "distance", "end"])
 
     return match
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Test items in blocks of BLOCK_CHARS characters at most (one item, if it alone is longer)."""
-    block, chars = [], 0
-    for r in benchmark.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+def blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[int | None, ...], tuple[str, ...]]]:
+    """(ids, normalised texts) of test items in blocks of BLOCK_CHARS characters at most (one item, if it alone is longer).
+
+    The driver holds one block at a time.
+    """
+    names, texts, chars = [], [], 0
+    for r in benchmark.where("text is not null").select("item_id", "text").distinct().toLocalIterator():
         t = normal(r.text)
-        if block and chars + len(t) > BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
+        if texts and chars + len(t) > BLOCK_CHARS:
+            yield tuple(names), tuple(texts)
+            names, texts, chars = [], [], 0
         if t:
-            block.append((r.item_id, t))
+            names.append(r.item_id)
+            texts.append(t)
             chars += len(t)
-    if block:
-        yield block
+    if texts:
+        yield tuple(names), tuple(texts)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, end): the closest occurrence of each test item in each text, if within its budget.
 
     end counts characters of the lower-cased text with collapsed white space. Null and empty texts or
-    items match nothing; an item_id that occurs twice is searched with its last text in the order of
-    texts. Rows of docs that repeat give repeated rows. An empty table on either side gives no rows.
+    items match nothing. An item_id with several texts has a row for each text that is found, and items
+    without an id are searched too (item_id null). Rows of docs that repeat give repeated rows. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, end int"
     parts = []
     for block in blocks(benchmark):
-        held = spark.sparkContext.broadcast(tuple(block))  # at most BLOCK_CHARS characters
+        held = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS characters
         parts.append(map_arrow(docs.select("doc_id", "text"), _match(held), schema))
     return functools.reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id has a test item in it; columns as they were."""
-    leaks = stored(contamination(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks.hint(join_kind(leaks)), docs["doc_id"] == F.col("__leak"), "left_anti")
+    return without(docs, contamination(docs, benchmark).select("doc_id").distinct())
