@@ -12,21 +12,26 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_arrow, shared_dir, stored
+from quillstone.llm.common import map_arrow, shared_dir, spread_join, stored
 
+#: Folder of what task attempts write, below that of the archives.
+ATTEMPTS = "_attempts"
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 #: Uncompressed bytes after which a task starts its next archive, so that an archive fits in a worker.
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 32 << 10
+#: Compressed bytes that the reader feeds at a time.
+SLICE_BYTES = 16 << 10
 #: Payloads (by bytes) that a dictionary is trained on.
 DICTIONARY_SAMPLE_BYTES = 2 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,20 +43,25 @@ class WarcError(ValueError):
     """An archive that breaks the format."""
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of the record of a page with this payload; a page_id with several payloads has several records."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, kind: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A response or revisit record; a revisit keeps the HTTP header, with the length of the payload, and no body."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"),
+        ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Date", WARC_DATE),
-        ("WARC-Target-URI", "".join((url or "").split())),
+        ("WARC-Target-URI", "".join(quote(c) if c.isspace() or ord(c) < 32 else c for c in url or "")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
     ]
     if kind == "revisit":
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"), ("X-Refers-To-Page-ID", str(refers_to))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -137,29 +147,30 @@ def read_archive(raw: bytes) -> Iterator[bytes]:
         if raw[at : at + 4] != struct.pack("<I", FRAME_MAGIC):
             raise WarcError(f"no frame at byte {at}")
         stated = zstandard.get_frame_parameters(raw[at : at + 18]).content_size
-        one = unzip.decompressobj()
+        one, begin, parts = unzip.decompressobj(), at, []
         try:
-            record = one.decompress(view[at:])
+            while not one.eof and at < len(raw):  # slices, as what follows a frame is copied
+                parts.append(one.decompress(view[at : at + SLICE_BYTES]))
+                at = min(len(raw), at + SLICE_BYTES)
         except zstandard.ZstdError as e:
-            raise WarcError(f"the frame at byte {at} cannot be decoded: {e}") from e
+            raise WarcError(f"the frame at byte {begin} cannot be decoded: {e}") from e
+        record = b"".join(parts)
         if not one.eof or (stated != zstandard.CONTENTSIZE_UNKNOWN and len(record) != stated):
-            raise WarcError(f"the frame at byte {at} does not have its stated length")
-        at = len(raw) - len(one.unused_data)
+            raise WarcError(f"the frame at byte {begin} does not have its stated length")
+        at -= len(one.unused_data)
         yield record
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        payloads = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads])], ["page_id", "payload_bytes", "payload_digest"])
+def _digest() -> Column:
+    return F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
 
 
 def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, refers_to): pages whose payload, of least_bytes or more, a page with a smaller id has too."""
-    marks = map_arrow(pages.select("page_id", "html"), _digests, "page_id long, payload_bytes long, payload_digest string").where(f"payload_bytes >= {least_bytes}")
+    """(page_id, digest, refers_to): pages whose payload, of least_bytes or more, a page with a smaller id has too."""
+    marks = pages.where(F.octet_length("html") >= least_bytes).select("page_id", _digest().alias("digest"))
     marks = stored(marks, "digests")
-    first = marks.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return marks.join(first.hint("merge"), "payload_digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    first = marks.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return spread_join(marks, first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _write(out_dir: str):
@@ -171,12 +182,11 @@ def _write(out_dir: str):
         held = 0
 
         def close() -> None:
-            """An attempt writes under a name of its own, then moves: a repeated task replaces its file whole."""
+            """Each attempt writes files of its own; only those in the committed index are read."""
             nonlocal n, held
-            name = f"{stem}-{n:05d}.warc.zst"
-            with store.open_output_stream(f"{root}/_{attempt}-{name}", compression=None) as f:
+            name = f"{stem}-{n:05d}-{attempt}.warc.zst"
+            with store.open_output_stream(f"{root}/{ATTEMPTS}/{name}", compression=None) as f:
                 f.write(writer.take())
-            store.move(f"{root}/_{attempt}-{name}", f"{root}/{name}")
             names.append(name)
             counts.append(held)
             n, held = n + 1, 0
@@ -215,22 +225,42 @@ def _write(out_dir: str):
     return write
 
 
+def _publish(out_dir: str):
+    """Moves the files that the index names to where readers look; a move that was made before is left as it is."""
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(out_dir)
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                    try:
+                        store.move(f"{root}/{ATTEMPTS}/{name}", f"{root}/{name}")
+                    except OSError:
+                        if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                            raise
+            yield b
+
+    return publish
+
+
 def write_archives(pages: DataFrame, out_dir: str | None = None, least_bytes: int = 100) -> tuple[str, int]:
     """Writes a record per row of pages (page_id, url, html) and gives the folder and the number of records.
 
     Null html is an empty payload, a null url an empty target. Of equal payloads of least_bytes or more
     the row with the smallest page_id is a response and the others are revisits; a page_id that occurs
-    twice with the same payload is a response twice. An empty table gives an empty folder. The folder
-    must be one that all executors share.
+    twice with the same payload is a response twice, and each payload of a page_id with several is written.
+    An empty table gives an empty folder. The folder must be one that all executors share. Archives of task attempts
+    that were not committed stay in a folder of their own, which readers do not see.
     """
     at = out_dir or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     uri = at if "://" in at or at.startswith("file:") else f"file://{at}"
     uri = uri if "://" in uri else uri.replace("file:", "file://", 1)
     store, root = fs.FileSystem.from_uri(uri)
-    store.create_dir(root, recursive=True)
+    store.create_dir(f"{root}/{ATTEMPTS}", recursive=True)
     again = revisits(pages, least_bytes)
-    rows = pages.select("page_id", "url", "html").join(again.hint("merge"), "page_id", "left")
-    written = stored(map_arrow(rows, _write(uri), "name string, records long"), "warc-index")
+    rows = pages.select("page_id", "url", "html", _digest().alias("digest")).join(again.hint("merge"), ["page_id", "digest"], "left")
+    written = stored(map_arrow(rows.drop("digest"), _write(uri), "name string, records long"), "warc-index")
+    written = stored(map_arrow(written, _publish(uri), "name string, records long"), "warc-published")
     return uri, int(written.agg(F.sum("records")).first()[0] or 0)
 
 
@@ -250,11 +280,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, at: str) -> DataFrame:
-    """Records of all archives below a folder; an archive that breaks the format fails the job with its reason."""
+    """Records of all archives in a folder; an archive that breaks the format fails the job with its reason."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(at).select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # one archive at a time
-    rows = files.mapInArrow(_read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
-    return rows
+    return map_arrow(files, _read, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -262,14 +290,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     The number of records read is checked against the number written.
     """
-    spark = pages.sparkSession
     at, n = write_archives(pages)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    try:
-        rows = stored(read_archives(spark, at).drop("payload"), "warc-records")
-    finally:
-        spark.conf.set(key, before)
+    rows = stored(read_archives(pages.sparkSession, at).drop("payload"), "warc-records")
     if rows.count() != n:
         raise WarcError(f"{n} records were written, {rows.count()} were read")
     return rows
