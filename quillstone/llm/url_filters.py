@@ -1,8 +1,8 @@
 """URL verdicts with redirect equivalence. DataFrame functions only.
 
 Rules (host, path prefix) block or allow; the longest rule that fits a url wins. Urls that lead to the same
-page are aliases: an undirected edge joins a url with what it redirects to or names as canonical (and with its
-own form without fragment, tracking parameters, trailing slash and the like). In each connected component a
+page are aliases: undirected edges join a url with what it redirects to or names as canonical, and with the form
+that it shares with trivially equal urls (no fragment, tracking parameters, trailing slash and the like). In each connected component a
 block decision on one member holds for all aliases without a rule of their own, unless a member is
 explicitly allowed: allow takes precedence.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import stored
+from quillstone.llm.common import spread_join, stored
 from quillstone.llm.components import components
 
 #: (action, host, path): the fixed rules of the registered query.
@@ -31,14 +31,26 @@ def path_of(url: Column) -> Column:
 
 
 def alias_form(url: Column) -> Column:
-    """host and path under which trivially equal urls meet: no scheme, www., query of tracking parameters, fragment, index or .html ending, trailing slash."""
-    host = F.regexp_replace(host_of(url), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_replace(path_of(url), r"(?:index)?\.html?$", ""), r"/+$", "")
+    """host, path and query under which trivially equal urls meet: no scheme, standard port, tracking parameters, fragment, index page or trailing slash."""
+    host = F.regexp_replace(host_of(url), r":(?:80|443)$", "")
+    path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.html?$", "/"), r"/+$", "")
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(?:utm_[a-z]+|ref|fbclid|gclid)=")))
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def _node(url: Column) -> Column:
+    return F.concat(F.lit("u"), url)
+
+
+def url_nodes(urls: DataFrame) -> DataFrame:
+    """(node, form): each url as a node, and the node of what trivially equal urls share; the two are an edge.
+
+    The first character tells the two kinds of nodes apart.
+    """
+    return urls.select(_node(F.col("url")).alias("node"), F.concat(F.lit("="), alias_form(F.col("url"))).alias("form")).distinct()
+
+
 def _attribute(tag: Column, name: str) -> Column:
     """The value of an attribute, in quotes or without, blanks around it cut; empty where there is none."""
     pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -117,25 +129,25 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redire
     aliases. Repeated rows stay repeated. An empty table gives no rows.
     """
     url = F.col("url")
-    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.when(url.contains("://"), alias_form(url)).alias("node"))
-    seen = stored(seen.withColumn("m", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "node", "m.rule", "m.action"), "urls")
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.where("src is not null and dst is not null").select("src", "dst"))
     links = stored(links, "links")
-    edges = links.select(alias_form(F.col("src")).alias("src"), alias_form(F.col("dst")).alias("dst")).where("src != dst")
-    # the ends of links, most of which are no pages, decide as pages do
-    end = links.select(F.explode(F.array("src", "dst")).alias("url")).where(url.contains("://")).select(host_of(url).alias("host"), path_of(url).alias("path"), alias_form(url).alias("node"))
-    ends = end.select("node", matching_rule(F.col("host"), F.col("path"), rules)["action"].alias("action")).where("action is not null").distinct()
+    # every url once: pages, and the ends of links, most of which are no pages
+    ends = links.select(F.explode(F.array("src", "dst")).alias("url"))
+    urls = stored(url_nodes(pages.select("url").unionAll(ends).where(url.contains("://"))), "urls")
+    edges = urls.select(F.col("node").alias("src"), F.col("form").alias("dst")).unionAll(links.where("src != dst").select(_node(F.col("src")), _node(F.col("dst"))))
     named = stored(components(edges), "components")
-    node = seen.where("node is not null").join(named.hint("merge"), "node", "left").select("page_id", "host", "path", "rule", "action", F.coalesce("component", "node").alias("component"))
-    node = node.unionByName(seen.where("node is null").select("page_id", "host", "path", "rule", "action", F.lit(None).cast("string").alias("component")))
-    deciding = node.where("action is not null and component is not null").select("component", "action")
-    deciding = deciding.unionByName(ends.join(named.hint("merge"), "node", "left").select(F.coalesce("component", "node").alias("component"), "action"))
-    decided = deciding.groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"))
-    out = node.join(decided.hint("merge"), "component", "left")
-    alias = F.when(F.col("allowed").isNull(), None).when(F.col("allowed"), "allow").otherwise("block")
+    member = F.substring("node", 2, 2**31 - 1)
+    rule = matching_rule(host_of(member), path_of(member), rules)
+    told = named.where(F.col("node").startswith("u")).select("component", rule["action"].alias("action")).where("action is not null")
+    decided = told.groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"))
+    alias = stored(named.join(decided.hint("merge"), "component").select("node", "allowed"), "alias")
+    seen = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("m", matching_rule(F.col("host"), F.col("path"), rules))
+    seen = stored(seen.select("page_id", _node(F.col("url")).alias("node"), "host", "path", "m.rule", "m.action"), "seen")
+    out = spread_join(seen, alias, "node", "left")
+    verdict = F.when(F.col("allowed").isNull(), None).when(F.col("allowed"), "allow").otherwise("block")
     return out.select(
-        "page_id", "host", "path", "rule", F.coalesce("action", alias, F.lit("allow")).alias("verdict"),
-        F.when(F.col("action").isNotNull(), "rule").when(alias.isNotNull(), "alias").otherwise("default").alias("decided_by"),
+        "page_id", "host", "path", "rule", F.coalesce("action", verdict, F.lit("allow")).alias("verdict"),
+        F.when(F.col("action").isNotNull(), "rule").when(verdict.isNotNull(), "alias").otherwise("default").alias("decided_by"),
     )
