@@ -3,17 +3,20 @@
 A text is normalised as the model says (blanks become U+2581, one is put in front), cut into symbols, and
 the adjacent pair with the best score, the leftmost of equals, is merged until no pair is in the
 vocabulary: an agenda ordered by (score, position). Symbols that end outside the vocabulary become bytes.
+Long chunks have a heap each; the agendas of the short ones of a batch, a few entries each, are arrays that advance
+together.
 
 No piece of such a vocabulary has the blank mark after another character, so no merge crosses the place
 before a blank mark, and the chunks between those places are encoded on their own. Chunks repeat, so
 their results are held in a table of bounded size. All chunks that a table does not hold are compared,
-batch by batch, with the sentencepiece library; a difference fails the job.
+batch by batch, with the sentencepiece library, ids and decoded text alike; a difference fails the job.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 import sys
 from collections.abc import Iterator
@@ -27,10 +30,12 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import map_arrow
 
 MARK = "▁"
-#: Chunks that a worker remembers; the table is emptied when it is full.
-CHUNKS_HELD = 400_000
+#: Chunks that a task remembers; the table is emptied when it is full.
+CHUNKS_HELD = 300_000
 #: Chunks of more characters are not remembered.
 LONGEST_HELD = 64
+#: Chunks of more characters are merged with a heap.
+LONGEST_ARRAY = 48
 NONE = np.iinfo("i8").max
 #: Stands for every character that the vocabulary lacks.
 LACKING = (1 << 20) - 1
@@ -53,7 +58,8 @@ class MergeEncoder:
         self.names = [str(i) for i in range(n)]
         self.chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.ids_held: dict[str, str] = {}
-        self.text_held: dict[str, str] = {}
+        #: text of the chunks that are not decoded to themselves
+        self.other_text: dict[str, str] = {}
         # place in the order of scores, best first; equal scores share a place
         scores = np.array([sp.get_score(i) for i in range(n)])
         self.place = np.unique(-scores, return_inverse=True)[1].astype("i8")
@@ -72,6 +78,7 @@ class MergeEncoder:
         found = sorted((self.symbol[p[:k]] << 20 | self.symbol[p[k:]], i) for p, i in self.id_of.items() for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol)
         self.pair_keys = np.array([k for k, _ in found] or [-1], "i8")
         self.pair_ids = np.array([i for _, i in found] or [0], "i8")
+        self.pair_table = dict(found)
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the merged pairs, -1 where the vocabulary lacks them."""
@@ -79,9 +86,68 @@ class MergeEncoder:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ids[at], -1)
 
+    def _spelt(self, text: str) -> list[int]:
+        """Ids of a symbol that is not in the vocabulary: its bytes, or the unknown piece."""
+        return [self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
+
+    def merge_long(self, chunk: str) -> list[int]:
+        """Ids of one chunk: a heap of (score, position) of adjacent pairs, and links between the symbols that are left.
+
+        An entry is stale if a symbol of its pair has been merged since; each merge enters the two pairs that arise.
+        """
+        symbol = self.of_char[np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), "<u4")].astype("i8")
+        merged = self._merged(symbol[:-1], symbol[1:])
+        at = np.flatnonzero(merged >= 0)
+        agenda = list(zip(self.place[merged[at]].tolist(), at.tolist(), merged[at].tolist(), strict=True))
+        heapq.heapify(agenda)
+        held = symbol.tolist()
+        n = len(held)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        places, pairs = self.place.tolist(), self.pair_table
+        want = {i: new for _, i, new in agenda}  # what each position would become with its right neighbour
+        while agenda:
+            _, i, new = heapq.heappop(agenda)
+            if want.get(i) != new:
+                continue
+            j = right[i]
+            held[i], held[j] = new, -1
+            want.pop(j, None)
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+            for a, b in ((left[i], i), (i, k)):
+                if a >= 0 and b < n:
+                    made = pairs.get(held[a] << 20 | held[b])
+                    if made is None:
+                        want.pop(a, None)
+                    else:
+                        want[a] = made
+                        heapq.heappush(agenda, (places[made], a, made))
+                elif a >= 0:
+                    want.pop(a, None)
+        out: list[int] = []
+        i = 0
+        while i < n:
+            if held[i] < len(self.pieces):
+                out.append(held[i])
+            else:
+                out += self._spelt(chunk[i : right[i]])
+            i = right[i]
+        return out
+
     def merge(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk."""
+        long = {i: self.merge_long(c) for i, c in enumerate(chunks) if len(c) > LONGEST_ARRAY}
+        if not long:
+            return self.merge_short(chunks)
+        short = iter(self.merge_short([c for i, c in enumerate(chunks) if i not in long]))
+        return [long[i] if i in long else next(short) for i in range(len(chunks))]
+
+    def merge_short(self, chunks: list[str]) -> list[list[int]]:
         """Ids of each chunk. The agendas of all chunks advance together: in each round every chunk takes
         the best entry of its agenda, the leftmost of equals, and enters the two pairs that arise."""
+        if not chunks:
+            return []
         text = "".join(chunks)
         size = np.array([len(c) for c in chunks])
         symbol = self.of_char[np.frombuffer(text.encode("utf-32-le"), "<u4")].astype("i8")
@@ -124,7 +190,7 @@ class MergeEncoder:
         ids = symbol.tolist()
         odd = np.flatnonzero(symbol >= len(self.pieces)).tolist()  # not in the vocabulary: bytes, or unknown
         if odd:
-            spelt = {k: [self.byte_id[b] for b in text[start[k] : start[k] + width[k]].encode("utf-8")] if self.byte_id else [self.unknown] for k in odd}
+            spelt = {k: self._spelt(text[start[k] : start[k] + width[k]]) for k in odd}
             begin = [0, *ends[:-1]]
             return [[i for k in range(a, b) for i in (spelt.get(k) or (ids[k],))] for a, b in zip(begin, ends, strict=True)]
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -150,7 +216,13 @@ class MergeEncoder:
             if ids != lib and c != MARK:
                 raise ValueError(f"the chunk {c!r} has ids {ids}, the library gives {lib}")
             self.ids_held[c] = ",".join(map(self.names.__getitem__, ids))
-            self.text_held[c] = self.spell(ids)
+        texts = list(map(self.spell, own))
+        self.other_text.update((c, t) for c, t in zip(fresh, texts, strict=True) if t != c.replace(MARK, " "))
+        # a chunk begins with a blank mark, so that bytes of two chunks do not meet
+        spelt = "".join(texts)
+        if self.library.decode([i for ids in own for i in ids]) != spelt.removeprefix(" "):
+            wrong = next((c for c, ids, t in zip(fresh, own, texts, strict=True) if self.library.decode(ids) != t.removeprefix(" ")), fresh[0])
+            raise ValueError(f"the chunk {wrong!r} is decoded otherwise by the library")
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of ids, the ids joined by commas and the decoded text."""
@@ -161,23 +233,29 @@ class MergeEncoder:
             else:
                 parts.append((MARK + t.replace(" ", f" {MARK}")).split(" ") if t else [])
         if len(self.ids_held) > CHUNKS_HELD:
-            self.ids_held.clear()
-            self.text_held.clear()
+            self.forget()
         if fresh := list(set().union(*parts).difference(self.ids_held)):
             self._learn(fresh)
         out = []
         for p in parts:
             ids = ",".join(map(self.ids_held.__getitem__, p))
-            out.append((ids.count(",") + 1 if p else 0, ids, "".join(map(self.text_held.__getitem__, p))[1:]))
+            spelt = p if not self.other_text or self.other_text.keys().isdisjoint(p) else [self.other_text.get(c) or c for c in p]
+            # chunks that are decoded to themselves have blanks for their marks
+            out.append((ids.count(",") + 1 if p else 0, ids, "".join(spelt).replace(MARK, " ")[1:]))
         for c in fresh:
             if len(c) > LONGEST_HELD:
-                del self.ids_held[c], self.text_held[c]
+                del self.ids_held[c]
+                self.other_text.pop(c, None)
         return out
 
+    def forget(self) -> None:
+        self.ids_held.clear()
+        self.other_text.clear()
+
 
 @functools.lru_cache(maxsize=1)
 def _encoder(model_path: str) -> MergeEncoder:
-    """One for all tasks of a worker, so that its table of chunks lives on."""
+    """One for all tasks of a worker: reading the vocabulary takes longer than many texts."""
     return MergeEncoder(model_path)
 
 
@@ -195,6 +273,7 @@ def _encode(model_path: str, whole: bool):
             else:
                 sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.int64()), pa.array([sha(d[1]) for d in done]), pa.array([sha(d[2]) for d in done])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()  # the worker goes on to other tasks
 
     return encode
 
@@ -213,13 +292,19 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), _encode(model_path, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """rows with a column decoded: the text of the ids, as the library's decode(ids) gives it; null ids count as none."""
+def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """rows with a column ``name``: the text of the ids, as the library's decode(ids) gives it; null ids count as none.
+
+    A column of that name must not be there yet.
+    """
     from pyspark.sql.functions import pandas_udf
 
+    if name in rows.columns:
+        raise ValueError(f"rows has a column {name} already")
+
     @pandas_udf("string")
     def text(series):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         return series.map(lambda ids: sp.decode([int(i) for i in ids]) if ids is not None else "")
 
-    return rows.withColumn("decoded", text(F.col(ids_col)))
+    return rows.withColumn(name, text(F.col(ids_col)))
