@@ -61,13 +61,13 @@ def cell_advantage(samples: DataFrame, penalties: DataFrame, least_deviation: fl
     cells and divided by their whole size. Sample deviation, least_deviation at least; null in a group of one.
     samples: (sample_id, unique_id); penalties: (sample_id, y, x, penalty).
     """
-    cells = penalties.join(samples, "sample_id").withColumn("r", -F.col("penalty"))
+    cells = penalties.join(samples.hint("merge"), "sample_id").withColumn("r", -F.col("penalty"))
     sizes = samples.groupBy("unique_id").agg(F.count("*").alias("k"))
     sums = cells.groupBy("unique_id", "y", "x").agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
     mean, k = F.col("s") / F.col("k"), F.col("k")
     variance = F.greatest((F.col("q") - F.col("s") * mean) / F.when(k > 1, k - 1), F.lit(0.0))
-    moments = sums.join(sizes, "unique_id").select("unique_id", "y", "x", mean.alias("mean"), F.when(k > 1, F.greatest(F.sqrt(variance), F.lit(least_deviation))).alias("sd"))
-    return cells.join(moments, ["unique_id", "y", "x"]).select("sample_id", "unique_id", "y", "x", ((F.col("r") - F.col("mean")) / F.col("sd")).alias("advantage"))
+    moments = sums.join(sizes.hint("merge"), "unique_id").select("unique_id", "y", "x", mean.alias("mean"), F.when(k > 1, F.greatest(F.sqrt(variance), F.lit(least_deviation))).alias("sd"))
+    return cells.join(moments.hint("merge"), ["unique_id", "y", "x"]).select("sample_id", "unique_id", "y", "x", ((F.col("r") - F.col("mean")) / F.col("sd")).alias("advantage"))
 
 
 def not_antisymmetric(preferences: DataFrame) -> DataFrame:

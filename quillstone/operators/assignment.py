@@ -86,13 +86,13 @@ def rewards(gt: DataFrame, pred: DataFrame, matches: DataFrame, images: DataFram
     """
     clip = lambda c, low: F.greatest(F.least(c, F.lit(1.0)), F.lit(low))
     held = matches if "similarity" in matches.columns else matches.withColumn("similarity", F.lit(0.0))
-    pairs = held.join(gt.select("image_id", "gt_idx", F.coalesce("importance", F.lit(50)).alias("g")), ["image_id", "gt_idx"]).join(pred.select("image_id", "pred_idx", F.col("importance").alias("p")), ["image_id", "pred_idx"])
+    pairs = held.join(gt.select("image_id", "gt_idx", F.coalesce("importance", F.lit(50)).alias("g")).hint("merge"), ["image_id", "gt_idx"]).join(pred.select("image_id", "pred_idx", F.col("importance").alias("p")).hint("merge"), ["image_id", "pred_idx"])
     close = F.coalesce(clip(1 - F.abs(F.col("g") - F.col("p")) / 50.0, 0.0), F.lit(0.0))
     m = pairs.groupBy("image_id").agg(F.count("*").alias("n_matched"), F.sum("diou").alias("near"), F.sum(close).alias("close"), F.sum(clip((F.col("similarity") - 0.5) / 0.4, 0.0)).alias("like"))
     sizes = gt.groupBy("image_id").agg(F.count("*").alias("n_gt")).join(pred.groupBy("image_id").agg(F.count("*").alias("n_pred")), "image_id", "full_outer")
     if images is not None:
         sizes = images.select("image_id").join(sizes, "image_id", "left")
-    t = sizes.join(m, "image_id", "left").na.fill(0)
+    t = sizes.join(m.hint("merge"), "image_id", "left").na.fill(0)
     most = F.greatest("n_gt", "n_pred", F.lit(1))
     missed = F.col("n_gt") + F.col("n_pred") - 2 * F.col("n_matched")
     box = F.when((F.col("n_gt") == 0) & (F.col("n_pred") == 0), 0.3).when(F.col("n_pred") == 0, -0.8).when(F.col("n_gt") == 0, -0.3).otherwise(clip((F.col("near") - 0.5 * missed) / most, -1.0))

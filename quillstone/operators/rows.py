@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.sources.files import work_path
+
 
 def hash_order(seed: str, *key: Column) -> Column:
     """A pseudo-random order that only depends on the seed and the key."""
@@ -15,14 +17,19 @@ def hash_order(seed: str, *key: Column) -> Column:
 def global_index(df: DataFrame, *order: Column, name: str = "index") -> DataFrame:
     """Position from 0 in the order, without a window over all rows.
 
-    A range-partitioned sort numbers rows within partitions; the sizes of the partitions, one row each, give
-    the offsets. Ties must be broken by order itself.
+    The rows, range-partitioned and sorted, are written once with their partition and place in it; the sizes of the
+    partitions, one row each, give the offsets. Ties must be broken by order itself.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_p", "_i", "_before")
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()  # the partition in the upper bits, the place in the lower 33
+    path = work_path(df.sparkSession, "ordered")
+    parts.withColumn("_n", number).write.parquet(path)
+    local = df.sparkSession.read.schema(f"{parts.schema.toDDL()}, _n bigint").parquet(path)
+    local = local.withColumn("_p", F.shiftright("_n", 33)).withColumn("_i", F.col("_n").bitwiseAND(F.lit(2**33 - 1)))
+    sizes = local.groupBy("_p").agg(F.count("*").alias("_size"))
+    before = sizes.select("_p", (F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).alias("_before"))
+    # as many rows as partitions
+    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_n", "_before")
 
 
 def keyed_sample(df: DataFrame, n: int, seed: str, *key: Column) -> DataFrame:

@@ -17,9 +17,38 @@ def cells(boxes: DataFrame, grid: int = 64, extent: int = 1000) -> DataFrame:
     return rows.withColumn("x", F.explode(F.sequence("cx0", F.col("cx1") - 1))).drop("cx0", "cy0", "cx1", "cy1")
 
 
-def penalty_map(boxes: DataFrame, alpha: dict[str, float], other: float, grid: int = 64) -> DataFrame:
-    """(image_id, y, x, penalty): overlaps of a label take the largest weight, labels add; only covered cells are rows."""
-    by_label = cells(boxes, grid).groupBy("image_id", "label", "y", "x").agg(F.max(F.coalesce(F.col("importance") / 100.0, F.lit(1.0))).alias("w"))
+def covered_weight(boxes: DataFrame, grid: int = 64, extent: int = 1000) -> DataFrame:
+    """(image_id, label, weight): over the grid's cells, the sum of the largest importance (100 where null) of the label's boxes on a cell.
+
+    No cell becomes a row: the boxes of an image and label, which are few, are cut at their own distinct edges, and each of
+    these rectangles counts with its number of cells. One shuffle by image and label.
+    """
+    at = lambda c: F.least(F.greatest(F.floor(F.col(c) * grid / extent), F.lit(0)), F.lit(grid)).cast("int")
+    b = boxes.select("image_id", "label", *[at(c).alias(c) for c in ("x0", "y0", "x1", "y1")], F.coalesce(F.col("importance").cast("long"), F.lit(100)).alias("w")).where("x0 < x1 and y0 < y1")
+    per = b.groupBy("image_id", "label").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "w")).alias("b"))
+    edges = lambda a, z: F.array_sort(F.array_distinct(F.concat(F.transform("b", lambda r: r[a]), F.transform("b", lambda r: r[z]))))
+    strips = lambda e: F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda p, q: F.struct(p.alias("a"), q.alias("z")))
+    per = per.select("image_id", "label", "b", strips(edges("x0", "x1")).alias("xs"), strips(edges("y0", "y1")).alias("ys"))
+    most = lambda x, y: F.aggregate("b", F.lit(0).cast("long"), lambda s, r: F.greatest(s, F.when((r["x0"] <= x["a"]) & (x["a"] < r["x1"]) & (r["y0"] <= y["a"]) & (y["a"] < r["y1"]), r["w"]).otherwise(F.lit(0))))
+    area = lambda x, y: ((x["z"] - x["a"]) * (y["z"] - y["a"])).cast("long")
+    total = F.aggregate("ys", F.lit(0).cast("long"), lambda s, y: s + F.aggregate("xs", F.lit(0).cast("long"), lambda t, x: t + area(x, y) * most(x, y)))
+    return per.select("image_id", "label", total.alias("weight"))
+
+
+def map_scalar_of_boxes(boxes: DataFrame, alpha: float, other: float, grid: int = 64) -> DataFrame:
+    """(image_id, scalar): map_scalar of the penalty map with alpha for misalignment and other for the rest, without the map itself.
+
+    Whole numbers are summed and divided once, so that results do not depend on the order of rows.
+    """
+    of = lambda yes: F.sum(F.when((F.col("label") == "misalignment") == yes, F.col("weight")).otherwise(0))
+    sums = covered_weight(boxes, grid).groupBy("image_id").agg(of(True).alias("m"), of(False).alias("o"))
+    return sums.select("image_id", (-(alpha * F.col("m") + other * F.col("o")) / (100 * grid * grid)).alias("scalar"))
+
+
+def penalty_map(boxes: DataFrame, alpha: dict[str, float], other: float, grid: int = 64, stacking: bool = False) -> DataFrame:
+    """(image_id, y, x, penalty): overlaps of a label take the largest weight (with stacking their sum), labels add; only covered cells are rows."""
+    joint = F.sum if stacking else F.max
+    by_label = cells(boxes, grid).groupBy("image_id", "label", "y", "x").agg(joint(F.coalesce(F.col("importance") / 100.0, F.lit(1.0))).alias("w"))
     a = F.lit(other)
     for label, value in alpha.items():
         a = F.when(F.col("label") == label, value).otherwise(a)

@@ -42,8 +42,8 @@ def j06_candidate_pairs(spark, sf_dir):
 @query
 def g12_diou(spark, sf_dir):
     gt, pred = boxes(spark, sf_dir)
-    pairs = matching.candidate_pairs(gt, pred, 0.0).where("gt_idx = pred_idx")
-    return pairs.select("image_id", "gt_idx", F.round(iou(box("gt_"), box("pred_")), 6).alias("iou"), F.round(diou(box("gt_"), box("pred_")), 6).alias("diou"))
+    pairs = matching.candidate_pairs(gt, pred, 0.0)
+    return pairs.select("image_id", "gt_idx", "pred_idx", F.round(iou(box("gt_"), box("pred_")), 6).alias("iou"), F.round(diou(box("gt_"), box("pred_")), 6).alias("diou"))
 
 
 @query
@@ -61,26 +61,20 @@ def k04_agnostic_matches(spark, sf_dir):
 @query
 def k06_outcomes(spark, sf_dir):
     gt, pred = boxes(spark, sf_dir)
-    found = matching.outcomes(gt, pred, matching.greedy_matches(matching.candidate_pairs(gt, pred, 0.5), ["image_id"]))
+    found = matching.image_outcomes(gt, pred, 0.5)
     return found.groupBy("image_id", "outcome", "label").agg(F.count("*").alias("n"))
 
 
 @query
 def m03_instance_metrics(spark, sf_dir):
     gt, pred = boxes(spark, sf_dir)
-    found = matching.outcomes(gt, pred, matching.greedy_matches(matching.candidate_pairs(gt, pred, 0.5), ["image_id"]))
-    return metrics.instance_metrics(found)
+    return metrics.instance_metrics(matching.image_outcomes(gt, pred, 0.5))
 
 
 @query
 def m04_threshold_sweep(spark, sf_dir):
     gt, pred = boxes(spark, sf_dir)
-    pairs = matching.candidate_pairs(gt, pred, min(THRESHOLDS))
-    swept = pairs.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, THRESHOLDS)), lambda t: t <= F.col("iou"))))
-    n = matching.greedy_matches(swept, ["image_id", "threshold"]).groupBy("threshold").agg(F.count("*").alias("tp"))
-    total = gt.agg(F.count("*").alias("n_gt")).join(F.broadcast(pred.agg(F.count("*").alias("n_pred"))))  # one row each
-    out = n.join(F.broadcast(total)).select("threshold", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
-    return out.select("*", *metrics.precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))
+    return matching.swept(gt, pred, THRESHOLDS).select("*", *metrics.precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def _counts(spark, sf_dir):
@@ -118,7 +112,7 @@ def m16_box_sizes(spark, sf_dir):
 @query
 def w11_map_scalars(spark, sf_dir):
     gt, _ = boxes(spark, sf_dir)
-    return six(spatial.map_scalar(spatial.penalty_map(gt, {"misalignment": 0.5}, 0.05)), "scalar")
+    return six(spatial.map_scalar_of_boxes(gt, 0.5, 0.05), "scalar")
 
 
 # rewards and groups ---------------------------------------------------------------------------------------------

@@ -62,7 +62,7 @@ NAME, TYPE = (TOKENS(PLAIN.format(c)) for c in ("p_name", "p_type"))
 
 ORACLE_SQL = {
     "j06_candidate_pairs": f"{PAIRS} SELECT image_id, gt_idx, pred_idx, round(iou, 6) AS iou FROM pairs WHERE iou >= 0.1",
-    "g12_diou": f"{PAIRS} SELECT image_id, gt_idx, round(iou, 6) AS iou, round(iou - CASE WHEN diagonal > 0 THEN centre / diagonal ELSE 0 END, 6) AS diou FROM pairs WHERE gt_idx = pred_idx",
+    "g12_diou": f"{PAIRS} SELECT image_id, gt_idx, pred_idx, round(iou, 6) AS iou, round(iou - CASE WHEN diagonal > 0 THEN centre / diagonal ELSE 0 END, 6) AS diou FROM pairs",
     "k03_greedy_matches": f"{matched('0.5')} SELECT image_id, pred_idx, gt_idx FROM matches",
     "k04_agnostic_matches": f"{matched('0.5', labels=False)} SELECT image_id, pred_idx, gt_idx FROM matches",
     "k06_outcomes": f"{OUTCOMES} SELECT image_id, outcome, label, count(*) AS n FROM found GROUP BY 1, 2, 3",
@@ -70,8 +70,8 @@ ORACLE_SQL = {
         SELECT coalesce(label, 'all') AS label, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn
         FROM found GROUP BY ROLLUP (label)) {prf('sums', 'label')}""",
     "m04_threshold_sweep": f"""{matched('0.1, 0.2, 0.25, 0.3, 0.4, 0.5')}, sums AS (
-        SELECT t AS threshold, count(*) AS tp, (SELECT count(*) FROM fx_pred) - count(*) AS fp, (SELECT count(*) FROM fx_gt) - count(*) AS fn
-        FROM matches GROUP BY 1) {prf('sums', 'threshold')}""",
+        SELECT ths.t AS threshold, count(m.t) AS tp, (SELECT count(*) FROM fx_pred) - count(m.t) AS fp, (SELECT count(*) FROM fx_gt) - count(m.t) AS fn
+        FROM ths LEFT JOIN matches m ON m.t = ths.t GROUP BY 1) {prf('sums', 'threshold')}""",
     "m01_image_confusion": f"""{COUNTS}, c AS (SELECT count(*) FILTER (n_gt > 0 AND n_pred > 0) AS tp, count(*) FILTER (n_gt = 0 AND n_pred > 0) AS fp,
           count(*) FILTER (n_gt > 0 AND n_pred = 0) AS fn, count(*) FILTER (n_gt = 0 AND n_pred = 0) AS tn FROM counts)
         {prf('c', 'tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy')}""",
@@ -83,8 +83,9 @@ ORACLE_SQL = {
     "w11_map_scalars": f"""{BOXES}, c AS (SELECT image_id, label, importance, CAST(floor(x0 * 64 / 1000) AS BIGINT) AS a, least(CAST(floor(x1 * 64 / 1000) AS BIGINT), 64) AS b,
           CAST(floor(y0 * 64 / 1000) AS BIGINT) AS e, least(CAST(floor(y1 * 64 / 1000) AS BIGINT), 64) AS f FROM fx_gt),
         ys AS (SELECT *, unnest(range(e, f)) AS y FROM c), cells AS (SELECT *, unnest(range(a, b)) AS x FROM ys),
-        w AS (SELECT image_id, label, y, x, max(importance / 100.0) AS w FROM cells GROUP BY 1, 2, 3, 4)
-        SELECT image_id, round(-sum(CASE label WHEN 'misalignment' THEN 0.5 ELSE 0.05 END * CAST(w AS DOUBLE)) / 4096, 6) AS scalar FROM w GROUP BY 1""",
+        w AS (SELECT image_id, label, y, x, max(importance) AS w FROM cells GROUP BY 1, 2, 3, 4),
+        s AS (SELECT image_id, CAST(sum(CASE WHEN label = 'misalignment' THEN w ELSE 0 END) AS DOUBLE) AS m, CAST(sum(CASE WHEN label <> 'misalignment' THEN w ELSE 0 END) AS DOUBLE) AS o FROM w GROUP BY 1)
+        SELECT image_id, round(-(0.5::DOUBLE * m + 0.05::DOUBLE * o) / 409600, 6) AS scalar FROM s""",
     "a01_group_advantage": f"{SCALARS} SELECT sample_id, unique_id, round({GROUP_ADVANTAGE}, 6) AS advantage FROM scalars",
     "a01_batch_deviation": f"{SCALARS} SELECT sample_id, unique_id, round((scalar - avg(scalar) OVER (PARTITION BY unique_id)) / greatest((SELECT stddev_pop(scalar) FROM scalars), 1e-6), 6) AS advantage FROM scalars",
     "a02_decoupled_advantage": f"""{REWARDS}, z AS (SELECT unique_id, sample_id, reward_name,

@@ -177,7 +177,7 @@ def m02_class_confusion(spark, sf_dir):
     classes = F.explode(F.when(F.col("label") == "both", F.array(F.lit("artifact"), F.lit("misalignment"))).otherwise(F.array("label"))).alias("class")
     has = lambda n: fixture(spark, sf_dir, n).select("image_id", classes).groupBy("image_id", "class").agg(F.lit(1).alias(n))
     every = fixture(spark, sf_dir, "fx_images").select("image_id", F.explode(F.array(F.lit("artifact"), F.lit("misalignment"))).alias("class"))
-    t = every.join(has("fx_gt"), ["image_id", "class"], "left").join(has("fx_pred"), ["image_id", "class"], "left").na.fill(0)
+    t = every.join(has("fx_gt").hint("merge"), ["image_id", "class"], "left").join(has("fx_pred").hint("merge"), ["image_id", "class"], "left").na.fill(0)
     n = lambda g, p: F.count_if((F.col("fx_gt") == g) & (F.col("fx_pred") == p))
     return t.groupBy("class").agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
 

@@ -21,17 +21,19 @@ def query(fn):
 
 
 def _matched(spark, sf_dir, threshold, *columns):
-    """Greedy matches with the named columns of both sides."""
-    gt, pred = fixture(spark, sf_dir, "fx_gt"), fixture(spark, sf_dir, "fx_pred")
-    m = matching.greedy_matches(matching.candidate_pairs(gt, pred, threshold), ["image_id"])
-    side = lambda df, idx, p: df.select("image_id", idx, *[F.col(c).alias(f"{p}_{c}") for c in columns])
-    return m.join(side(gt, "gt_idx", "gt"), ["image_id", "gt_idx"]).join(side(pred, "pred_idx", "pred"), ["image_id", "pred_idx"])
+    """Greedy matches with the named columns of both sides; they never leave their image's row, so that no join is needed."""
+    m = matching.matched_boxes(fixture(spark, sf_dir, "fx_gt"), fixture(spark, sf_dir, "fx_pred"), threshold, "importance")
+    side = lambda p, k: [F.col(f"{k}.{c}").alias(f"{p}_{c}") for c in columns]
+    return m.select("image_id", "iou", F.col("g.idx").alias("gt_idx"), F.col("p.idx").alias("pred_idx"), *side("gt", "g"), *side("pred", "p"))
 
 
 def _described(spark, sf_dir):
-    """Matched pairs with the similarity of their descriptions: texts of the part that importance names, each compared once."""
+    """Matched pairs with the similarity of their descriptions: texts of the part whose key is the importance, each pair compared once.
+
+    Importance is 1 to 100, so the parts that it can name are those keys.
+    """
     m = _matched(spark, sf_dir, 0.5, "label", "importance")
-    part = read_table(spark, sf_dir, "part").where("p_partkey <= 100")
+    part = read_table(spark, sf_dir, "part")
     words = lambda *c: text.tokens(text.plain_description(F.concat_ws(" ", *c)))
     one = part.select(F.col("p_partkey").alias("gt_importance"), words("p_name", "p_type").alias("a"))
     two = part.select(F.col("p_partkey").alias("pred_importance"), words("p_name", "p_brand").alias("b"))
@@ -115,7 +117,7 @@ def w01_format_gate(spark, sf_dir):
 
 PLAIN = r"trim(regexp_replace(regexp_replace(lower(trim({})), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 WORDS = [TOKENS(PLAIN.format(f"concat(p_name, ' ', {c})")) for c in ("p_type", "p_brand")]
-DESCRIBED = f"""{matched("0.5")}, pt AS (SELECT p_partkey, {WORDS[0]} AS a, {WORDS[1]} AS b FROM part WHERE p_partkey <= 100),
+DESCRIBED = f"""{matched("0.5")}, pt AS (SELECT p_partkey, {WORDS[0]} AS a, {WORDS[1]} AS b FROM part WHERE p_partkey <= 100), -- importance is 1 to 100
   met AS (SELECT m.image_id, m.gt_idx, g.label, g.importance AS gi, p.importance AS pi, pr.iou FROM matches m JOIN fx_gt g ON g.image_id = m.image_id AND g.gt_idx = m.gt_idx
     JOIN fx_pred p ON p.image_id = m.image_id AND p.pred_idx = m.pred_idx JOIN pairs pr ON pr.image_id = m.image_id AND pr.gt_idx = m.gt_idx AND pr.pred_idx = m.pred_idx),
   words AS (SELECT x.p_partkey AS gi, y.p_partkey AS pi, x.a, y.b, unnest(list_distinct(x.a)) AS u FROM pt x, pt y),

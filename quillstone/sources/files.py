@@ -13,8 +13,12 @@ BAD = "_bad_line"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstone-")
+    """A new path in the folder that all executors share: spark.checkpoint.dir. Where it is unset a local master takes a temporary folder, others fail."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="quillstone-")
     return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
