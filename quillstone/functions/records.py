@@ -43,3 +43,48 @@ def degenerate(text: Column) -> Column:
     # a character with over half of a text is its commonest
     digit = F.greatest(*[n(str(d)) for d in range(10)])
     return (F.length(text) > 100) & ((digit / F.length(text) > 0.5) | (n("�") / F.length(text) > 0.3))
+
+
+#: Fixed texts of edit prompts.
+FIXED_EDIT = "Improve the image quality, fix any visual artifacts, distortions, and ensure the image accurately matches the following description: "
+FEEDBACK_EDIT = "Based on feedback from an external evaluation model, improve the qualityof this image, fix any visual artifacts, distortions, and ensure the image accurately matches the following description: "
+ACCOMPANIED = {
+    "plain": "Below is the textual feedback from the external model:\n\n",
+    "heatmap": "Below is the textual feedback from the external model, along with the corresponding artifact and misalignment heatmaps (highlighting the problematic regions):\n\n",
+    "boxes": "Below is the textual feedback from the external model, along with the bounding box annotations on the second image (highlighting the defect regions):\n\n",
+}
+
+
+def edit_prompt(caption: Column, feedback: Column, style: Column) -> Column:
+    """A prompt to edit an image, with the feedback and what accompanies it (a key of ACCOMPANIED); without feedback the fixed one."""
+    said = F.lit(ACCOMPANIED["plain"])
+    for name, text in ACCOMPANIED.items():
+        said = F.when(style == name, F.lit(text)).otherwise(said)
+    fixed, base = F.concat(F.lit(FIXED_EDIT), caption), F.concat(F.lit(FEEDBACK_EDIT), caption, F.lit("\n\n"))
+    return F.when(F.coalesce(feedback, F.lit("")) == "", fixed).otherwise(F.concat(base, said, feedback))
+
+
+def grpo_record(path: Column, prompt: Column, boxes: Column) -> Column:
+    """struct(reason, messages, gt_misalignment, gt_artifact): a prompt with its image, and the true boxes by label, whatever its case.
+
+    reason is null, missing_image_path, or invalid_bbox where a box of the two classes leaves 0..1000 or is out of order.
+    """
+    of = lambda label: F.coalesce(F.filter(boxes, lambda b: F.lower(b["label"]) == label), F.array().cast("array<struct<box_2d:array<double>,label:string>>"))
+    c = lambda b, i: b["box_2d"][i]
+    wrong = lambda b: F.exists(b["box_2d"], lambda v: (v < 0) | (v > 1000)) | (c(b, 0) >= c(b, 2)) | (c(b, 1) >= c(b, 3))
+    reason = F.when(F.coalesce(path, F.lit("")) == "", "missing_image_path").when(F.exists(F.concat(of("misalignment"), of("artifact")), wrong), "invalid_bbox")
+    part = lambda kind, image, text: F.struct(F.lit(kind).alias("type"), image.alias("image"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.array(part("image", path, none), part("text", none, prompt)).alias("content")))
+    return F.struct(reason.alias("reason"), messages.alias("messages"), of("misalignment").alias("gt_misalignment"), of("artifact").alias("gt_artifact"))
+
+
+#: Named prompt templates.
+TEMPLATES: dict[str, str] = {}
+
+
+def template(name: str) -> str:
+    """The text of a named template; an unknown name raises with the names there are."""
+    if name not in TEMPLATES:
+        raise KeyError(f"no template {name!r}; there are {sorted(TEMPLATES)}")
+    return TEMPLATES[name]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import paths, text
 from quillstone.functions.geometry import box, diou, iou
 from quillstone.operators import advantage, matching, metrics, rows, spatial
-from quillstone.plans import oracles, replies, scores
+from quillstone.plans import dialects, oracles, replies, reports, scores
 from quillstone.sources.fixtures import fixture
 from quillstone.sources.tables import read_table
 
@@ -299,5 +299,5 @@ def g06_strip_think(spark, sf_dir):
     return d.select("conv_id", "turn", F.md5(text.strip_think(t)).alias("digest"))
 
 
-QUERIES |= replies.QUERIES | scores.QUERIES
-ORACLE_SQL = oracles.ORACLE_SQL | replies.ORACLE_SQL | scores.ORACLE_SQL
+QUERIES |= replies.QUERIES | scores.QUERIES | dialects.QUERIES | reports.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | replies.ORACLE_SQL | scores.ORACLE_SQL | dialects.ORACLE_SQL | reports.ORACLE_SQL
