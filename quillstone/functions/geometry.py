@@ -23,9 +23,12 @@ def overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
-def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Intersection over union; 0 where the union has no area."""
+def iou(a: dict[str, Column], b: dict[str, Column], eps: float | None = None) -> Column:
+    """Intersection over union; 0 where the union has no area. With eps sides below 0 count as 0 and eps is added to the union."""
     both = overlap(a, b)
+    if eps is not None:
+        side = lambda c: F.greatest(c["x1"] - c["x0"], F.lit(0.0)) * F.greatest(c["y1"] - c["y0"], F.lit(0.0))
+        return both / (side(a) + side(b) - both + eps)
     union = area(a) + area(b) - both
     return F.when(union > 0, both / union).otherwise(0.0)
 

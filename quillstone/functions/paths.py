@@ -30,5 +30,11 @@ def remap_prefix(path: Column, ordered: list[tuple[str, str]]) -> Column:
     """The first prefix that fits is replaced."""
     out = path
     for old, new in reversed(ordered):
-        out = F.when(path.startswith(old), F.concat(F.lit(new), F.substring(path, len(old) + 1, 10**6))).otherwise(out)
+        out = F.when(path.startswith(old), F.concat(F.lit(new), F.substring(path, len(old) + 1, 2**31 - 1))).otherwise(out)
     return out
+
+
+def unique_name(path: Column) -> Column:
+    """parent2_parent1_stem; with fewer folders parent1_stem or the stem."""
+    folders = F.filter(F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/"), lambda p: p != "")
+    return F.concat_ws("_", F.slice(folders, F.greatest(F.size(folders) - 1, F.lit(1)), 2), stem(path))

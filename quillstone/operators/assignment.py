@@ -76,8 +76,14 @@ def optimal_matches(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return a.join(b, "image_id").mapInPandas(_assign, "image_id long, gt_idx long, pred_idx long, diou double")
 
 
+def gated(rewards: DataFrame, passed: DataFrame) -> DataFrame:
+    """rewards with total -1 for the images (image_id, passed) whose reply has not passed the format gate, or has none; with the column passed."""
+    out = rewards.join(passed.select("image_id", "passed").hint("merge"), "image_id", "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+    return out.withColumn("total", F.when(F.col("passed"), F.col("total")).otherwise(F.lit(-1.0)))
+
+
 def rewards(gt: DataFrame, pred: DataFrame, matches: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """(image_id, n_gt, n_pred, n_matched, box, importance, total) for every image of images, or with a box on either side.
+    """(image_id, n_gt, n_pred, n_matched, box, description, importance, total) for every image of images, or with a box on either side.
 
     box: 0.3 without boxes on both sides, -0.8 with true boxes only, -0.3 with predicted ones only, else the total DIoU less half a point for
     every unmatched box, over the larger count, within -1..1. importance: closeness within 50, a true one
@@ -98,4 +104,4 @@ def rewards(gt: DataFrame, pred: DataFrame, matches: DataFrame, images: DataFram
     box = F.when((F.col("n_gt") == 0) & (F.col("n_pred") == 0), 0.3).when(F.col("n_pred") == 0, -0.8).when(F.col("n_gt") == 0, -0.3).otherwise(clip((F.col("near") - 0.5 * missed) / most, -1.0))
     t = t.withColumn("box", box).withColumn("importance", F.col("close") / most).withColumn("description", F.col("like") / most)
     total = 0.6 * F.col("box") + 0.25 * F.col("description") + 0.15 * F.col("importance")
-    return t.select("image_id", "n_gt", "n_pred", "n_matched", "box", "importance", total.alias("total"))
+    return t.select("image_id", "n_gt", "n_pred", "n_matched", "box", "description", "importance", total.alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -59,3 +60,61 @@ def detection_aware_mean(pairs: DataFrame, counts: DataFrame) -> DataFrame:
 def severity(importance: Column, cuts: tuple[float, float] = (40, 70)) -> Column:
     """Negligible, moderate or critical by the cut points; null stays null."""
     return F.when(importance < cuts[0], "negligible").when(importance < cuts[1], "moderate").when(importance.isNotNull(), "critical")
+
+
+def label_f1(pairs: DataFrame, *keys: str, classes: tuple[str, ...] = ("artifact", "misalignment")) -> DataFrame:
+    """tp, fp, fn and F1 of each class among matched pairs (gt_label, pred_label): a wrong label is fn for the true and fp for the predicted class."""
+    each = pairs.select(*keys, "gt_label", "pred_label", F.explode(F.array(*map(F.lit, classes))).alias("class"))
+    g, p = F.col("gt_label") == F.col("class"), F.col("pred_label") == F.col("class")
+    n = each.groupBy(*keys, "class").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
+    return n.select(*keys, "class", "tp", "fp", "fn", *precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def extended_confusion(flags: DataFrame, *keys: str) -> DataFrame:
+    """tp, fp, fn, tn with specificity and balanced accuracy of (keys, gt, pred), booleans."""
+    n = lambda g, p: F.count_if((F.col("gt") == g) & (F.col("pred") == p))
+    c = flags.groupBy(*keys).agg(n(True, True).alias("tp"), n(False, True).alias("fp"), n(True, False).alias("fn"), n(False, False).alias("tn"))
+    specificity, recall = ratio(F.col("tn"), F.col("tn") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return c.select("*", F.round(specificity, 6).alias("specificity"), F.round((specificity + recall) / 2, 6).alias("balanced_accuracy"))
+
+
+def class_flags(per_class: DataFrame, *keys: str) -> DataFrame:
+    """(keys, class, gt, pred) of rows (keys, class, gt, pred), and one for ``overall``, true where a class is."""
+    either = per_class.groupBy(*keys).agg(F.bool_or("gt").alias("gt"), F.bool_or("pred").alias("pred")).withColumn("class", F.lit("overall"))
+    return per_class.select(*keys, "class", "gt", "pred").unionByName(either.select(*keys, "class", "gt", "pred"))
+
+
+def merged_summaries(parts: list[DataFrame], key: str) -> DataFrame:
+    """Partial summaries in one; of a name in several the last part's row stays."""
+    every = None
+    for i, p in enumerate(parts):
+        one = p.withColumn("_source", F.lit(i))
+        every = one if every is None else every.unionByName(one)
+    columns = [c for c in parts[0].columns if c != key]
+    return every.groupBy(key).agg(F.max_by(F.struct(*columns), "_source").alias("_r")).select(key, "_r.*")
+
+
+def summary_sheet(**tables: DataFrame) -> DataFrame:
+    """(sheet, item, metric, value): the numbers of several metric tables in one; their other columns, joined by blanks, name the item."""
+    out = None
+    for name, df in tables.items():
+        numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "double", "float")]
+        keys = [c for c in df.columns if c not in numbers]
+        item = F.concat_ws(" ", *keys) if keys else F.lit("")
+        long = df.select(F.lit(name).alias("sheet"), item.alias("item"), F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in numbers])).alias("m")).select("sheet", "item", "m.*")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def ranking_summary(ranks: DataFrame, methods: list[str]) -> DataFrame:
+    """(method, n, mean_rank, first, second, third) over items that rank all methods; ranks: item, method, rank."""
+    whole = ranks.withColumn("_n", F.count("*").over(Window.partitionBy("item"))).where(F.col("_n") == len(methods))
+    share = lambda k: F.round(F.avg((F.col("rank") == k).cast("double")), 6)
+    return whole.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("rank"), 6).alias("mean_rank"), share(1).alias("first"), share(2).alias("second"), share(3).alias("third"))
+
+
+def win_rates(ranks: DataFrame, methods: list[str]) -> DataFrame:
+    """(method, other, rate): how often a method has the better rank, ties counting half, over items that rank all methods."""
+    per = ranks.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("method", "rank"))).alias("r")).where(F.size("r") == len(methods))
+    pairs = F.array(*[F.struct(F.lit(a).alias("method"), F.lit(b).alias("other"), F.when(F.col("r")[a] < F.col("r")[b], 1.0).when(F.col("r")[a] == F.col("r")[b], 0.5).otherwise(0.0).alias("w")) for a in methods for b in methods if a != b])
+    return per.select(F.explode(pairs).alias("p")).groupBy("p.method", "p.other").agg(F.round(F.avg("p.w"), 6).alias("rate"))

@@ -78,3 +78,20 @@ def repeat_manifest(prompts: DataFrame, key: str, m: int, k: int, ranks: int, ba
     placed = global_index(copies.withColumn("_h", hash_order(f"{seed}|deal", F.col(key), F.col("copy"))), F.col("_h"), F.col(key), F.col("copy"))
     at = F.col("index")
     return placed.select(key, "copy", F.floor(at / (ranks * batch)).alias("iteration"), F.floor(at % (ranks * batch) / batch).alias("rank"), (at % batch).alias("slot"))
+
+
+def group_manifest(prompts: DataFrame, key: str, m: int, k: int, ranks: int, seed: str) -> DataFrame:
+    """(key, copy, rank, slot): m prompts by hash order with all k copies of one on one rank, in shuffled order; m must divide by ranks."""
+    if m % ranks:
+        raise ValueError(f"{m} groups cannot be dealt evenly to {ranks} ranks")
+    chosen = keyed_sample(prompts.select(key), m, seed, F.col(key))
+    placed = global_index(chosen.withColumn("_h", hash_order(f"{seed}|deal", F.col(key))), F.col("_h"), F.col(key))
+    per = m // ranks
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return copies.select(key, "copy", F.floor(F.col("index") / per).alias("rank"), (F.col("index") % per * k + F.col("copy")).alias("slot"))
+
+
+def permuted(df: DataFrame, key: str, names: list[str], seed: str) -> DataFrame:
+    """df with the column order: names in an order that only depends on seed and key."""
+    one = F.array(*[F.struct(hash_order(seed, F.col(key), F.lit(n)).alias("h"), F.lit(n).alias("n")) for n in names])
+    return df.withColumn("order", F.transform(F.array_sort(one), lambda s: s["n"]))

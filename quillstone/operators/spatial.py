@@ -58,3 +58,25 @@ def penalty_map(boxes: DataFrame, alpha: dict[str, float], other: float, grid: i
 def map_scalar(penalties: DataFrame, grid: int = 64) -> DataFrame:
     """(image_id, scalar): the mean over all cells of 0 less the penalty; absent cells count as 0."""
     return penalties.groupBy("image_id").agg((-F.sum("penalty") / (grid * grid)).alias("scalar"))
+
+
+def reward_map(boxes: DataFrame, scalars: DataFrame, alpha: dict[str, float], other: float, grid: int = 64, least: float = 0.0) -> DataFrame:
+    """(image_id, y, x, value) at covered cells: the image's scalar less the penalty, which is scaled by the column ``scale`` of scalars and is at least ``least``.
+
+    scalars: image_id, scalar, scale (the deviation of the image's group, or 1). Cells that no box covers have the scalar itself.
+    """
+    p = penalty_map(boxes, alpha, other, grid).join(scalars.hint("merge"), "image_id")
+    return p.select("image_id", "y", "x", (F.col("scalar") - F.greatest(F.col("penalty") * F.col("scale"), F.lit(least))).alias("value"))
+
+
+def penalty_telemetry(boxes: DataFrame, images: DataFrame, alpha: float, other: float, grid: int = 64) -> DataFrame:
+    """Per class the mean penalty of a map over the images that have the class, and their number; then boxes an image and the share of images with boxes.
+
+    Whatever is not misalignment counts as artifact.
+    """
+    named = boxes.withColumn("label", F.when(F.col("label") == "misalignment", "misalignment").otherwise("artifact"))
+    weight = F.when(F.col("label") == "misalignment", alpha).otherwise(other)
+    means = covered_weight(named, grid).groupBy("label").agg(F.count("*").alias("n_images"), (F.sum("weight") / F.count("*") / (100 * grid * grid)).alias("mean")).select("label", "n_images", (F.col("mean") * weight).alias("penalty"))
+    counts = images.select("image_id").join(boxes.groupBy("image_id").agg(F.count("*").alias("n")).hint("merge"), "image_id", "left")
+    of_all = counts.agg((F.sum(F.coalesce("n", F.lit(0))) / F.count("*")).alias("boxes"), F.avg((F.coalesce("n", F.lit(0)) > 0).cast("double")).alias("with_boxes"))
+    return means.join(F.broadcast(of_all))  # one row

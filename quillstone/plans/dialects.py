@@ -195,9 +195,10 @@ def _form(form: str) -> str:
     return f"replace(replace({_sql(form.replace('{{', '{').replace('}}', '}'))}, '{{j}}', j), '{{p}}', p)"
 
 
-TEXTS = f"""{with_clause("fx_images", "fx_gt", "fx_pred")}, o AS (SELECT image_id, pred_idx, {_printf(JSON_BOX, 7)} AS j, {_printf(LITERAL_BOX, 6)} AS p FROM fx_pred),
+TEXT_CTES = f"""o AS (SELECT image_id, pred_idx, {_printf(JSON_BOX, 7)} AS j, {_printf(LITERAL_BOX, 6)} AS p FROM fx_pred),
   per AS (SELECT image_id, string_agg(j, ', ' ORDER BY pred_idx) AS j, string_agg(p, ', ' ORDER BY pred_idx) AS p, CAST(concat('0x', substr(md5(CAST(image_id AS VARCHAR)), 1, 4)) AS INTEGER) % {len(FORMS)} AS v FROM o GROUP BY 1),
   texts AS (SELECT image_id, CASE v {" ".join(f"WHEN {i} THEN {_form(f)}" for i, f in enumerate(FORMS))} END AS reply FROM per)"""
+TEXTS = f"""{with_clause("fx_images", "fx_gt", "fx_pred")}, {TEXT_CTES}"""
 
 
 def _extract(x: str, pattern: str) -> str:

@@ -68,3 +68,9 @@ def append_results(df: DataFrame, ok: Column, ok_path: str, failed_path: str) ->
     good = F.coalesce(ok, F.lit(False))
     df.where(good).write.mode("append").parquet(ok_path)
     df.where(~good).write.mode("append").parquet(failed_path)
+
+
+def write_report(metrics: DataFrame, worst: DataFrame, path: str) -> None:
+    """A table of metrics (key columns and numbers) as JSON lines in ``path``/metrics, and the rows that fared worst in ``path``/worst."""
+    metrics.coalesce(1).write.json(f"{path}/metrics")
+    worst.write.json(f"{path}/worst")
