@@ -13,8 +13,8 @@ and of the others the prefixes in the order of these frequencies meet in buckets
 from a sample beforehand, so that their buckets can be dealt out over tasks; results do not depend on it.
 
 Documents with equal sets are one node. Groups of near copies do not become pairs: every set is first verified
-against one leader, the set it shares most prefix shingles with among those that come first in its buckets, and
-afterwards only pairs from different components are enumerated. Of those, pairs whose parity bitmaps differ in more
+against one leader, the set it shares most prefix shingles with among those that come first in its buckets, then, while that
+finds links, against one set of another component, and afterwards only pairs from different components are enumerated. Of those, pairs whose parity bitmaps differ in more
 bits than similar sets can differ in shingles are left out within the join (each shingle flips one bit of its set's
 bitmap, so the sets differ in as many shingles at least).
 """
@@ -44,6 +44,8 @@ PARITY_WORDS = 8
 SAMPLE_NODES, HOT_IN_SAMPLE = 4_000, 8
 #: Documents of a shingle for each task that its bucket is dealt out over.
 BUCKET_ROWS = 2_000
+#: Rounds in which components of a group of near copies are joined up before pairs are enumerated.
+MOST_ROUNDS = 4
 _PARITY_DDL = ", ".join(f"p{k} long" for k in range(PARITY_WORDS))
 
 _SPACE = np.zeros(256, bool)
@@ -237,6 +239,36 @@ def shared_sets(docs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFra
     return sets, whole.select("key", *PARITY)
 
 
+def _best(near: DataFrame) -> DataFrame:
+    """Pairs (a, b): for each key the other key that it meets most often, of equals the smallest; near: key, other."""
+    n = near.groupBy("key", "other").agg(F.count("*").alias("n"))
+    return n.groupBy("key").agg(F.max(F.struct("n", -F.col("other"))).alias("m")).select(F.col("key").alias("a"), (-F.col("m.col2")).alias("b"))
+
+
+def _joined_up(shared: DataFrame, star: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bucket rows with their component, and all links found: components of a group grow together before pairs are enumerated.
+
+    In each round every set meets, in each of its buckets, a set of another component, drawn by a hash of key and
+    round; the one that it meets most often is verified. Without new links, or after MOST_ROUNDS, the
+    pairs of what is still apart are left to the join, so that no link is lost.
+    """
+    for step in range(MOST_ROUNDS + 1):
+        named = stored(connected(star.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "star-components").withColumnRenamed("node", "key")
+        of = stored(spread_join(shared, named, "key", "left").withColumn("component", F.coalesce("component", "key")), "placed")
+        if step == MOST_ROUNDS:
+            break
+        bucket = Window.partitionBy("token", "salt")
+        drawn = F.struct(F.xxhash64(F.col("key"), F.lit(step)).alias("h"), "key", "component")
+        first = of.select("key", "component", "token", "salt", F.min(drawn).over(bucket).alias("x"))
+        other = first.select("key", "component", "x", F.min(F.when(F.col("component") != F.col("x.component"), drawn)).over(bucket).alias("y"))
+        met = other.select("key", F.when(F.col("component") != F.col("x.component"), F.col("x.key")).otherwise(F.col("y.key")).alias("other")).where("other is not null")
+        more = stored(verified(_best(met), sets), "more")
+        if more.isEmpty():
+            break
+        star = star.unionAll(more)
+    return of, star
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of every row, and edges (src, dst) between nodes that give the components."""
     members = surveyed(docs)
@@ -251,14 +283,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stored(shared.select("token", "salt", "salts", "key", "place", "size", "least", F.col("leader.key").alias("leader")), "buckets")
 
     # every set against the leader that it shares most with
-    near = shared.where("key != leader").groupBy("key", "leader").agg(F.count("*").alias("n"))
-    best = near.groupBy("key").agg(F.max(F.struct("n", -F.col("leader"))).alias("m")).select(F.col("key").alias("a"), (-F.col("m.col2")).alias("b"))
-    star = stored(verified(best, sets), "star")
-    named = stored(connected(star.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "star-components").withColumnRenamed("node", "key")
+    near = shared.where("key != leader").select("key", F.col("leader").alias("other"))
+    star = stored(verified(_best(near), sets), "star")
+    of, star = _joined_up(shared.drop("leader"), star, sets)
 
     # pairs from different components, in buckets that have several
-    of = spread_join(shared.drop("leader"), named, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    of = stored(of, "placed")
     mixed = of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("salts").alias("most")).where("x < y")
     mixed = mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("salt"))
     rest = of.join(mixed.hint("merge"), ["token", "salt"], "left_semi").join(maps.hint("merge"), "key")
