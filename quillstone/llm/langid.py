@@ -30,8 +30,8 @@ SHARPNESS = 6.0
 #: Shares of the two nearest languages closer than this: ambiguous.
 AMBIGUOUS_GAP = 0.1
 #: A text whose nearest codeword has more than this multiple of the loss of a text that tells nothing is in no learnt language:
-#: its bits contradict every codeword, which single wrong bits do not.
-MOST_LOSS = 1.05
+#: its bits contradict every codeword, more clearly than those of a text in two languages do (1.6 at most were seen).
+MOST_LOSS = 3.0
 UNKNOWN = "und"
 
 
