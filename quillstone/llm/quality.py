@@ -5,8 +5,9 @@ model on measures of a text is fitted by minimising the non-negative unbiased ri
 
     R = prior * E_pos[loss(g)] + max(0, E_unl[loss(-g)] - prior * E_pos[loss(-g)])
 
-with the class prior estimated as the share of good rows among the labelled ones. No text is learnt as a
-negative example.
+No label of a bad text is used. The class prior comes from the texts as well: a logistic model that tells trusted
+positives from unlabelled text estimates the ratio of their densities, which is 1 / prior wherever only good texts are;
+as most positives lie there, the median ratio over the positives gives the prior.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import dataset_remainder, map_arrow
+from quillstone.llm.common import dataset_remainder, map_arrow, stored
 
 #: Rows of each kind (trusted positives, unlabelled) that a model is fitted on at most, about.
 FIT_ROWS = 8_000
 STEPS, RATE, DECAY = 800, 0.1, 1e-4
+#: Least and largest prior, steps and ridge of the model that estimates it.
+PRIORS, PRIOR_STEPS, RIDGE = (0.05, 0.99), 40, 1e-4
 THRESHOLD = 0.3
 SIGNS = b"!#$%&*|<>{}[]@^~_=+\\/"
 
@@ -108,30 +111,43 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([measures(t or "") for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], ["x"])
 
 
-def _drawn(rows: DataFrame, n: int) -> np.ndarray:
-    """Measures of about n rows, by the hash of their ids."""
-    total = rows.count()
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * min(1.0, n / max(1, total))).limit(2 * n)
-    got = map_arrow(some.select("text"), _measure, "x array<double>").toPandas()["x"]
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of good texts among the unlabelled: one over the median density ratio of the positives."""
+    m = QualityModel(unlabelled.mean(0), unlabelled.std(0) + 1e-6, np.zeros(2 * unlabelled.shape[1] + 1), 0.5)
+    p, u = m.inputs(positive), m.inputs(unlabelled)
+    x, y = np.vstack([p, u]), np.r_[np.ones(len(p)), np.zeros(len(u))]
+    each, w = np.r_[np.full(len(p), 0.5 / len(p)), np.full(len(u), 0.5 / len(u))], m.weights
+    for _ in range(PRIOR_STEPS):  # Newton steps of a balanced logistic regression
+        s = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+        w = w - np.linalg.solve((x * (each * s * (1 - s))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (each * (s - y)) + RIDGE * w)
+    return float(np.clip(1 / np.median(np.exp((p @ w).clip(-30, 30))), *PRIORS))
+
+
+def _measured(rows: DataFrame) -> np.ndarray:
+    """Measures of the texts of a sample; few numbers a row come to the driver, no texts."""
+    got = map_arrow(rows.select("text"), _measure, "x array<double>").toPandas()["x"]
     return np.array(got.tolist(), "f8").reshape(len(got), len(measures("")))
 
 
+def _some(rows: DataFrame, n: int, total: int) -> DataFrame:
+    """About n of total rows, by the hash of their ids."""
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 1_000_000 * min(1.0, n / max(1, total)))
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel | None:
-    """Learns from labels.quality of rows whose crc32(doc_id) mod 5 is not 0; None without a good row among them.
+    """Learns from rows with labels.quality = 1 whose crc32(doc_id) mod 5 is not 0, and from unlabelled text; None without such a row.
 
-    A doc_id with several labels counts once for each; null labels count as none.
+    About fit_rows of each are drawn by the hash of their ids before any text is read. Null labels and other labels count
+    as none; a doc_id with several labels counts once.
     """
-    known = labels.where((dataset_remainder("doc_id", 5) != 0) & F.col("quality").isNotNull())
-    seen = known.agg(F.count("*"), F.avg(F.col("quality").cast("double"))).first()
-    if not seen[0] or not seen[1]:
-        return None
-    prior = min(0.99, float(seen[1]))
-    good = known.where("quality = 1").select("doc_id").distinct()
-    positive = _drawn(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), fit_rows)
-    unlabelled = _drawn(docs.where(dataset_remainder("doc_id", 5) != 0).select("doc_id", "text"), fit_rows)
+    good = stored(labels.where((dataset_remainder("doc_id", 5) != 0) & (F.col("quality") == 1)).select("doc_id").distinct(), "good")
+    ids = _some(good, fit_rows, good.count())
+    positive = _measured(docs.select("doc_id", "text").join(ids.hint("broadcast"), "doc_id", "left_semi"))  # about fit_rows ids
+    unlabelled = docs.where(dataset_remainder("doc_id", 5) != 0).select("doc_id", "text")
+    unlabelled = _measured(_some(unlabelled, fit_rows, docs.count()))
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def _score(held):
