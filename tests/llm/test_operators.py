@@ -95,6 +95,19 @@ def test_quality_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_quality_needs_no_bad_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels.where("quality = 1"))
+    assert abs(model.prior - labels.where("quality = 1").count() / labels.count()) < 0.1
+    got = quality.score(docs, labels, model).join(labels, "doc_id").where(dataset_remainder("doc_id", 5) == 0).toPandas()
+    assert ((got.score >= quality.THRESHOLD) == (got.quality == 1)).mean() > 0.95
+    # the scores are those of the model on each text alone
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got.head(20).itertuples():
+        assert r.score == pytest.approx(model.scores(__import__("numpy").array([quality.measures(texts[r.doc_id] or "")]))[0], abs=1e-9)
+
+
 def test_quality_odd_rows(spark, small):
     labels = spark.createDataFrame([(1, 1, 0), (7, 1, 1), (8, None, None), (9, 0, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.score(small, labels).count() == len(ODD)
@@ -656,17 +669,47 @@ def test_split_is_crc32(spark):
         assert all(x.r == zlib.crc32(str(x.doc_id).encode()) % m for x in got)
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
+def plain_leaks(text, items):
+    """Whether a test item is in the text within its edits, by plain dynamic programming where an exact look does not tell."""
+    t = decontaminate.normal(text)
+    for it in items:
+        k = len(it) // decontaminate.CHARS_PER_EDIT
+        if it in t:
+            return True
+        # an occurrence with k edits has one of k + 1 pieces intact; only then the distance is worked out
+        if k and any(it[len(it) * i // (k + 1) : len(it) * (i + 1) // (k + 1)] in t for i in range(k + 1)) and distance(it, t) <= k:
+            return True
+    return False
 
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+def plain_pipeline(docs, items):
     left = {i: t for i, t in docs.items() if any(map(str.isalpha, t or ""))}
     keep = plain_exact(left)
     left = {i: t for i, t in left.items() if keep[i][2]}
     group = plain_components(left)
     left = {i: t for i, t in left.items() if group[i][1] == i}
+    left = {i: t for i, t in left.items() if not plain_leaks(t, items)}
+    return dict(plain_tokens(left))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    exact = {i for i, t in left.items() if any(it in decontaminate.normal(t) for it in items)}
-    rows = by_id(corpus_pipeline.run(spark, SF))
-    assert set(rows) <= set(left) - exact and len(rows) >= len(left) - len(exact) - 2
-    assert {i: tuple(r)[1:] for i, r in rows.items()} == dict(plain_tokens({i: left[i] for i in rows}))
+    assert {i: tuple(r)[1:] for i, r in by_id(corpus_pipeline.run(spark, SF)).items()} == plain_pipeline(docs, items)
+
+
+def test_pipeline_odd_tables(spark, tmp_path, small):
+    import corpus_pipeline
+
+    item = "some words that are asked for in a test of the kind that must not leak"
+    texts = [*ODD, f"before {item} after", f"before {item.replace('asked', 'askt')} after", "word " * 40_000, "x" * 100_000]
+    odd = frame(spark, texts).withColumns({"__gone": F.lit(1), "__leak": F.lit(2), "lang": F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("lang"))})
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    sf = folder(tmp_path, documents=odd, benchmark=bench)
+    assert {i: tuple(r)[1:] for i, r in by_id(corpus_pipeline.run(spark, sf)).items()} == plain_pipeline(dict(enumerate(texts)), [item])
+    empty = folder(tmp_path / "empty", documents=odd.limit(0), benchmark=bench.limit(0))
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, sf).columns == odd.columns
