@@ -14,7 +14,7 @@ from quillstone.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null texts, texts without a letter, and texts that contradict every language learnt."""
     return langid.with_language(docs)
 
 
