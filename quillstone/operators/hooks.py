@@ -64,7 +64,7 @@ def groupwise(df: DataFrame, key: str, fn: Reward, name: str = "reward") -> Data
 
 def aggregated(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What an aggregator makes of df; it must be a DataFrame."""
-    out = df.transform(fn)
+    out = fn(df)
     if not isinstance(out, DataFrame):
         raise TypeError("an aggregator gives a DataFrame")
     return out

@@ -92,3 +92,67 @@ def test_quality_of_all_replies(spark):
     assert any(r.kind == "degenerate" for r in with_digits)
     rest = collections.Counter(r.kind for r in read if r.image_id % 5)
     assert rest["failed"] == want["failed"] and rest["parsed"] == want["parsed"]
+
+
+def test_completions_in_many_shapes(spark):
+    from quillstone.functions import responses
+
+    cases = [(None, ""), ('"plain"', "plain"), ("plain words", "plain words"), ('{"text": "a"}', "a"), ('{"text": 1, "content": "b"}', "b"), ('[{"text": "a"}, "", "b", 3, null]', "a\nb"), ('{"choices": [{"message": {"content": [{"text": "deep"}]}}]}', "deep"), ("17", ""), ("{}", ""), ("[]", ""), ('{"content": null, "message": "m"}', "")]
+    df = spark.createDataFrame(cases, "payload string, want string")
+    got = df.select("payload", "want", responses.completion_text(F.col("payload"), 6).alias("got")).collect()
+    assert [(r.payload, r.got) for r in got] == [(r.payload, r.want) for r in got]
+
+
+def test_python_literals(spark):
+    from quillstone.functions import responses
+
+    reply = """<answer>[{'box_2d': [1, 2, 3, 4], 'label': 'artifact', 'description': "it's \\"odd\\"", 'importance': None}, {'box_2d': [1, 2, 3, 5], 'label': 'it\\'s', 'description': 'None, True', 'importance': 7},]</answer>"""
+    df = spark.createDataFrame([(reply,)], "r string")
+    b = df.select(responses.parse_eval(F.col("r")).alias("b")).first().b
+    assert [(x.box_2d, x.label, x.description, x.importance) for x in b] == [([1.0, 2.0, 3.0, 4.0], "artifact", 'it\'s "odd"', None), ([1.0, 2.0, 3.0, 5.0], "it's", "None, True", 7.0)]
+
+
+def test_registry_and_hooks(spark):
+    from quillstone.operators import hooks
+
+    hooks.register("Mixed", len)
+    assert hooks.lookup("mIXED") is len and hooks.lookup("math.sqrt")(4) == 2
+    for wrong in ("none", "no.such.module", "math.nothing"):
+        with pytest.raises(KeyError):
+            hooks.lookup(wrong)
+    df = spark.range(10).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(Exception):
+        hooks.pointwise(df, lambda f: f["v"].head(1)).collect()
+    with pytest.raises(TypeError):
+        hooks.aggregated(df, lambda d: d.collect())
+
+
+def test_union_areas(spark):
+    from quillstone.operators import regions
+
+    shape = "gt array<struct<x0:double,y0:double,x1:double,y1:double>>, pred array<struct<x0:double,y0:double,x1:double,y1:double>>, iou double, empty boolean"
+    one, zero = (0.0, 0.0, 10.0, 10.0), (0.0, 0.0, 0.0, 0.0)
+    cases = [([], [], 1.0, True), ([zero], None, 1.0, True), ([one], [], 0.0, False), ([one, one], [(0.0, 0.0, 5.0, 10.0), (4.0, 0.0, 10.0, 10.0)], 1.0, False), ([one], [(5.0, 0.0, 15.0, 10.0)], 1 / 3, False)]
+    for r in spark.createDataFrame(cases, shape).select("iou", "empty", regions.union_iou(F.col("gt"), F.col("pred")).alias("u")).collect():
+        assert r.u.iou == pytest.approx(r.iou) and r.u.both_empty == r.empty
+
+
+def test_aligned_tables_and_groups_that_do_not_divide(spark):
+    from quillstone.operators import projection, rows
+
+    a = spark.range(3).select(F.col("id").alias("k"))
+    with pytest.raises(ValueError):
+        projection.aligned(a, a.where("k < 2"), "k")
+    with pytest.raises(ValueError):
+        rows.group_manifest(a, "k", 3, 2, 2, "s")
+
+
+def test_rectangles_give_the_map_scalar(spark):
+    from quillstone.operators import spatial
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), str(rng.choice(["artifact", "misalignment", "both"])), int(a), int(b), int(a + w), int(b + h), None if p < 1 else int(p)) for i, a, b, w, h, p in rng.integers([0, 0, 0, 0, 0, 0], [6, 900, 900, 600, 600, 101], (40, 6))]
+    df = spark.createDataFrame(rows, "image_id long, label string, x0 int, y0 int, x1 int, y1 int, importance int")
+    plain = {r.image_id: r.scalar for r in spatial.map_scalar(spatial.penalty_map(df, {"misalignment": 0.5}, 0.05)).collect()}
+    got = {r.image_id: r.scalar for r in spatial.map_scalar_of_boxes(df, 0.5, 0.05).collect()}
+    assert got.keys() == plain.keys() and all(got[i] == pytest.approx(plain[i]) for i in got)
