@@ -28,11 +28,11 @@ def sft_messages(prompt: Column, reply: Column) -> Column:
     return F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("<image>"), prompt).alias("content")), F.struct(F.lit("assistant").alias("role"), reply.alias("content")))
 
 
-def valid_boxes(boxes: Column, labels: tuple[str, ...] = ("artifact", "misalignment")) -> Column:
-    """Whether all boxes have a known label and four ordered numbers within 0..1000; an empty list is valid, null is not."""
+def valid_boxes(boxes: Column, labels: tuple[str, ...] | None = ("artifact", "misalignment")) -> Column:
+    """Whether all boxes have a known label (any, where labels is None) and four ordered numbers within 0..1000; an empty list is valid, null is not."""
     def fits(b: Column) -> Column:
         c = b["box_2d"]
-        return (F.size(c) == 4) & F.forall(c, lambda v: (v >= 0) & (v <= 1000)) & (F.get(c, F.lit(0)) < F.get(c, F.lit(2))) & (F.get(c, F.lit(1)) < F.get(c, F.lit(3))) & b["label"].isin(*labels)
+        return (F.size(c) == 4) & F.forall(c, lambda v: (v >= 0) & (v <= 1000)) & (F.get(c, F.lit(0)) < F.get(c, F.lit(2))) & (F.get(c, F.lit(1)) < F.get(c, F.lit(3))) & (b["label"].isin(*labels) if labels else F.lit(True))
 
     return F.coalesce(F.forall(boxes, lambda b: F.coalesce(fits(b), F.lit(False))), F.lit(False))
 

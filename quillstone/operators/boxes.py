@@ -18,9 +18,10 @@ def audit(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("errors", F.when(null, F.array(F.lit("not numeric"))).otherwise(F.array_compact(F.array(*tests))))
 
 
-def to_pixels(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
-    """Coordinates of 0..1000 as pixels, truncated; corners ordered, boxes without area left out."""
-    at = lambda c, size: F.floor(F.col(c) * size / EXTENT).cast("long")
+def to_pixels(boxes: DataFrame, width: Column, height: Column, base: int = EXTENT, clamped: bool = False) -> DataFrame:
+    """Coordinates of 0..base (1000, or 512 in old records) as pixels, truncated; corners ordered, boxes without area left out. clamped keeps them in the image."""
+    plain = lambda c, size: F.floor(F.col(c) * size / base).cast("long")
+    at = lambda c, size: F.least(F.greatest(plain(c, size), F.lit(0)), size.cast("long")) if clamped else plain(c, size)
     p = {"x0": at("x0", width), "y0": at("y0", height), "x1": at("x1", width), "y1": at("y1", height)}
     ordered = {"x0": F.least(p["x0"], p["x1"]), "y0": F.least(p["y0"], p["y1"]), "x1": F.greatest(p["x0"], p["x1"]), "y1": F.greatest(p["y0"], p["y1"])}
     return boxes.withColumns(ordered).where("x0 < x1 and y0 < y1")

@@ -118,3 +118,11 @@ def win_rates(ranks: DataFrame, methods: list[str]) -> DataFrame:
     per = ranks.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("method", "rank"))).alias("r")).where(F.size("r") == len(methods))
     pairs = F.array(*[F.struct(F.lit(a).alias("method"), F.lit(b).alias("other"), F.when(F.col("r")[a] < F.col("r")[b], 1.0).when(F.col("r")[a] == F.col("r")[b], 0.5).otherwise(0.0).alias("w")) for a in methods for b in methods if a != b])
     return per.select(F.explode(pairs).alias("p")).groupBy("p.method", "p.other").agg(F.round(F.avg("p.w"), 6).alias("rate"))
+
+
+def unit_means(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, place, value): mean of the vectors (key, mask, embedding) whose mask is true, scaled to length 1; all zeros stay."""
+    e = vectors.where("mask").select(key, F.posexplode("embedding").alias("place", "v"))
+    mean = e.groupBy(key, "place").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    length = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(key)))
+    return mean.select(key, "place", F.when(length > 0, F.col("m") / length).otherwise(0.0).alias("value"))

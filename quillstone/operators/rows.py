@@ -33,7 +33,7 @@ def global_index(df: DataFrame, *order: Column, name: str = "index") -> DataFram
 
 
 def keyed_sample(df: DataFrame, n: int, seed: str, *key: Column) -> DataFrame:
-    """n rows by hash order (a top-k, not a full sort)."""
+    """n rows by hash order: a top-k, not a full sort, so n is a sample that one task can hold."""
     return df.orderBy(hash_order(seed, *key), *key).limit(n)
 
 

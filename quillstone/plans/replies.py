@@ -70,6 +70,12 @@ def g09_pixels(spark, sf_dir):
     return boxes.to_pixels(gt, F.lit(37), F.lit(53)).select("image_id", "gt_idx", "x0", "y0", "x1", "y1")
 
 
+@query
+def g09_old_pixels(spark, sf_dir):
+    """Coordinates that were taken in 512 steps, kept in the image."""
+    return boxes.to_pixels(fixture(spark, sf_dir, "fx_gt"), F.lit(37), F.lit(53), base=512, clamped=True).select("image_id", "gt_idx", "x0", "y0", "x1", "y1")
+
+
 @query
 def g14_jitter(spark, sf_dir):
     return boxes.jitter(fixture(spark, sf_dir, "fx_gt"), 3, 10, "j", "image_id", "gt_idx").select("epoch", "image_id", "gt_idx", "x0", "y0", "x1", "y1")
@@ -160,14 +166,9 @@ def judged(spark, sf_dir):
     return r.withColumn("kind", kind)
 
 
-@query
-def m07_reply_quality(spark, sf_dir):
-    return judged(spark, sf_dir).where("image_id % 5 != 0 or image_id % 8 = 6").groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query
 def m07_all_replies(spark, sf_dir):
-    """m07_reply_quality over every reply, those with digits too; without SQL, held to a plain version by tests."""
+    """Every reply of eight forms, those with digits too; without SQL, held to a plain version by tests."""
     return judged(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -224,14 +225,13 @@ ORACLE_SQL = {name: _parse_sql(policy) for policy, name in NAMES.items()} | {
           CASE WHEN y0 >= y1 THEN 'y0 >= y1' END, CASE WHEN x0 >= x1 THEN 'x0 >= x1' END]) AS error FROM m)
         SELECT label, error, count(*) AS n FROM e WHERE error IS NOT NULL GROUP BY 1, 2""",
     "g09_pixels": f"""{GT}, p AS (SELECT image_id, gt_idx, x0 * 37 // 1000 AS x0, y0 * 53 // 1000 AS y0, x1 * 37 // 1000 AS x1, y1 * 53 // 1000 AS y1 FROM fx_gt) SELECT * FROM p WHERE x0 < x1 AND y0 < y1""",
+    "g09_old_pixels": f"""{GT}, p AS (SELECT image_id, gt_idx, least(x0 * 37 // 512, 37) AS x0, least(y0 * 53 // 512, 53) AS y0, least(x1 * 37 // 512, 37) AS x1, least(y1 * 53 // 512, 53) AS y1 FROM fx_gt) SELECT * FROM p WHERE x0 < x1 AND y0 < y1""",
     "g14_jitter": f"""{GT}, e AS (SELECT *, unnest([0, 1, 2]) AS epoch FROM fx_gt), m AS (SELECT epoch, image_id, gt_idx, {", ".join(map(_shift, ("x0", "y0", "x1", "y1")))} FROM e)
         SELECT epoch, image_id, gt_idx, {_side("x0", "x1")}, {_side("y0", "y1")} FROM m""",
     "r01_prompts": f"""{IMAGES} SELECT image_id, concat('Find defects of "', caption, '" as {{"box_2d": []}}') AS prompt FROM fx_images""",
     "r02_sft_reasons": f"""{with_clause("fx_images", "fx_pred")}, p AS (SELECT image_id, count(*) FILTER (x0 >= x1 OR y0 >= y1 OR x1 > 1000 OR y1 > 1000) AS bad FROM fx_pred GROUP BY 1)
         SELECT CASE WHEN bad IS NULL THEN 'missing_field' WHEN image_id % 8 IN (4, 5, 6) THEN 'missing_think_block' WHEN bad > 0 AND image_id % 8 <> 7 THEN 'invalid_bbox' ELSE 'ok' END AS reason, count(*) AS n
         FROM fx_images LEFT JOIN p USING (image_id) GROUP BY 1""",
-    "m07_reply_quality": f"""{PRED}, i AS (SELECT DISTINCT image_id FROM fx_pred WHERE image_id % 5 <> 0 OR image_id % 8 = 6)
-        SELECT CASE WHEN image_id % 5 = 0 OR image_id % 11 = 0 THEN 'degenerate' WHEN image_id % 8 IN (4, 6) THEN 'failed' ELSE 'parsed' END AS kind, count(*) AS n FROM i GROUP BY 1""",
     "m02_class_confusion": f"""{with_clause("fx_images", "fx_gt", "fx_pred")}, c AS (SELECT unnest(['artifact', 'misalignment']) AS class),
         t AS (SELECT class, EXISTS (SELECT 1 FROM fx_gt g WHERE g.image_id = i.image_id AND g.label IN (class, 'both')) AS g, EXISTS (SELECT 1 FROM fx_pred p WHERE p.image_id = i.image_id AND p.label IN (class, 'both')) AS p FROM fx_images i, c)
         SELECT class, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn, count(*) FILTER (NOT g AND NOT p) AS tn FROM t GROUP BY 1""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import paths, records, responses, text
 from quillstone.functions.geometry import box, iou
 from quillstone.operators import advantage, assignment, hooks, matching, metrics, projection, regions, rows, spatial
+from quillstone.plans import dialects
 from quillstone.plans.dialects import TEXT_CTES, texts
 from quillstone.plans.oracles import COUNTS, OUTCOMES, PAIRS, matched, prf
 from quillstone.sources import files
@@ -336,6 +337,60 @@ def m19_summary_sheet(spark, sf_dir):
     return metrics.summary_sheet(classes=metrics.instance_metrics(found).drop("precision", "recall"), thresholds=matching.swept(gt, pred, (0.1, 0.5)).withColumn("threshold", F.format_number("threshold", 2)))
 
 
+@query
+def m07_reply_quality(spark, sf_dir):
+    """Degenerate, failed and parsed replies among texts of many forms, some made degenerate by digits before them or by U+FFFD."""
+    i = F.col("image_id")
+    r = texts(spark, sf_dir).select("image_id", F.when(i % 5 == 0, F.concat(F.repeat(F.lit("7"), 400), "reply")).when(i % 11 == 0, F.repeat(F.lit("\ufffd"), 101)).otherwise(F.col("reply")).alias("reply"))
+    kind = F.when(records.degenerate(F.col("reply")), "degenerate").when(responses.parse_eval(F.col("reply")).isNull(), "failed").otherwise("parsed")
+    return r.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def r02_messages(spark, sf_dir):
+    d = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    m = d.select("conv_id", records.sft_messages(F.col("first"), F.col("last")).alias("m"))
+    return m.select("conv_id", F.posexplode("m").alias("place", "m")).select("conv_id", "place", "m.role", F.md5("m.content").alias("digest"))
+
+
+@query
+def p08_first_truthy(spark, sf_dir):
+    c = F.when(F.col("image_id") % 3 == 0, "").when(F.col("image_id") % 3 == 1, None).otherwise(F.col("caption"))
+    return fixture(spark, sf_dir, "fx_images").select("image_id", text.first_truthy(c, F.nullif(F.col("split"), F.lit("test")), F.lit("none")).alias("value"))
+
+
+@query
+def g02_coordinates(spark, sf_dir):
+    """Images whose boxes all have corners in range and order, whatever their labels; y1 moved so that some fail."""
+    b = F.struct(F.array(F.col("x0"), "y0", "x1", F.when(F.col("gt_idx") == 3, F.col("y0")).otherwise(F.col("y1"))).cast("array<double>").alias("box_2d"), F.lit("other").alias("label"))
+    per = fixture(spark, sf_dir, "fx_gt").groupBy("image_id").agg(F.collect_list(b).alias("b"))
+    return images_of(spark, sf_dir).join(per.hint("merge"), "image_id", "left").groupBy(records.valid_boxes(F.col("b"), None).alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query
+def g06_think_blocks(spark, sf_dir):
+    """How many texts lose a think block."""
+    r = texts(spark, sf_dir).select(F.replace("reply", F.lit("</think>"), F.when(F.col("image_id") % 2 == 0, "</think>\n").otherwise("</think>")).alias("t"))
+    return r.agg(F.count("*").alias("n"), F.count_if(text.strip_think(F.col("t")) != F.col("t")).alias("changed"), F.sum(F.length(text.strip_think(F.col("t")))).alias("length"))
+
+
+@query
+def x05_unit_means(spark, sf_dir):
+    """Mean vector of the unmasked vectors of a label, scaled to length 1."""
+    e = read_table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 4 != 0).alias("mask"), "embedding")
+    return metrics.unit_means(e, "label").select("label", "place", F.round("value", 5).alias("value"))
+
+
+@query
+def k05_optimal_costs(spark, sf_dir):
+    """Total cost of the optimal assignment of each image with boxes on both sides: 2 for each pair that no label allows, else less its DIoU."""
+    gt, pred = sides(spark, sf_dir)
+    m = assignment.optimal_matches(gt, pred).groupBy("image_id").agg(F.count("*").alias("k"), F.sum("diou").alias("near"))
+    n = lambda df, name: df.groupBy("image_id").agg(F.count("*").alias(name))
+    both = n(gt, "a").join(n(pred, "b").hint("merge"), "image_id").join(m.hint("merge"), "image_id", "left").na.fill(0)
+    return both.select("image_id", F.round(assignment.MISMATCH * (F.least("a", "b") - F.col("k")) - F.col("near"), 6).alias("cost"))
+
+
 # rankings -------------------------------------------------------------------------------------------------------
 
 
@@ -618,6 +673,26 @@ ORACLE_SQL = {
 }
 _M03 = "found GROUP BY ROLLUP (label)"
 ORACLE_SQL["s07_report"] = f"""{OUTCOMES} SELECT coalesce(label, 'all') AS label, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM {_M03}"""
+_MOST = 16
+_LEVELS = ", ".join(f"""l{i + 1} AS (SELECT image_id, mask, min(cost) AS cost FROM (SELECT * FROM l{i} UNION ALL SELECT l.image_id, l.mask | (1 << c.j), l.cost + c.cost FROM l{i} l JOIN c ON c.image_id = l.image_id AND c.i = {i} AND l.mask & (1 << c.j) = 0) GROUP BY 1, 2)""" for i in range(_MOST))
+# one true box after the other takes a predicted one that is free, or none: the least cost of each set of taken boxes
+ORACLE_SQL["k05_optimal_costs"] = f"""{PAIRS}, c AS (SELECT image_id, dense_rank() OVER (PARTITION BY image_id ORDER BY gt_idx) - 1 AS i, dense_rank() OVER (PARTITION BY image_id ORDER BY pred_idx) - 1 AS j,
+    CASE WHEN gt_label = pred_label OR gt_label = 'both' OR pred_label = 'both' THEN -(iou - CASE WHEN diagonal > 0 THEN centre / diagonal ELSE 0 END) ELSE 2 END AS cost FROM pairs),
+  n AS (SELECT image_id, least(max(i), max(j)) + 1 AS k FROM c GROUP BY 1), l0 AS (SELECT image_id, CAST(0 AS BIGINT) AS mask, CAST(0 AS DOUBLE) AS cost FROM n), {_LEVELS}
+  SELECT image_id, round(min(cost), 6) AS cost FROM l{_MOST} JOIN n USING (image_id) WHERE bit_count(mask) = k GROUP BY 1"""
+_EVAL = dialects.ORACLE_SQL["b01_literals"].replace(dialects.TEXTS, "").rsplit("SELECT image_id, CAST(len(b)", 1)[0].rstrip()
+ORACLE_SQL["m07_reply_quality"] = f"""{dialects.TEXTS.replace("texts AS (", "raw AS (")}, texts AS (SELECT image_id, CASE WHEN image_id % 5 = 0 THEN concat(repeat('7', 400), reply) WHEN image_id % 11 = 0 THEN repeat(chr(65533), 101) ELSE reply END AS reply FROM raw)
+  {_EVAL}, d AS (SELECT image_id, length(reply) AS n, list_max(list_transform(range(10), lambda k: length(reply) - length(replace(reply, CAST(k AS VARCHAR), '')))) AS digit, length(reply) - length(replace(reply, chr(65533), '')) AS odd FROM texts)
+  SELECT CASE WHEN n > 100 AND (digit / n > 0.5 OR odd / n > 0.3) THEN 'degenerate' WHEN l IS NULL THEN 'failed' ELSE 'parsed' END AS kind, count(*) AS n FROM d JOIN l USING (image_id) GROUP BY 1"""
+ORACLE_SQL |= {
+    "r02_messages": """WITH d AS (SELECT conv_id, arg_min(text, turn) AS a, arg_max(text, turn) AS z FROM conversations GROUP BY 1) SELECT conv_id, 0 AS place, 'user' AS role, md5(concat('<image>', a)) AS digest FROM d UNION ALL SELECT conv_id, 1, 'assistant', md5(z) FROM d""",
+    "p08_first_truthy": f"{I} SELECT image_id, CASE WHEN image_id % 3 = 2 THEN caption WHEN split <> 'test' THEN split ELSE 'none' END AS value FROM fx_images",
+    "g02_coordinates": f"""{ALL}, b AS (SELECT image_id, bool_and(gt_idx <> 3 AND x0 < x1 AND y0 < y1 AND x1 <= 1000 AND y1 <= 1000) AS v FROM fx_gt GROUP BY 1) SELECT coalesce(v, false) AS valid, count(*) AS n FROM fx_images LEFT JOIN b USING (image_id) GROUP BY 1""",
+    "g06_think_blocks": f"""{dialects.TEXTS}, t AS (SELECT CASE WHEN image_id % 2 = 0 THEN replace(reply, '</think>', '</think>' || chr(10)) ELSE reply END AS t FROM texts), s AS (SELECT t, regexp_replace(t, '(?s)<think>.*?</think>\n', '', 'g') AS s FROM t)
+        SELECT count(*) AS n, count(*) FILTER (s <> t) AS changed, CAST(sum(length(s)) AS BIGINT) AS length FROM s""",
+    "x05_unit_means": """WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings WHERE vec_id % 4 <> 0), m AS (SELECT label, place, avg(CAST(v AS DOUBLE)) AS m FROM e GROUP BY 1, 2)
+        SELECT label, CAST(place AS INTEGER) AS place, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 5) AS value FROM m""",
+}
 ORACLE_SQL["m19_summary_sheet"] = f"""{matched("0.1, 0.5")},
   o AS (SELECT CASE WHEN m.gt_idx IS NULL THEN 'fn' ELSE 'tp' END AS outcome, g.label FROM fx_gt g LEFT JOIN matches m ON m.t = 0.5 AND g.image_id = m.image_id AND g.gt_idx = m.gt_idx
     UNION ALL SELECT 'fp', p.label FROM fx_pred p ANTI JOIN (SELECT * FROM matches WHERE t = 0.5) m ON p.image_id = m.image_id AND p.pred_idx = m.pred_idx),

@@ -76,9 +76,9 @@ def a07_cell_advantage(spark, sf_dir):
 
 
 def _preferences(spark, sf_dir):
-    n = lambda c: read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(c), F.col("n_regionkey").alias(f"r_{c}"))
-    # nations of one region are compared
-    both = n("i").join(n("j"), F.col("r_i") == F.col("r_j")).where("i != j")
+    """Images of one group of six are compared, each way by a hash."""
+    n = lambda c: fixture(spark, sf_dir, "fx_images").select(F.col("image_id").alias(c), F.floor(F.col("image_id") / 6).alias("g"))
+    both = n("i").join(n("j").hint("merge"), "g").where("i != j")
     return both.select("i", "j", (F.conv(F.substring(F.md5(F.concat_ws("|", "i", "j")), 1, 1), 16, 10).cast("int") % 2).alias("value"))
 
 
@@ -124,8 +124,8 @@ DESCRIBED = f"""{matched("0.5")}, pt AS (SELECT p_partkey, {WORDS[0]} AS a, {WOR
   likes AS (SELECT gi, pi, 2.0 * CAST(sum(least(len(list_filter(a, lambda x: x = u)), len(list_filter(b, lambda x: x = u)))) AS DOUBLE) / (len(any_value(a)) + len(any_value(b))) AS similarity FROM words GROUP BY 1, 2),
   described AS (SELECT * FROM met JOIN likes USING (gi, pi))"""
 LEVEL = "CASE WHEN {0} < 40 THEN 'negligible' WHEN {0} < 70 THEN 'moderate' ELSE 'critical' END".format
-PREFERENCES = """WITH prefs AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j, CAST(concat('0x', substr(md5(concat(a.n_nationkey, '|', b.n_nationkey)), 1, 1)) AS INTEGER) % 2 AS v
-  FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey)"""
+PREFERENCES = """WITH prefs AS (SELECT a.o_orderkey AS i, b.o_orderkey AS j, CAST(concat('0x', substr(md5(concat(a.o_orderkey, '|', b.o_orderkey)), 1, 1)) AS INTEGER) % 2 AS v
+  FROM orders a JOIN orders b ON a.o_orderkey // 6 = b.o_orderkey // 6 AND a.o_orderkey <> b.o_orderkey)"""
 _H, _W = "CAST(1 + o_orderkey * 37 % 3001 AS DOUBLE)", "CAST(1 + o_custkey * 53 % 2903 AS DOUBLE)"
 
 

@@ -49,7 +49,11 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 
 
 def append_once(stream: DataFrame, key: str, ok: Column, path: str) -> None:
-    """First rows by key, split into ``path``/ok and ``path``/failed. A batch that runs again after a failure replaces its own files."""
+    """First rows by key, split into ``path``/ok and ``path``/failed. A batch that runs again after a failure replaces its own files.
+
+    The state holds every key once, in the state store of the executors: it grows with the number of different keys, which must
+    fit there. For keys without end, give the stream a watermark and drop repeats within it.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         good = F.coalesce(ok, F.lit(False))
