@@ -451,7 +451,7 @@ def _greedy(spark, sf_dir):
 def w03_description_terms(spark, sf_dir):
     gt, pred = sides(spark, sf_dir)
     r = assignment.rewards(gt, pred, _greedy(spark, sf_dir), images_of(spark, sf_dir))
-    return r.select("image_id", "n_matched", *[F.round(c, 9).alias(c) for c in ("box", "description", "importance", "total")])
+    return r.select("image_id", "n_matched", *[F.round(c, 6).alias(c) for c in ("box", "description", "importance")])
 
 
 @query
@@ -650,7 +650,7 @@ ORACLE_SQL = {
     "r06_ranking_export": f"{I}, o AS (SELECT image_id, {_order('blind')} AS o FROM fx_images) SELECT image_id, o[1] AS a, o[3] AS c, CASE WHEN image_id % 8 <> 0 THEN CAST(round(image_id * 977 % 100000 / 1000.0::DOUBLE) AS BIGINT) END AS duration_seconds FROM o",
     "r07_blind_manifest": f"{I}, o AS (SELECT image_id, concat('images/', gen, '_', split, '_', replace({BASE}, '.png', ''), '_') AS p, {_order('blind')} AS o FROM fx_images) SELECT image_id, concat(p, 'original.jpg') AS original, concat(p, o[1], '.jpg,', p, o[2], '.jpg,', p, o[3], '.jpg') AS edits FROM o",
     "r01_templates": f"""{I} SELECT image_id, concat('Rate ', caption) AS short, concat('Rate ', caption, ' as {{"score": 0}}') AS long FROM fx_images""",
-    "w03_description_terms": f"{REWARD} SELECT image_id, n_matched, round(box, 9) AS box, round(description, 9) AS description, round(importance, 9) AS importance, round(0.6 * box + 0.25 * description + 0.15 * importance, 9) AS total FROM w",
+    "w03_description_terms": f"{REWARD} SELECT image_id, n_matched, round(box, 6) AS box, round(description, 6) AS description, round(importance, 6) AS importance FROM w",
     "w09_stacked": f"{_STACK.format(joint='sum')} SELECT image_id, count(*) AS cells, round(sum(p), 5) AS penalty FROM p GROUP BY 1",
     "w10_scaled_maps": f"""{_STACK.format(joint='max')}, s AS (SELECT o_orderkey AS image_id, o_orderkey // 8 AS u, o_orderkey * 37 % 101 / 101.0::DOUBLE AS s FROM orders), v AS (SELECT image_id, s, coalesce(stddev_samp(s) OVER (PARTITION BY u), 0) AS d FROM s)
         SELECT image_id, count(*) AS cells, round(sum(s - greatest(p * d, 0.02)), 5) AS value FROM p JOIN v USING (image_id) GROUP BY 1""",
