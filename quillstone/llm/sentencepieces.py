@@ -31,7 +31,7 @@ from quillstone.llm.common import map_arrow
 
 MARK = "▁"
 #: Chunks that a task remembers; the table is emptied when it is full.
-CHUNKS_HELD = 300_000
+CHUNKS_HELD = 150_000
 #: Chunks of more characters are not remembered.
 LONGEST_HELD = 64
 #: Chunks of more characters are merged with a heap.
@@ -78,7 +78,11 @@ class MergeEncoder:
         found = sorted((self.symbol[p[:k]] << 20 | self.symbol[p[k:]], i) for p, i in self.id_of.items() for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol)
         self.pair_keys = np.array([k for k, _ in found] or [-1], "i8")
         self.pair_ids = np.array([i for _, i in found] or [0], "i8")
-        self.pair_table = dict(found)
+
+    @functools.cached_property
+    def pair_table(self) -> dict[int, int]:
+        """The pairs as a dict, for single look-ups; made only where there is a long chunk."""
+        return dict(zip(self.pair_keys.tolist(), self.pair_ids.tolist(), strict=True))
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the merged pairs, -1 where the vocabulary lacks them."""
