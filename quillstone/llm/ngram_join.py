@@ -13,8 +13,9 @@ and of the others the prefixes in the order of these frequencies meet in buckets
 from a sample beforehand, so that their buckets can be dealt out over tasks; results do not depend on it.
 
 Documents with equal sets are one node. Groups of near copies do not become pairs: every set is first verified
-against one leader, the set it shares most prefix shingles with among those that come first in its buckets, then, while that
-finds links, against one set of another component, and afterwards only pairs from different components are enumerated. Of those, pairs whose parity bitmaps differ in more
+against one leader, the set it shares most prefix shingles with among those that come first in its buckets, and
+afterwards only pairs from different components are enumerated. The closest few of each two components are verified first,
+the others only where these have not joined the two. Of those, pairs whose parity bitmaps differ in more
 bits than similar sets can differ in shingles are left out within the join (each shingle flips one bit of its set's
 bitmap, so the sets differ in as many shingles at least).
 """
@@ -44,8 +45,8 @@ PARITY_WORDS = 8
 SAMPLE_NODES, HOT_IN_SAMPLE = 4_000, 8
 #: Documents of a shingle for each task that its bucket is dealt out over.
 BUCKET_ROWS = 2_000
-#: Rounds in which components of a group of near copies are joined up before pairs are enumerated.
-MOST_ROUNDS = 4
+#: Candidate pairs of two components that are verified before all others.
+TRIED = 3
 _PARITY_DDL = ", ".join(f"p{k} long" for k in range(PARITY_WORDS))
 
 _SPACE = np.zeros(256, bool)
@@ -245,28 +246,20 @@ def _best(near: DataFrame) -> DataFrame:
     return n.groupBy("key").agg(F.max(F.struct("n", -F.col("other"))).alias("m")).select(F.col("key").alias("a"), (-F.col("m.col2")).alias("b"))
 
 
-def _joined_up(shared: DataFrame, star: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bucket rows with their component, and all links found: components of a group grow together before pairs are enumerated.
+def _named(edges: DataFrame) -> DataFrame:
+    """(key, component) of the keys that edges (a, b) join."""
+    return stored(connected(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "key-components").withColumnRenamed("node", "key")
 
-    In each round every set meets, in each of its buckets, a set of another component, drawn by a hash of key and
-    round; the one that it meets most often is verified. Without new links, or after MOST_ROUNDS, the
-    pairs of what is still apart are left to the join, so that no link is lost.
+
+def _closest(candidates: DataFrame) -> DataFrame:
+    """Of the candidate pairs of each two components up to TRIED pairs (a, b): those whose bitmaps differ least.
+
+    One link joins two components; those most likely to link are verified first, so that two groups of near
+    copies that belong together are not linked by all their pairs.
     """
-    for step in range(MOST_ROUNDS + 1):
-        named = stored(connected(star.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "star-components").withColumnRenamed("node", "key")
-        of = stored(spread_join(shared, named, "key", "left").withColumn("component", F.coalesce("component", "key")), "placed")
-        if step == MOST_ROUNDS:
-            break
-        bucket = Window.partitionBy("token", "salt")
-        drawn = F.struct(F.xxhash64(F.col("key"), F.lit(step)).alias("h"), "key", "component")
-        first = of.select("key", "component", "token", "salt", F.min(drawn).over(bucket).alias("x"))
-        other = first.select("key", "component", "x", F.min(F.when(F.col("component") != F.col("x.component"), drawn)).over(bucket).alias("y"))
-        met = other.select("key", F.when(F.col("component") != F.col("x.component"), F.col("x.key")).otherwise(F.col("y.key")).alias("other")).where("other is not null")
-        more = stored(verified(_best(met), sets), "more")
-        if more.isEmpty():
-            break
-        star = star.unionAll(more)
-    return of, star
+    two = [F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d"), F.pmod(F.xxhash64("a", "b"), F.lit(TRIED)).alias("k")]
+    least = candidates.groupBy(*two).agg(F.min(F.struct(F.col("differ") / (F.col("sa") + F.col("sb")), "a", "b")).alias("m"))
+    return least.select("m.a", "m.b")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +278,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # every set against the leader that it shares most with
     near = shared.where("key != leader").select("key", F.col("leader").alias("other"))
     star = stored(verified(_best(near), sets), "star")
-    of, star = _joined_up(shared.drop("leader"), star, sets)
+    of = spread_join(shared.drop("leader"), _named(star), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    of = stored(of, "placed")
 
     # pairs from different components, in buckets that have several
     mixed = of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("salts").alias("most")).where("x < y")
@@ -297,14 +291,22 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     need = F.expr("ceil(3 * (x.size + y.size) / 7.0)")
     able = F.expr("least(x.place, y.place) + least(x.size - x.place, y.size - y.place)") >= need
     pair = F.expr("x.token = y.token and x.salt = y.salt and x.component != y.component and (x.size < y.size or x.size = y.size and x.key < y.key) and 4 * x.size >= 3 * y.size") & able
-    differ = F.expr(" + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY)) <= F.expr("x.size + y.size") - 2 * need
-    met = x.join(y, pair & differ).select(
+    differ = F.expr(" + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY))
+    met = x.join(y, pair & (differ <= F.expr("x.size + y.size") - 2 * need)).select(
         F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.expr("least(x.least, y.least)").alias("least"), need.alias("need"),
+        F.col("x.component").alias("ca"), F.col("y.component").alias("cb"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb"), differ.alias("differ"),
         F.expr("struct(x.place as p, least(x.size - x.place, y.size - y.place) as room)").alias("at"),
     )
-    again = met.groupBy("a", "b", "least", "need").agg(F.count("*").alias("n"), F.min("at").alias("at")).where("n >= least and at.room >= need").select("a", "b")
-    late = verified(again, sets)
-    return members, stored(star.unionAll(late).select("src", "dst"), "links")
+    one = [F.first(c).alias(c) for c in ("least", "need", "ca", "cb", "sa", "sb", "differ")]  # the same in all rows of a pair
+    again = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("at").alias("at"), *one).where("n >= least and at.room >= need")
+    again = stored(again.select("a", "b", "ca", "cb", "sa", "sb", "differ"), "candidates")
+    first = stored(verified(_closest(again), sets), "first")
+    # the other candidates count only where the two are still apart
+    named = _named(star.unionAll(first))
+    now = lambda df, c: spread_join(df, named.select(F.col("key").alias(c), F.col("component").alias(f"n{c}")), c, "left")
+    apart = now(stored(now(again.select("a", "b"), "a"), "apart"), "b").where("coalesce(na, a) != coalesce(nb, b)").select("a", "b")
+    late = verified(apart, sets)
+    return members, stored(star.unionAll(first).unionAll(late).select("src", "dst"), "links")
 
 
 def components(docs: DataFrame) -> DataFrame:
