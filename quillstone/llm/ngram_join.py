@@ -301,10 +301,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("at").alias("at"), *one).where("n >= least and at.room >= need")
     again = stored(again.select("a", "b", "ca", "cb", "sa", "sb", "differ"), "candidates")
     first = stored(verified(_closest(again), sets), "first")
-    # the other candidates count only where the two are still apart
+    # the other candidates count only where their components are still apart; a component is named by one of its keys
     named = _named(star.unionAll(first))
-    now = lambda df, c: spread_join(df, named.select(F.col("key").alias(c), F.col("component").alias(f"n{c}")), c, "left")
-    apart = now(stored(now(again.select("a", "b"), "a"), "apart"), "b").where("coalesce(na, a) != coalesce(nb, b)").select("a", "b")
+    two = again.select(F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d"))
+    now = lambda df, c: df.join(named.select(F.col("key").alias(c), F.col("component").alias(f"n{c}")).hint("merge"), c, "left")
+    still = stored(now(now(two.distinct(), "c"), "d").where("coalesce(nc, c) != coalesce(nd, d)").select("c", "d"), "apart")
+    apart = again.withColumns({"c": F.least("ca", "cb"), "d": F.greatest("ca", "cb")}).join(still.hint("merge"), ["c", "d"], "left_semi").select("a", "b")
     late = verified(apart, sets)
     return members, stored(star.unionAll(first).unionAll(late).select("src", "dst"), "links")
 
