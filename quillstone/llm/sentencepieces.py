@@ -31,7 +31,9 @@ from quillstone.llm.common import map_arrow
 
 MARK = "▁"
 #: Chunks that a task remembers; the table is emptied when it is full.
-CHUNKS_HELD = 150_000
+CHUNKS_HELD = 100_000
+#: Texts whose agendas are worked off together: arrays of some tens of bytes for each of their characters.
+TEXTS_AT_ONCE = 100
 #: Chunks of more characters are not remembered.
 LONGEST_HELD = 64
 #: Chunks of more characters are merged with a heap.
@@ -269,8 +271,8 @@ def _encode(model_path: str, whole: bool):
         for b in batches:
             texts = b.column(1).to_pylist()
             done = []
-            for i in range(0, len(texts), 500):
-                done += coder.encode_batch([t or "" for t in texts[i : i + 500]])
+            for i in range(0, len(texts), TEXTS_AT_ONCE):
+                done += coder.encode_batch([t or "" for t in texts[i : i + TEXTS_AT_ONCE]])
             if whole:
                 ids = pa.array([[int(x) for x in d[1].split(",")] if d[1] else [] for d in done], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([d[2] for d in done], pa.string())], ["doc_id", "ids", "decoded"])
