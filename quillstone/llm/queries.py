@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, exact_dedup, langid, ngram_join, personal_data, quality, sentencepieces, toxicity, url_filters, warc
+from quillstone.llm import conversations, decontaminate, exact_dedup, langid, merkle, ngram_join, page_text, personal_data, quality, sentencepieces, toxicity, url_filters, warc
 from quillstone.llm.common import dataset_remainder, table
+from quillstone.llm.oracles import ASCII_LOWER, CONVERSATIONS, MERKLE
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +59,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_ngram_jaccard, op4_warc, op5_language, op6_personal_data, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontamination)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
 
-ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repairs(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_ngram_jaccard, op4_warc, op5_language, op6_personal_data, op7_exact_dedup, op8_url_filters, op9_toxicity, op10_decontamination, op11_merkle, op12_html, op13_conversations)}
 
 ORACLE_SQL = {
     "op4_warc": """
@@ -76,4 +87,6 @@ ORACLE_SQL = {
              g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
         SELECT t.doc_id, g.keep_id, g.group_size, g.keep_id = t.doc_id AS kept, sha256(t.x) AS text_sha256
         FROM t JOIN g ON t.x = g.x""",
+    "op11_merkle": MERKLE,
+    "op13_conversations": CONVERSATIONS,
 }
