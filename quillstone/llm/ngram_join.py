@@ -47,6 +47,8 @@ SAMPLE_NODES, HOT_IN_SAMPLE = 4_000, 8
 BUCKET_ROWS = 2_000
 #: Candidate pairs of two components that are verified before all others.
 TRIED = 3
+#: Keys that stand for a component in a bucket before all its keys do.
+STAND_INS = 4
 _PARITY_DDL = ", ".join(f"p{k} long" for k in range(PARITY_WORDS))
 
 _SPACE = np.zeros(256, bool)
@@ -262,6 +264,40 @@ def _closest(candidates: DataFrame) -> DataFrame:
     return least.select("m.a", "m.b")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (token, salt, salts, component, ...) of buckets that hold several components."""
+    tokens = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("salts").alias("most")).where("x < y")
+    tokens = tokens.select("token", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("salt"))
+    return rows.join(tokens.hint("merge"), ["token", "salt"], "left_semi")
+
+
+def _stand_ins(rows: DataFrame) -> DataFrame:
+    """Up to STAND_INS keys of each component in a bucket, for the buckets in which these are far fewer than all.
+
+    Two large groups of copies then meet by a few rows and are joined by one link; what they do not link is left to the pairs of all.
+    """
+    part = F.pmod(F.xxhash64("key"), F.lit(STAND_INS))
+    one = rows.groupBy("token", "component", part.alias("part")).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("token", "component")]), F.xxhash64("key", "token")).alias("r"), F.count("*").alias("n"))
+    one = stored(one.select("token", "component", "r.*", "n"), "stand-ins")
+    dense = one.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("m")).where("n >= 1.5 * m").select("token")
+    return one.drop("n").join(dense.hint("merge"), "token", "left_semi")
+
+
+def _met(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of different components in one bucket that may be similar, with their components, sizes and places."""
+    x = rest.where("place < size - ceil(6 * size / 7.0) + least").alias("x")
+    y = rest.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y").hint("merge")
+    need = F.expr("ceil(3 * (x.size + y.size) / 7.0)")
+    able = F.expr("least(x.place, y.place) + least(x.size - x.place, y.size - y.place)") >= need
+    pair = F.expr("x.token = y.token and x.salt = y.salt and x.component != y.component and (x.size < y.size or x.size = y.size and x.key < y.key) and 4 * x.size >= 3 * y.size") & able
+    differ = F.expr(" + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY))
+    return x.join(y, pair & (differ <= F.expr("x.size + y.size") - 2 * need)).select(
+        F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.expr("least(x.least, y.least)").alias("least"), need.alias("need"),
+        F.col("x.component").alias("ca"), F.col("y.component").alias("cb"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb"), differ.alias("differ"),
+        F.expr("struct(x.place as p, least(x.size - x.place, y.size - y.place) as room)").alias("at"),
+    )
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) of every row, and edges (src, dst) between nodes that give the components."""
     members = surveyed(docs)
@@ -281,22 +317,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = spread_join(shared.drop("leader"), _named(star), "key", "left").withColumn("component", F.coalesce("component", "key"))
     of = stored(of, "placed")
 
-    # pairs from different components, in buckets that have several
-    mixed = of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("salts").alias("most")).where("x < y")
-    mixed = mixed.select("token", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("salt"))
-    rest = of.join(mixed.hint("merge"), ["token", "salt"], "left_semi").join(maps.hint("merge"), "key")
-    rest = stored(rest, "mixed")
-    x = rest.where("place < size - ceil(6 * size / 7.0) + least").alias("x")
-    y = rest.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y").hint("merge")
-    need = F.expr("ceil(3 * (x.size + y.size) / 7.0)")
-    able = F.expr("least(x.place, y.place) + least(x.size - x.place, y.size - y.place)") >= need
-    pair = F.expr("x.token = y.token and x.salt = y.salt and x.component != y.component and (x.size < y.size or x.size = y.size and x.key < y.key) and 4 * x.size >= 3 * y.size") & able
-    differ = F.expr(" + ".join(f"bit_count(x.{p} ^ y.{p})" for p in PARITY))
-    met = x.join(y, pair & (differ <= F.expr("x.size + y.size") - 2 * need)).select(
-        F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.expr("least(x.least, y.least)").alias("least"), need.alias("need"),
-        F.col("x.component").alias("ca"), F.col("y.component").alias("cb"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb"), differ.alias("differ"),
-        F.expr("struct(x.place as p, least(x.size - x.place, y.size - y.place) as room)").alias("at"),
-    )
+    # pairs from different components, in buckets that have several: first only of keys that stand for their components
+    rest = stored(_mixed(of).join(maps.hint("merge"), "key"), "mixed")
+    few = stored(_stand_ins(rest), "few")
+    if not few.isEmpty():
+        star = stored(star.unionAll(verified(_closest(_met(few)), sets)), "joined")
+        rest = stored(spread_join(rest.drop("component"), _named(star), "key", "left").withColumn("component", F.coalesce("component", "key")), "placed-again")
+        rest = stored(_mixed(rest), "mixed-again")
+    met = _met(rest)
     one = [F.first(c).alias(c) for c in ("least", "need", "ca", "cb", "sa", "sb", "differ")]  # the same in all rows of a pair
     again = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("at").alias("at"), *one).where("n >= least and at.room >= need")
     again = stored(again.select("a", "b", "ca", "cb", "sa", "sb", "differ"), "candidates")
