@@ -29,14 +29,34 @@ def sft_messages(prompt: Column, reply: Column) -> Column:
 
 
 def valid_boxes(boxes: Column, labels: tuple[str, ...] | None = ("artifact", "misalignment")) -> Column:
-    """Whether all boxes have a known label (any, where labels is None) and four ordered numbers within 0..1000; an empty list is valid, null is not."""
+    """Whether all boxes have a known label, whatever its case (any, where labels is None) and four ordered numbers within 0..1000; an empty list is valid, null is not."""
     def fits(b: Column) -> Column:
         c = b["box_2d"]
-        return (F.size(c) == 4) & F.forall(c, lambda v: (v >= 0) & (v <= 1000)) & (F.get(c, F.lit(0)) < F.get(c, F.lit(2))) & (F.get(c, F.lit(1)) < F.get(c, F.lit(3))) & (b["label"].isin(*labels) if labels else F.lit(True))
+        return (F.size(c) == 4) & F.forall(c, lambda v: (v >= 0) & (v <= 1000)) & (F.get(c, F.lit(0)) < F.get(c, F.lit(2))) & (F.get(c, F.lit(1)) < F.get(c, F.lit(3))) & (F.lower(b["label"]).isin(*labels) if labels else F.lit(True))
 
     return F.coalesce(F.forall(boxes, lambda b: F.coalesce(fits(b), F.lit(False))), F.lit(False))
 
 
+def strict_boxes(text: Column, labels: tuple[str, ...] = ("artifact", "misalignment")) -> Column:
+    """Whether a JSON text is a list of boxes that each have a known label, whatever its case, and four whole numbers in 0..1000 in order.
+
+    The types are those of the text: 2.0, 2.5 and "2" are no whole numbers; true and false count as 1 and 0. An empty list is valid; null, other JSON
+    and what is no JSON are not, nor is a list with anything but objects.
+    """
+    whole = lambda v: F.coalesce(F.try_variant_get(v, "$", "long"), F.try_variant_get(v, "$", "boolean").cast("long"))
+    kind = lambda v: F.schema_of_variant(v)
+
+    def fits(b: Column) -> Column:
+        c = F.try_variant_get(b, "$.box_2d", "array<variant>")
+        at = lambda i: whole(F.get(c, F.lit(i)))
+        label = F.try_variant_get(b, "$.label", "variant")
+        known = (kind(label) == "STRING") & F.lower(F.try_variant_get(label, "$", "string")).isin(*labels)
+        return kind(b).startswith("OBJECT") & known & (F.size(c) == 4) & F.forall(c, lambda v: kind(v).isin("BIGINT", "BOOLEAN") & whole(v).between(0, 1000)) & (at(0) < at(2)) & (at(1) < at(3))
+
+    boxes = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    return F.coalesce(F.forall(boxes, lambda b: F.coalesce(fits(b), F.lit(False))), F.lit(False))
+
+
 def degenerate(text: Column) -> Column:
     """A text of over 100 characters of which more than half are one digit, if that is the commonest, or over 0.3 are U+FFFD."""
     n = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
@@ -64,6 +84,33 @@ def edit_prompt(caption: Column, feedback: Column, style: Column) -> Column:
     return F.when(F.coalesce(feedback, F.lit("")) == "", fixed).otherwise(F.concat(base, said, feedback))
 
 
+#: What batch prompts add for a style, and the rule against text on an image; callers put their own texts here.
+BATCH_EDIT = "Make a better version of the image, which was made from this description: {caption}\n\n{guide}What an evaluation says:\n{feedback}\n{rule}\nKeep composition and style, and match the description: {caption}"
+BATCH_PLAIN = "Make a better version of the image, which was made from this description: {caption}\n\nMatch the description: {caption}"
+GUIDES = {"boxes": "A second image has boxes around its defects.\n", "heatmap": "A second and a third image show where artifacts and misalignments are.\n"}
+NO_TEXT = "\nAdd no text of any kind to the image.\n"
+
+
+def batch_edit_prompt(caption: Column, feedback: Column, style: Column, no_text: bool = False, texts: dict[str, str] | None = None) -> Column:
+    """A prompt of an edit batch: with feedback the text ``edit`` with the guide of its style (a key of GUIDES) and, with no_text, the rule; without feedback the text ``plain``.
+
+    texts replaces edit, plain or rule by templates of the caller, with the places {caption}, {guide}, {feedback} and {rule}.
+    """
+    own = {"edit": BATCH_EDIT, "plain": BATCH_PLAIN, "rule": NO_TEXT} | (texts or {})
+    guide = F.lit("")
+    for name, text in GUIDES.items():
+        guide = F.when(style == name, F.lit(text)).otherwise(guide)
+    said = {"{caption}": F.coalesce(caption, F.lit("")), "{guide}": guide, "{rule}": F.lit(own["rule"] if no_text else ""), "{feedback}": F.coalesce(feedback, F.lit(""))}
+
+    def put(template: str) -> Column:
+        out = F.lit(template)
+        for mark, value in said.items():  # the feedback last, as what it says is no template
+            out = F.replace(out, F.lit(mark), value)
+        return out
+
+    return F.when(F.coalesce(F.trim(feedback), F.lit("")) == "", put(own["plain"])).otherwise(put(own["edit"]))
+
+
 def grpo_record(path: Column, prompt: Column, boxes: Column) -> Column:
     """struct(reason, messages, gt_misalignment, gt_artifact): a prompt with its image, and the true boxes by label, whatever its case.
 

@@ -82,6 +82,14 @@ def gated(rewards: DataFrame, passed: DataFrame) -> DataFrame:
     return out.withColumn("total", F.when(F.col("passed"), F.col("total")).otherwise(F.lit(-1.0)))
 
 
+def telemetry(rewards: DataFrame, *keys: str) -> DataFrame:
+    """For each value of keys and each of the four cases of boxes on both sides, on one or on none: n, failures (a total of -1), matched and unmatched boxes of both sides, means of the terms."""
+    case = F.concat(F.when(F.col("n_gt") > 0, "gt").otherwise("no_gt"), F.lit("_"), F.when(F.col("n_pred") > 0, "pred").otherwise("no_pred")).alias("case")
+    mean = [F.round(F.avg(c), 5).alias(c) for c in ("box", "description", "importance", "total")]
+    left = lambda c, name: F.sum(F.col(c) - F.col("n_matched")).alias(name)
+    return rewards.groupBy(*keys, case).agg(F.count("*").alias("n"), F.count_if(F.col("total") == -1).alias("failures"), F.sum("n_matched").alias("matched"), left("n_gt", "unmatched_gt"), left("n_pred", "unmatched_pred"), *mean)
+
+
 def rewards(gt: DataFrame, pred: DataFrame, matches: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """(image_id, n_gt, n_pred, n_matched, box, description, importance, total) for every image of images, or with a box on either side.
 

@@ -18,6 +18,20 @@ def audit(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("errors", F.when(null, F.array(F.lit("not numeric"))).otherwise(F.array_compact(F.array(*tests))))
 
 
+def audit_counts(audited: DataFrame, record: str) -> DataFrame:
+    """boxes, invalid_boxes, records and invalid_records of audit()'s rows, by the column that names a record; of its records each is one row before the sum."""
+    bad = F.size("errors") > 0
+    per = audited.groupBy(record).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("boxes"), F.coalesce(F.sum("bad"), F.lit(0)).alias("invalid_boxes"), F.count("*").alias("records"), F.count_if(F.col("bad") > 0).alias("invalid_records"))
+
+
+def audited_records(records: DataFrame, audited: DataFrame, record: str, skip_invalid: bool = False) -> DataFrame:
+    """records with the column invalid, the number of their boxes with errors; with skip_invalid only those that have none. Records without boxes stay."""
+    bad = audited.where(F.size("errors") > 0).groupBy(record).agg(F.count("*").alias("invalid"))
+    out = records.join(bad.hint("merge"), record, "left").withColumn("invalid", F.coalesce("invalid", F.lit(0)))
+    return out.where("invalid = 0") if skip_invalid else out
+
+
 def to_pixels(boxes: DataFrame, width: Column, height: Column, base: int = EXTENT, clamped: bool = False) -> DataFrame:
     """Coordinates of 0..base (1000, or 512 in old records) as pixels, truncated; corners ordered, boxes without area left out. clamped keeps them in the image."""
     plain = lambda c, size: F.floor(F.col(c) * size / base).cast("long")

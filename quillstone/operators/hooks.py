@@ -9,7 +9,7 @@ import importlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Reward = Callable[[pd.DataFrame], pd.Series]
@@ -62,6 +62,31 @@ def groupwise(df: DataFrame, key: str, fn: Reward, name: str = "reward") -> Data
     return df.groupBy(key).applyInPandas(run, schema)
 
 
+def register_sql(spark: SparkSession, name: str, fn: Reward) -> None:
+    """A reward of a batch of rows for SQL: ``name(struct(a, b))`` gives one double per row; the columns of the struct are those of the frame that fn gets."""
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        values = pd.Series(fn(rows), dtype="float64")
+        if len(values) != len(rows):
+            raise ValueError(f"{len(values)} values for {len(rows)} rows")
+        return values
+
+    spark.udf.register(name, F.pandas_udf(run, "double"))
+
+
+def register_boxes_of(spark: SparkSession, name: str = "boxes_of") -> None:
+    """The table function ``boxes_of(reply)`` for SQL: a row (place, label, x0, y0, x1, y1) per box of a JSON list.
+
+    Items are boxes where they have box_2d with four numbers; place counts these from 0. Other items, other JSON and what is no JSON give no rows.
+    It is an SQL function over variants, so that Catalyst inlines it.
+    """
+    corner = ", ".join(f"try_variant_get(b, '$.box_2d[{i}]', 'double')" for i in range(4))
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(reply STRING) RETURNS TABLE (place INT, label STRING, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)
+        RETURN SELECT pos, try_variant_get(b, '$.label', 'string'), {corner}
+        FROM posexplode(filter(try_variant_get(try_parse_json(reply), '$', 'array<variant>'), b -> size(try_variant_get(b, '$.box_2d', 'array<double>')) = 4
+            AND forall(try_variant_get(b, '$.box_2d', 'array<double>'), x -> x IS NOT NULL))) AS t(pos, b)""")
+
+
 def aggregated(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What an aggregator makes of df; it must be a DataFrame."""
     out = fn(df)

@@ -44,11 +44,11 @@ def image_sides(gt: DataFrame, pred: DataFrame, *extra: str) -> DataFrame:
     return both.groupBy("image_id").agg(of(0).alias("gt"), of(1).alias("pred"))
 
 
-def pairs_of(gt: Column, pred: Column, least: float, labels: bool = True) -> Column:
+def pairs_of(gt: Column, pred: Column, least: float, labels: bool = True, eps: float | None = None) -> Column:
     """array<struct(iou, p, g)>, best first by (iou, index of pred, index of gt), of the boxes of two arrays that may match."""
     corners = lambda b: {c: b[c] for c in ("x0", "y0", "x1", "y1")}
     fits = lambda g, p: compatible(g["label"], p["label"]) if labels else F.lit(True)
-    each = F.flatten(F.transform(gt, lambda g: F.transform(pred, lambda p: F.struct(F.when(F.coalesce(fits(g, p), F.lit(False)), iou(corners(g), corners(p))).alias("iou"), p.alias("p"), g.alias("g")))))
+    each = F.flatten(F.transform(gt, lambda g: F.transform(pred, lambda p: F.struct(F.when(F.coalesce(fits(g, p), F.lit(False)), iou(corners(g), corners(p), eps)).alias("iou"), p.alias("p"), g.alias("g")))))
     return F.sort_array(F.filter(each, lambda x: x["iou"] >= least), asc=False)
 
 
@@ -58,10 +58,10 @@ def greedy(pairs: Column) -> Column:
     return F.aggregate(pairs, F.filter(pairs, lambda x: F.lit(False)), lambda got, x: F.when(taken(got, x), got).otherwise(F.concat(got, F.array(x))))
 
 
-def matched_boxes(gt: DataFrame, pred: DataFrame, least: float, *extra: str, labels: bool = True) -> DataFrame:
-    """(image_id, iou, p, g): greedy matches with both boxes as structs."""
+def matched_boxes(gt: DataFrame, pred: DataFrame, least: float, *extra: str, labels: bool = True, eps: float | None = None) -> DataFrame:
+    """(image_id, iou, p, g): greedy matches with both boxes as structs; eps is that of geometry.iou."""
     sides = image_sides(gt, pred, *extra)
-    return sides.select("image_id", F.explode(greedy(pairs_of(F.col("gt"), F.col("pred"), least, labels))).alias("m")).select("image_id", "m.iou", "m.p", "m.g")
+    return sides.select("image_id", F.explode(greedy(pairs_of(F.col("gt"), F.col("pred"), least, labels, eps))).alias("m")).select("image_id", "m.iou", "m.p", "m.g")
 
 
 def image_outcomes(gt: DataFrame, pred: DataFrame, least: float, labels: bool = True) -> DataFrame:
@@ -72,15 +72,6 @@ def image_outcomes(gt: DataFrame, pred: DataFrame, least: float, labels: bool =
     return sides.select("image_id", F.explode(both).alias("o")).select("image_id", "o.outcome", "o.label")
 
 
-def outcomes(gt: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
-    """(image_id, outcome, label) for matches that are given: tp and fn by the true label, fp by the predicted one."""
-    hit = matches.select("image_id", "gt_idx", F.lit(1).alias("hit"))
-    used = matches.select("image_id", "pred_idx", F.lit(1).alias("hit"))
-    of_gt = gt.join(hit.hint("merge"), ["image_id", "gt_idx"], "left").select("image_id", F.when(F.col("hit") == 1, "tp").otherwise("fn").alias("outcome"), "label")
-    of_pred = pred.join(used.hint("merge"), ["image_id", "pred_idx"], "left_anti").select("image_id", F.lit("fp").alias("outcome"), "label")
-    return of_gt.unionByName(of_pred)
-
-
 def swept(gt: DataFrame, pred: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """(threshold, tp, fp, fn) at every threshold, from one pass over the images; thresholds without a match have rows too."""
     at = F.explode(F.transform(F.array(*map(F.lit, thresholds)), lambda t: F.struct(t.alias("threshold"), F.size(greedy(F.filter("pairs", lambda x: x["iou"] >= t))).alias("n"))))

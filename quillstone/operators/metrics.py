@@ -21,8 +21,9 @@ def instance_metrics(found: DataFrame, *keys: str) -> DataFrame:
     n = lambda k: F.sum(F.when(F.col("outcome") == k, 1).otherwise(0)).cast("long").alias(k)
     by_label = found.groupBy(*keys, "label").agg(n("tp"), n("fp"), n("fn"))
     add = lambda k: F.sum(k).cast("long").alias(k)
-    overall = by_label.groupBy(*keys).agg(add("tp"), add("fp"), add("fn")).withColumn("label", F.lit("all"))
-    both = by_label.unionByName(overall)
+    # the labels and their sum as sets of one aggregate, over the few rows that are counted already
+    sets = by_label.groupingSets([[*keys, "label"], [*keys]], *keys, "label").agg(F.grouping("label").alias("_all"), add("tp"), add("fp"), add("fn"))
+    both = sets.withColumn("label", F.when(F.col("_all") == 1, "all").otherwise(F.col("label")))
     return both.select(*keys, "label", "tp", "fp", "fn", *precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -50,11 +51,23 @@ def description_similarity(pairs: DataFrame, *keys: str, shares: tuple[float, ..
     return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("mean"), F.round(F.percentile(s, 0.5), 6).alias("median"), *reached)
 
 
+def description_counts(pairs: DataFrame, counts: DataFrame, gt: str = "gt_desc", pred: str = "pred_desc") -> DataFrame:
+    """matched, unmatched_gt, unmatched_pred, missing_gt and missing_pred: matched pairs, boxes that are in none, and pairs whose description is null or empty.
+
+    pairs: image_id and the descriptions of matched boxes; counts: image_id, n_gt, n_pred of all images. One row per side is joined, not per pair.
+    """
+    none = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) == "")
+    of_pairs = pairs.agg(F.count("*").alias("matched"), none(gt).alias("missing_gt"), none(pred).alias("missing_pred"))
+    of_all = counts.agg(F.coalesce(F.sum("n_gt"), F.lit(0)).alias("g"), F.coalesce(F.sum("n_pred"), F.lit(0)).alias("p"))
+    both = of_pairs.join(F.broadcast(of_all))  # one row each
+    return both.select("matched", (F.col("g") - F.col("matched")).alias("unmatched_gt"), (F.col("p") - F.col("matched")).alias("unmatched_pred"), "missing_gt", "missing_pred")
+
+
 def detection_aware_mean(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """Mean over all images of the total similarity over the larger box count; counts: image_id, n_gt, n_pred."""
     total = pairs.groupBy("image_id").agg(F.sum("similarity").alias("total"))
     per = F.coalesce("total", F.lit(0.0)) / F.greatest("n_gt", "n_pred", F.lit(1))
-    return counts.join(total, "image_id", "left").agg(F.count("*").alias("n_images"), F.round(F.avg(per), 6).alias("mean"))
+    return counts.join(total.hint("merge"), "image_id", "left").agg(F.count("*").alias("n_images"), F.round(F.avg(per), 6).alias("mean"))
 
 
 def severity(importance: Column, cuts: tuple[float, float] = (40, 70)) -> Column:

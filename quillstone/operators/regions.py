@@ -47,17 +47,30 @@ def class_boxes(images: DataFrame, gt: DataFrame, pred: DataFrame, classes: tupl
     return every.select("image_id", "class", of("g").alias("gt"), of("p").alias("pred"))
 
 
-def union_report(rows: DataFrame) -> DataFrame:
-    """Per class of (image_id, class, gt, pred): mean union IoU with and without images empty on both sides, share at 0.5, counts of empty sides."""
+def _union_means(rows: DataFrame) -> DataFrame:
     r = rows.select("class", union_iou(F.col("gt"), F.col("pred")).alias("u"), (F.coalesce(F.size("gt"), F.lit(0)) <= 0).alias("no_gt"), (F.coalesce(F.size("pred"), F.lit(0)) <= 0).alias("no_pred"))
-    share = lambda test: F.avg(test.cast("double"))
-    six = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(name)
+    mean = lambda c, name: F.coalesce(F.avg(c.cast("double")), F.lit(0.0)).alias(name)
+    u = F.col("u.iou")
     return r.groupBy("class").agg(
-        F.count("*").alias("n"), six(F.avg("u.iou"), "mean_iou"), six(F.avg(F.when(~F.col("u.both_empty"), F.col("u.iou"))), "mean_iou_non_empty"), six(share(F.col("u.iou") >= 0.5), "share_50"),
-        F.count_if("u.both_empty").alias("both_empty"), F.count_if("no_gt").alias("no_gt"), six(share(F.col("no_gt")), "no_gt_share"), six(F.avg(F.when(F.col("no_gt"), F.col("no_pred").cast("double"))), "clean_accuracy"),
+        F.count("*").alias("n"), mean(u, "mean_iou"), mean(F.when(~F.col("u.both_empty"), u), "mean_iou_non_empty"), mean(u >= 0.5, "share_50"), F.count_if("u.both_empty").alias("both_empty"),
+        F.count_if("no_gt").alias("no_gt"), mean(F.col("no_gt"), "no_gt_share"), F.count_if("no_pred").alias("no_pred"), mean(F.col("no_pred"), "no_pred_share"), mean(F.when(F.col("no_gt"), F.col("no_pred")), "clean_accuracy"),
     )
 
 
+def union_report(rows: DataFrame, combined: bool = False) -> DataFrame:
+    """Per class of (image_id, class, gt, pred): mean union IoU with and without images empty on both sides, share at 0.5, counts and shares of empty sides.
+
+    With combined a row of that name has the means of the classes' means, and the sums of their counts.
+    """
+    report = _union_means(rows)
+    if combined:
+        of = lambda c, t: (F.avg(c) if t == "double" else F.sum(c)).alias(c)
+        # a row per class is read twice, the boxes are not
+        both = report.withColumn("class", F.explode(F.array("class", F.lit("combined"))))
+        report = both.groupBy("class").agg(*[of(c, t) for c, t in report.dtypes if c != "class"])
+    return report.withColumns({c: F.round(c, 6) for c, t in report.dtypes if t == "double"})
+
+
 def hot_regions(cells: DataFrame, size: int, threshold: float) -> DataFrame:
     """(image_id, label, region): the ninths of a size x size map whose mean heat exceeds the threshold; cells: image_id, label, y, x, heat.
 
@@ -70,6 +83,13 @@ def hot_regions(cells: DataFrame, size: int, threshold: float) -> DataFrame:
     return mean.select("image_id", "label", name.alias("region"))
 
 
+def region_phrases(regions: DataFrame) -> DataFrame:
+    """(image_id, phrases): hot_regions() as texts "misalignment in r" and "artifact in r", those of misalignment first, regions in the order of rows."""
+    place = F.array_position(F.array(*[F.lit(r) for row in REGIONS for r in row]), F.col("region"))
+    told = F.struct((F.col("label") != "misalignment").alias("a"), place.alias("b"), F.concat_ws(" in ", "label", "region").alias("text"))
+    return regions.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(told)), lambda t: t["text"]).alias("phrases"))
+
+
 def grid_cells(images: DataFrame, rows: str = "rows", columns: str = "columns", width: str = "width", height: str = "height") -> DataFrame:
     """Images exploded to the crops of their grid: (cell, left, upper, right, lower); a side's remainder is in no cell."""
     high, wide = F.floor(F.col(height) / F.col(rows)), F.floor(F.col(width) / F.col(columns))

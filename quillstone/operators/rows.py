@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,10 +71,98 @@ def mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return n(left, "n_left").join(n(right, "n_right"), key, "full_outer").select(key, zero("n_left"), zero("n_right")).where("n_left != n_right")
 
 
+def misplaced(left: DataFrame, right: DataFrame, key: str, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """(index, left, right): places, in the orders given, at which two tables do not hold the same key; null beyond the end of one."""
+    side = lambda df, order, name: global_index(df, *order).select("index", F.col(key).alias(name))
+    both = side(left, left_order, "left").join(side(right, right_order, "right").hint("merge"), "index", "full_outer")
+    return both.where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def joined_by_place(left: DataFrame, right: DataFrame, key: str, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """Rows of two tables that stand at the same place, with the column index: both must hold the same key at every place.
+
+    A table with as many rows of which two are exchanged is refused, and the first places that differ are told in the error.
+    """
+    wrong = misplaced(left, right, key, left_order, right_order).orderBy("index").limit(5).collect()
+    if wrong:
+        raise ValueError(f"the tables differ by place, at first at {[tuple(r) for r in wrong]}")
+    return global_index(left, *left_order).join(global_index(right, *right_order).drop(key).hint("merge"), "index")
+
+
+def joined_leniently(left: DataFrame, right: DataFrame, key: str, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """As many rows on both sides: rows that stand at the same place, whatever their keys (that of left stays); else rows with
+    the same key. The column index holds the place in left, by which its order is kept. A key that right holds twice gives its last row.
+    """
+    one, other = global_index(left, *left_order), global_index(right, *right_order)
+    if one.count() == other.count():
+        return one.join(other.drop(key).hint("merge"), "index")
+    rest = [c for c in right.columns if c != key]
+    return one.join(last_by(other, key, F.col("index"), rest).hint("merge"), key)
+
+
+def absent(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows with a key that is neither null nor empty and that known does not hold."""
+    return df.where(F.coalesce(F.col(key), F.lit("")) != "").join(known.select(key).distinct().hint("merge"), key, "left_anti")
+
+
+def remaining(df: DataFrame, key: str, *done: DataFrame) -> DataFrame:
+    """Rows whose key is in none of the tables of what is done, whether well or not; rows without a key remain."""
+    keys = functools.reduce(DataFrame.unionByName, [d.select(key) for d in done]).distinct()
+    return df.join(keys.hint("merge"), key, "left_anti")
+
+
+def in_all(listing: DataFrame, key: str, method: str, value: str, methods: list[str]) -> DataFrame:
+    """(key, a column per method): the values of keys that every method has; of several values of a method the least."""
+    wide = listing.where(F.col(key).isNotNull()).groupBy(key).pivot(method, methods).agg(F.min(value))
+    return wide.dropna(subset=methods)
+
+
+def numbered_outputs(lines: DataFrame, outputs: DataFrame, *order: Column, name: str = "%04d.png", column: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Lines with the output that their place from 0 names, and the lines whose output is not there: the work that remains."""
+    named = global_index(lines, *order).withColumn(column, F.format_string(name, "index"))
+    there = outputs.select(column).distinct().hint("merge")
+    return named.join(there, column, "left_semi"), named.join(there, column, "left_anti")
+
+
+def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows with the column side: those that left holds more often than right (as often as it does), and the reverse."""
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def even_step(m: int, k: int, ranks: int, batch: int, steps: int = 1, whole_groups: bool = False) -> int:
+    """m rounded up so that m groups of k fill the batches of all ranks evenly, in each of steps; with whole_groups the ranks get equally many groups."""
+    per = ranks * batch
+    step = per * steps // math.gcd(k, per)
+    if whole_groups:
+        step = math.lcm(step, ranks)
+    return -(-m // step) * step
+
+
+def shards(df: DataFrame, n: int, *order: Column, form: str = "contiguous") -> DataFrame:
+    """df with the column shard, by the place in the order: ``contiguous`` (equal parts, the last one takes the remainder), ``balanced`` (the
+    first parts have one more each) or ``strided`` (every n-th)."""
+    placed = global_index(df, *order)
+    total = F.broadcast(placed.agg(F.count("*").alias("_total")))  # one row
+    at, size = F.col("index"), F.floor(F.col("_total") / n)
+    more = F.col("_total") % n
+    of = {
+        "contiguous": F.least(F.floor(at / F.greatest(size, F.lit(1))), F.lit(n - 1)),
+        "balanced": F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1)))),
+        "strided": at % n,
+    }
+    return placed.join(total).withColumn("shard", of[form].cast("long")).drop("index", "_total")
+
+
+def shuffled_batches(df: DataFrame, size: int, seed: str, *key: Column) -> DataFrame:
+    """df with the column batch: rows in hash order by the seed, cut into batches of size."""
+    keyed = df.withColumn("_h", hash_order(seed, *key))
+    return global_index(keyed, F.col("_h"), *key).withColumn("batch", F.floor(F.col("index") / size).cast("long")).drop("_h", "index")
+
+
 def repeat_manifest(prompts: DataFrame, key: str, m: int, k: int, ranks: int, batch: int, seed: str) -> DataFrame:
     """(key, copy, iteration, rank, slot): m prompts by hash order, k copies each, shuffled and dealt out.
 
-    The last iteration may be short. Copies are m * k rows, whatever the size of prompts.
+    m as it is; even_step() gives one with which no iteration is short. Copies are m * k rows, whatever the size of prompts.
     """
     chosen = keyed_sample(prompts.select(key), m, seed, F.col(key))
     copies = chosen.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))

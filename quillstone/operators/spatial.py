@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cells(boxes: DataFrame, grid: int = 64, extent: int = 1000) -> DataFrame:
@@ -45,14 +46,42 @@ def map_scalar_of_boxes(boxes: DataFrame, alpha: float, other: float, grid: int
     return sums.select("image_id", (-(alpha * F.col("m") + other * F.col("o")) / (100 * grid * grid)).alias("scalar"))
 
 
-def penalty_map(boxes: DataFrame, alpha: dict[str, float], other: float, grid: int = 64, stacking: bool = False) -> DataFrame:
-    """(image_id, y, x, penalty): overlaps of a label take the largest weight (with stacking their sum), labels add; only covered cells are rows."""
-    joint = F.sum if stacking else F.max
-    by_label = cells(boxes, grid).groupBy("image_id", "label", "y", "x").agg(joint(F.coalesce(F.col("importance") / 100.0, F.lit(1.0))).alias("w"))
+def label_penalties(boxes: DataFrame, alpha: dict[str, float], other: float, grid: int = 64, stacking: bool = False, weighted: bool = True, normalised: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
+    """(image_id, label, y, x, penalty) at the cells that boxes of a label cover; a null label is an artifact.
+
+    The penalty of a label is alpha (other for labels that alpha does not name), times the column scale where boxes have one, times
+    1 - coverage for the classes in normalised (misalignment; artifact for all else), and least at least. Weighted by importance, overlaps take the largest
+    weight (with stacking their sum; null counts as 100), and cells of a positive weight get least at least; without
+    weights a cell counts once, or with stacking each of its boxes. Coverage is the share of cells of the label: those with a
+    positive weight, or, stacked without weights, the number of boxes on them.
+
+    One shuffle, of boxes by image; cells of an image never leave its task.
+    """
+    scale = "scale" in boxes.columns
+    own = boxes.withColumn("label", F.coalesce("label", F.lit("artifact"))).repartition("image_id")
+    weight = F.coalesce(F.col("importance") / 100.0, F.lit(1.0)) if weighted else F.lit(1.0)
+    by_label = cells(own, grid).groupBy("image_id", "label", "y", "x").agg((F.sum if stacking else F.max)(weight).alias("w"), *([F.max("scale").alias("scale")] if scale else []))
+    if weighted and not stacking:
+        by_label = by_label.withColumn("w", F.greatest("w", F.lit(0.0)))
     a = F.lit(other)
     for label, value in alpha.items():
         a = F.when(F.col("label") == label, value).otherwise(a)
-    return by_label.groupBy("image_id", "y", "x").agg(F.sum(a * F.col("w")).alias("penalty"))
+    if scale:
+        a = a * F.col("scale")
+    if normalised:
+        active = F.when(F.col("w") > 0, 1.0).otherwise(0.0) if weighted else F.col("w")
+        coverage = F.sum(active).over(Window.partitionBy("image_id", "label")) / (grid * grid)  # a label has grid * grid cells at most
+        kind = F.when(F.col("label") == "misalignment", "misalignment").otherwise("artifact")
+        a = F.when(kind.isin(*normalised), a * (1 - coverage)).otherwise(a)
+    penalty = F.greatest(a, F.lit(least)) * F.col("w")
+    if weighted:
+        penalty = F.when(F.col("w") > 0, F.greatest(penalty, F.lit(least))).otherwise(penalty)
+    return by_label.select("image_id", "label", "y", "x", penalty.alias("penalty"))
+
+
+def penalty_map(boxes: DataFrame, alpha: dict[str, float], other: float, grid: int = 64, stacking: bool = False, weighted: bool = True, normalised: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
+    """(image_id, y, x, penalty): label_penalties of all labels added; only covered cells are rows."""
+    return label_penalties(boxes, alpha, other, grid, stacking, weighted, normalised, least).groupBy("image_id", "y", "x").agg(F.sum("penalty").alias("penalty"))
 
 
 def map_scalar(penalties: DataFrame, grid: int = 64) -> DataFrame:
@@ -60,13 +89,15 @@ def map_scalar(penalties: DataFrame, grid: int = 64) -> DataFrame:
     return penalties.groupBy("image_id").agg((-F.sum("penalty") / (grid * grid)).alias("scalar"))
 
 
-def reward_map(boxes: DataFrame, scalars: DataFrame, alpha: dict[str, float], other: float, grid: int = 64, least: float = 0.0) -> DataFrame:
-    """(image_id, y, x, value) at covered cells: the image's scalar less the penalty, which is scaled by the column ``scale`` of scalars and is at least ``least``.
+def reward_map(boxes: DataFrame, scalars: DataFrame, alpha: dict[str, float], other: float, grid: int = 64, least: float = 0.0, **options) -> DataFrame:
+    """(image_id, y, x, value) at covered cells: the image's scalar less the penalties of its labels, each scaled by the column ``scale`` of scalars and floored by itself.
 
-    scalars: image_id, scalar, scale (the deviation of the image's group, or 1). Cells that no box covers have the scalar itself.
+    scalars: image_id, scalar, scale (the deviation of the image's group, or 1), a row per image. Cells that no box covers have the scalar itself.
+    options are those of label_penalties.
     """
-    p = penalty_map(boxes, alpha, other, grid).join(scalars.hint("merge"), "image_id")
-    return p.select("image_id", "y", "x", (F.col("scalar") - F.greatest(F.col("penalty") * F.col("scale"), F.lit(least))).alias("value"))
+    own = boxes.join(scalars.select("image_id", "scale").hint("merge"), "image_id")
+    p = penalty_map(own, alpha, other, grid, least=least, **options).join(scalars.hint("merge"), "image_id")
+    return p.select("image_id", "y", "x", (F.col("scalar") - F.col("penalty")).alias("value"))
 
 
 def penalty_telemetry(boxes: DataFrame, images: DataFrame, alpha: float, other: float, grid: int = 64) -> DataFrame:

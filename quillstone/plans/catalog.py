@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import paths, text
 from quillstone.functions.geometry import box, diou, iou
 from quillstone.operators import advantage, matching, metrics, rows, spatial
-from quillstone.plans import dialects, oracles, replies, reports, scores
+from quillstone.plans import details, dialects, oracles, replies, reports, scores
+from quillstone.sources import files
 from quillstone.sources.fixtures import fixture
 from quillstone.sources.tables import read_table
 
@@ -139,7 +140,7 @@ def a02_decoupled_advantage(spark, sf_dir):
 
 @query
 def a03_moments(spark, sf_dir):
-    return _scalars(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg("scalar"), 6).alias("mean"), F.round(F.stddev_pop("scalar"), 6).alias("sd"))
+    return six(advantage.moments(_scalars(spark, sf_dir)), "mean", "sd")
 
 
 @query
@@ -149,8 +150,7 @@ def a04_group_diagnostics(spark, sf_dir):
 
 @query
 def a05_clipped(spark, sf_dir):
-    a = advantage.group_advantage(_scalars(spark, sf_dir))
-    return a.select("sample_id", "unique_id", F.round(F.least(F.greatest("advantage", F.lit(-1.0)), F.lit(1.0)), 6).alias("advantage"))
+    return six(advantage.clipped(advantage.group_advantage(_scalars(spark, sf_dir)), -1.0, 1.0), "advantage")
 
 
 @query
@@ -171,16 +171,12 @@ def a10_mixed_sample(spark, sf_dir):
 
 @query
 def a13_shards(spark, sf_dir):
-    ordered = rows.global_index(fixture(spark, sf_dir, "fx_images").select("image_id"), F.col("image_id"))
-    n = ordered.agg(F.count("*").alias("n"))
-    return ordered.join(F.broadcast(n)).select("image_id", F.least(F.floor(F.col("index") / F.greatest(F.floor(F.col("n") / 7), F.lit(1))), F.lit(6)).cast("long").alias("shard"))
+    return rows.shards(fixture(spark, sf_dir, "fx_images").select("image_id"), 7, F.col("image_id"))
 
 
 @query
 def a14_batches(spark, sf_dir):
-    images = fixture(spark, sf_dir, "fx_images").select("image_id")
-    keyed = images.withColumn("h", rows.hash_order("3|0|1", F.col("image_id")))
-    return rows.global_index(keyed, F.col("h"), F.col("image_id")).select("image_id", F.floor(F.col("index") / 32).cast("long").alias("batch"))
+    return rows.shuffled_batches(fixture(spark, sf_dir, "fx_images").select("image_id"), 32, "3|0|1", F.col("image_id"))
 
 
 @query
@@ -230,7 +226,7 @@ def p12_funnel(spark, sf_dir):
 @query
 def s09_union_by_name(spark, sf_dir):
     d, c = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "conversations")
-    both = d.select(F.col("doc_id").alias("id"), "text", "lang").unionByName(c.select(F.col("conv_id").alias("id"), "text", "role"), allowMissingColumns=True)
+    both = files.union_by_name(d.select(F.col("doc_id").alias("id"), "text", "lang"), c.select(F.col("conv_id").alias("id"), "text", "role"))
     return both.groupBy("lang", "role").agg(F.count("*").alias("n"))
 
 
@@ -245,15 +241,14 @@ def j02_latest_by_basename(spark, sf_dir):
 
 @query
 def j03_absent(spark, sf_dir):
-    images = fixture(spark, sf_dir, "fx_images").where("filepath != ''")
-    return images.join(images.where("image_id % 3 = 0").select("filepath"), "filepath", "left_anti").select("image_id", "filepath")
+    images = fixture(spark, sf_dir, "fx_images")
+    return rows.absent(images, images.where("image_id % 3 = 0"), "filepath").select("image_id", "filepath")
 
 
 @query
 def j07_remaining(spark, sf_dir):
     images = fixture(spark, sf_dir, "fx_images")
-    done = images.where("image_id % 3 = 0").select("filepath").union(images.where("image_id % 7 = 0").select("filepath"))
-    return images.join(done, "filepath", "left_anti").select("image_id")
+    return rows.remaining(images, "filepath", images.where("image_id % 3 = 0"), images.where("image_id % 7 = 0")).select("image_id")
 
 
 @query
@@ -299,5 +294,6 @@ def g06_strip_think(spark, sf_dir):
     return d.select("conv_id", "turn", F.md5(text.strip_think(t)).alias("digest"))
 
 
-QUERIES |= replies.QUERIES | scores.QUERIES | dialects.QUERIES | reports.QUERIES
+QUERIES |= replies.QUERIES | scores.QUERIES | dialects.QUERIES | reports.QUERIES | details.QUERIES
 ORACLE_SQL = oracles.ORACLE_SQL | replies.ORACLE_SQL | scores.ORACLE_SQL | dialects.ORACLE_SQL | reports.ORACLE_SQL
+ORACLE_SQL |= details.oracle_sql(ORACLE_SQL)

@@ -96,8 +96,8 @@ def w05_rewards(spark, sf_dir):
 
 @query
 def w06_reward_telemetry(spark, sf_dir):
-    case = F.concat(F.when(F.col("n_gt") > 0, "gt").otherwise("no_gt"), F.lit("_"), F.when(F.col("n_pred") > 0, "pred").otherwise("no_pred")).alias("case")
-    return w05_rewards(spark, sf_dir).groupBy(case).agg(F.count("*").alias("n"), F.sum("n_matched").alias("matched"), F.round(F.avg("box"), 5).alias("box"), F.round(F.avg("total"), 5).alias("total"))
+    gt, pred, images = (fixture(spark, sf_dir, n) for n in ("fx_gt", "fx_pred", "fx_images"))
+    return assignment.telemetry(assignment.rewards(gt, pred, assignment.optimal_matches(gt, pred), images))
 
 
 @query
@@ -112,9 +112,11 @@ def s03_jsonl_round_trip(spark, sf_dir):
 def s08_appended(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
     path = files.work_path(spark, "append")
-    files.append_results(d, F.col("lang") == "en", f"{path}/ok", f"{path}/failed")
-    read = lambda k: spark.read.schema(d.schema).parquet(f"{path}/{k}").select("doc_id", F.lit(k).alias("part"))
-    return read("ok").unionByName(read("failed"))
+    ok = F.col("lang") == "en"
+    files.append_results(d.where("doc_id % 2 = 0"), ok, path, "even")
+    files.append_results(d.where("doc_id % 2 = 1"), ok, path, "odd")
+    files.append_results(d.where("doc_id % 2 = 0"), ok, path, "even")  # done again, it replaces its rows
+    return files.read_outcomes(spark, d.schema, path).select("doc_id", "part")
 
 
 def _events(spark, sf_dir):
@@ -131,16 +133,16 @@ def t01_complete_groups(spark, sf_dir):
 
 @query
 def t02_scored(spark, sf_dir):
-    scored = _events(spark, sf_dir).select("event_id", F.round(F.col("value") / (1 + F.abs("value")), 6).alias("score"))
-    return groups.drained(scored, "scored")
+    scored = groups.scored_batches(_events(spark, sf_dir).select("event_id", "value"), lambda f: f["value"] / (1 + f["value"].abs()), 64)
+    return groups.drained(scored.select("event_id", F.round("score", 6).alias("score")), "scored")
 
 
 @query
 def t03_appended_once(spark, sf_dir):
     path = files.work_path(spark, "once")
-    groups.append_once(_events(spark, sf_dir).select("user_id"), "user_id", F.col("user_id") % 3 != 0, path)
-    read = lambda k: spark.read.schema("user_id long").parquet(f"{path}/{k}").select("user_id", F.lit(k).alias("part"))
-    return read("ok").unionByName(read("failed"))
+    events = _events(spark, sf_dir).select("user_id")
+    groups.append_once(events, "user_id", F.col("user_id") % 3 != 0, path)
+    return files.read_outcomes(spark, events.schema, path)
 
 
 TEMPLATE = 'Find defects of "{caption}" as {{"box_2d": []}}'
@@ -185,18 +187,17 @@ def m02_class_confusion(spark, sf_dir):
 
 @query
 def j05_common_images(spark, sf_dir):
-    images = fixture(spark, sf_dir, "fx_images").select("filepath", "image_id")
-    method = lambda k: images.where(F.col("image_id") % k != 0).select("filepath", F.concat(F.lit(f"m{k}_"), paths.basename(F.col("filepath"))).alias(f"m{k}"))
-    return method(3).join(method(4), "filepath").join(method(5), "filepath")
+    images = fixture(spark, sf_dir, "fx_images").select("filepath", "image_id", F.explode(F.array(*map(F.lit, (3, 4, 5)))).alias("k")).where("image_id % k != 0")
+    method = F.concat(F.lit("m"), F.col("k"))
+    return rows.in_all(images.select("filepath", method.alias("method"), F.concat_ws("_", method, paths.basename(F.col("filepath"))).alias("name")), "filepath", "method", "name", ["m3", "m4", "m5"])
 
 
 @query
 def j12_numbered_outputs(spark, sf_dir):
     """Line i with the output %04d.png; lines without an output are dropped."""
     images = fixture(spark, sf_dir, "fx_images").select("image_id", "caption")
-    lines = rows.global_index(images, F.col("image_id")).withColumn("file", F.format_string("%04d.png", "index"))
     done = images.select(F.format_string("%04d.png", F.col("image_id")).alias("file")).where("file not like '%7.png'")
-    return lines.join(done, "file").select("image_id", "file")
+    return rows.numbered_outputs(images, done, F.col("image_id"))[0].select("image_id", "file")
 
 
 GT, PRED, IMAGES = (with_clause(n) for n in ("fx_gt", "fx_pred", "fx_images"))

@@ -72,9 +72,22 @@ def s06_image_sizes(spark, sf_dir):
 def s07_report(spark, sf_dir):
     path = files.work_path(spark, "report")
     gt, pred = sides(spark, sf_dir)
+    """The tree of a report and the pairs that fared worst, both written and read back."""
+    from quillstone.plans.catalog import _counts
+    from quillstone.plans.scores import m09_worst_pairs
+
+    def tree(df, section, key=None):
+        names = [c for c in df.columns if c != key]
+        at = lambda n: F.array(F.lit(section), *([F.col(key)] if key else []), F.lit(n))
+        return df.select(F.explode(F.array(*[F.struct(at(n).alias("path"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
+
     sheet = metrics.instance_metrics(matching.image_outcomes(gt, pred, 0.5))
-    files.write_report(sheet, fixture(spark, sf_dir, "fx_images").select("image_id").where("image_id < 5"), path)
-    return spark.read.schema(sheet.schema).json(f"{path}/metrics").select("label", "tp", "fp", "fn")
+    figures = tree(sheet, "instances", "label").unionByName(tree(metrics.count_metrics(_counts(spark, sf_dir)), "counts"))
+    worst = m09_worst_pairs(spark, sf_dir)
+    files.write_report(figures, worst, path)
+    leaves, pairs = files.read_report(spark, path, worst.schema)
+    named = pairs.select(F.concat_ws("/", F.lit("worst"), "image_id", "gt_idx").alias("path"), F.col("similarity").alias("value"))
+    return leaves.select(F.array_join("path", "/").alias("path"), F.round(F.col("value").cast("double"), 6).alias("value")).unionByName(named)
 
 
 # projections ----------------------------------------------------------------------------------------------------
@@ -154,7 +167,9 @@ def j01_aligned(spark, sf_dir):
 @query
 def j04_lenient(spark, sf_dir):
     gt, pred = sides(spark, sf_dir)
-    return gt.select("image_id").distinct().join(pred.select("image_id").distinct().hint("merge"), "image_id")
+    one = lambda df, name: df.groupBy("image_id").agg(F.count("*").alias(name))
+    met = rows.joined_leniently(one(gt, "n_gt"), one(pred, "n_pred"), "image_id", [F.col("image_id")], [F.desc("image_id")])
+    return met.select("image_id", "n_gt", "n_pred")
 
 
 @query
@@ -599,6 +614,9 @@ REWARD = f"""{matched("0.1")}, d AS (SELECT x.image_id, pr.iou AS diou, abs(g.im
   c AS (SELECT o_orderkey AS image_id, coalesce(ng, 0) AS ng, coalesce(np, 0) AS np, coalesce(n_matched, 0) AS n_matched, coalesce(near, 0) AS near, coalesce(close, 0) AS close, coalesce(like_, 0) AS like_ FROM orders
     LEFT JOIN (SELECT image_id, count(*) AS ng FROM fx_gt GROUP BY 1) a ON a.image_id = o_orderkey LEFT JOIN (SELECT image_id, count(*) AS np FROM fx_pred GROUP BY 1) b ON b.image_id = o_orderkey LEFT JOIN s ON s.image_id = o_orderkey),
   w AS (SELECT image_id, n_matched, CASE WHEN ng = 0 AND np = 0 THEN 0.3 WHEN np = 0 THEN -0.8 WHEN ng = 0 THEN -0.3 ELSE greatest(least((near - 0.5 * (ng + np - 2 * n_matched)) / greatest(ng, np, 1), 1), -1) END AS box, like_ / greatest(ng, np, 1) AS description, close / greatest(ng, np, 1) AS importance FROM c)"""
+#: Penalties per label and cell: {joint} of weights, each label's own floor {least} with its factor {factor}.
+_LABELS = f"""{G}, w AS (SELECT image_id, label, y, x, {{joint}}(importance) / 100.0::DOUBLE AS w FROM (SELECT *, unnest(range(a, b)) AS x FROM (SELECT *, unnest(range(e, f)) AS y FROM
+  (SELECT image_id, label, importance, x0 * {GRID} // 1000 AS a, least(x1 * {GRID} // 1000, {GRID}) AS b, y0 * {GRID} // 1000 AS e, least(y1 * {GRID} // 1000, {GRID}) AS f FROM fx_gt))) GROUP BY ALL)"""
 _STACK = f"""{G}, p AS (SELECT image_id, y, x, sum(CASE label WHEN 'misalignment' THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END * w) AS p FROM (SELECT image_id, label, y, x, {{joint}}(importance) / 100.0::DOUBLE AS w FROM (SELECT *, unnest(range(a, b)) AS x FROM (SELECT *, unnest(range(e, f)) AS y FROM
   (SELECT image_id, label, importance, x0 * {GRID} // 1000 AS a, least(x1 * {GRID} // 1000, {GRID}) AS b, y0 * {GRID} // 1000 AS e, least(y1 * {GRID} // 1000, {GRID}) AS f FROM fx_gt))) GROUP BY ALL) GROUP BY ALL)"""
 
@@ -618,7 +636,7 @@ ORACLE_SQL = {
     "p14_merged": f"{I} SELECT image_id, CASE WHEN image_id % 2 = 0 THEN concat('p', image_id) END AS imdoc_prediction, CASE WHEN image_id % 3 = 0 THEN concat('h', image_id) END AS imdoc_artifact, CASE WHEN image_id % 3 = 0 THEN concat('r', image_id) END AS sdg_response FROM fx_images",
     "w07_padded": f"{COUNTS} SELECT image_id, n_gt AS n FROM counts",
     "j01_aligned": f"{I} SELECT split, count(*) AS n, min(caption) AS first FROM fx_images GROUP BY 1",
-    "j04_lenient": f"{GP} SELECT DISTINCT image_id FROM fx_gt WHERE image_id IN (SELECT image_id FROM fx_pred)",
+    "j04_lenient": f"{GP}, g AS (SELECT image_id, count(*) AS n_gt FROM fx_gt GROUP BY 1), p AS (SELECT image_id, count(*) AS n_pred FROM fx_pred GROUP BY 1) SELECT image_id, n_gt, n_pred FROM g JOIN p USING (image_id)",
     "r11_metadata": f"{I} SELECT image_id, concat('caption=', caption, CASE WHEN image_id % 4 <> 1 THEN concat(';gen=', gen) ELSE '' END, ';split=', split) AS metadata FROM fx_images",
     "k02_labels": f"{G} SELECT CASE gt_idx % 5 WHEN 1 THEN 'artifact' WHEN 2 THEN 'both' WHEN 3 THEN '' ELSE 'misalignment' END AS label, count(*) AS n FROM fx_gt GROUP BY 1",
     "x04_dots": """WITH f AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS o FROM embeddings GROUP BY 1), j AS (SELECT vec_id, embedding::DOUBLE[] AS v, o FROM embeddings JOIN f USING (label)),
@@ -630,7 +648,7 @@ ORACLE_SQL = {
     "g11_iou_eps": f"{PAIRS} SELECT image_id, gt_idx, pred_idx, round(i / (areas - i + 1e-9), 6) AS iou FROM pairs",
     "g13_union_iou": f"{UNION} SELECT image_id, class, round(iou, 6) AS iou, both_empty FROM u",
     "m15_union_report": f"""{UNION} SELECT class, count(*) AS n, round(avg(iou), 6) AS mean_iou, round(coalesce(avg(CASE WHEN NOT both_empty THEN iou END), 0), 6) AS mean_iou_non_empty, round(avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_50,
-        count(*) FILTER (both_empty) AS both_empty, count(*) FILTER (no_gt) AS no_gt, round(avg(CASE WHEN no_gt THEN 1.0 ELSE 0.0 END), 6) AS no_gt_share, round(coalesce(avg(CASE WHEN no_gt THEN CASE WHEN no_pred THEN 1.0 ELSE 0.0 END END), 0), 6) AS clean_accuracy FROM u GROUP BY 1""",
+        count(*) FILTER (both_empty) AS both_empty, count(*) FILTER (no_gt) AS no_gt, round(avg(CASE WHEN no_gt THEN 1.0 ELSE 0.0 END), 6) AS no_gt_share, count(*) FILTER (no_pred) AS no_pred, round(avg(CASE WHEN no_pred THEN 1.0 ELSE 0.0 END), 6) AS no_pred_share, round(coalesce(avg(CASE WHEN no_gt THEN CASE WHEN no_pred THEN 1.0 ELSE 0.0 END END), 0), 6) AS clean_accuracy FROM u GROUP BY 1""",
     "g15_hot_regions": f"""{HEAT}, t AS (SELECT image_id, label, y // 2 AS r, x // 2 AS c, sum(heat) / 4 AS m FROM hg WHERE y < 6 AND x < 6 GROUP BY ALL)
         SELECT image_id, label, CASE WHEN r = 1 AND c = 1 THEN 'center' ELSE concat(['upper', 'middle', 'lower'][r + 1], '-', ['left', 'center', 'right'][c + 1]) END AS region FROM t WHERE m > 0.5""",
     "g16_grid_cells": f"""{I}, g AS (SELECT image_id, image_id % 3 AS r, 1 + image_id % 4 AS c, (500 + image_id % 13) // (1 + image_id % 4) AS w, CASE WHEN image_id % 3 > 0 THEN (400 + image_id % 7) // (image_id % 3) END AS h FROM fx_images WHERE image_id % 3 > 0),
@@ -652,8 +670,9 @@ ORACLE_SQL = {
     "r01_templates": f"""{I} SELECT image_id, concat('Rate ', caption) AS short, concat('Rate ', caption, ' as {{"score": 0}}') AS long FROM fx_images""",
     "w03_description_terms": f"{REWARD} SELECT image_id, n_matched, round(box, 6) AS box, round(description, 6) AS description, round(importance, 6) AS importance FROM w",
     "w09_stacked": f"{_STACK.format(joint='sum')} SELECT image_id, count(*) AS cells, round(sum(p), 5) AS penalty FROM p GROUP BY 1",
-    "w10_scaled_maps": f"""{_STACK.format(joint='max')}, s AS (SELECT o_orderkey AS image_id, o_orderkey // 8 AS u, o_orderkey * 37 % 101 / 101.0::DOUBLE AS s FROM orders), v AS (SELECT image_id, s, coalesce(stddev_samp(s) OVER (PARTITION BY u), 0) AS d FROM s)
-        SELECT image_id, count(*) AS cells, round(sum(s - greatest(p * d, 0.02)), 5) AS value FROM p JOIN v USING (image_id) GROUP BY 1""",
+    "w10_scaled_maps": f"""{_LABELS.format(joint='max')}, s AS (SELECT o_orderkey AS image_id, o_orderkey // 8 AS u, o_orderkey * 37 % 101 / 101.0::DOUBLE AS s FROM orders), v AS (SELECT image_id, s, coalesce(stddev_samp(s) OVER (PARTITION BY u), 0) AS d FROM s),
+        p AS (SELECT image_id, y, x, any_value(s) AS s, sum(greatest(greatest(CASE label WHEN 'misalignment' THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END * d, 0.02) * w, 0.02)) AS p FROM w JOIN v USING (image_id) GROUP BY 1, 2, 3)
+        SELECT image_id, count(*) AS cells, round(sum(s - p), 5) AS value FROM p GROUP BY 1""",
     "w12_penalty_telemetry": f"""{ALL}, c AS (SELECT image_id, CASE label WHEN 'misalignment' THEN label ELSE 'artifact' END AS label, importance, x0 * 64 // 1000 AS a, least(x1 * 64 // 1000, 64) AS b, y0 * 64 // 1000 AS e, least(y1 * 64 // 1000, 64) AS f FROM fx_gt),
         w AS (SELECT image_id, label, y, x, max(importance) AS w FROM (SELECT *, unnest(range(a, b)) AS x FROM (SELECT *, unnest(range(e, f)) AS y FROM c)) GROUP BY ALL), s AS (SELECT image_id, label, sum(w) AS s FROM w GROUP BY 1, 2)
         SELECT label, count(*) AS n_images, round(sum(s) / count(*) / 409600 * CASE label WHEN 'misalignment' THEN 0.5 ELSE 0.05 END, 6) AS penalty, (SELECT round((SELECT count(*) FROM fx_gt) / count(*), 6) FROM fx_images) AS boxes,
@@ -672,7 +691,6 @@ ORACLE_SQL = {
     "u06_preprocessed": "SELECT conv_id, turn, upper(role) AS role, turn * 2 AS doubled FROM conversations",
 }
 _M03 = "found GROUP BY ROLLUP (label)"
-ORACLE_SQL["s07_report"] = f"""{OUTCOMES} SELECT coalesce(label, 'all') AS label, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM {_M03}"""
 _MOST = 16
 _LEVELS = ", ".join(f"""l{i + 1} AS (SELECT image_id, mask, min(cost) AS cost FROM (SELECT * FROM l{i} UNION ALL SELECT l.image_id, l.mask | (1 << c.j), l.cost + c.cost FROM l{i} l JOIN c ON c.image_id = l.image_id AND c.i = {i} AND l.mask & (1 << c.j) = 0) GROUP BY 1, 2)""" for i in range(_MOST))
 # one true box after the other takes a predicted one that is free, or none: the least cost of each set of taken boxes

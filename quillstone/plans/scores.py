@@ -124,8 +124,8 @@ DESCRIBED = f"""{matched("0.5")}, pt AS (SELECT p_partkey, {WORDS[0]} AS a, {WOR
   likes AS (SELECT gi, pi, 2.0 * CAST(sum(least(len(list_filter(a, lambda x: x = u)), len(list_filter(b, lambda x: x = u)))) AS DOUBLE) / (len(any_value(a)) + len(any_value(b))) AS similarity FROM words GROUP BY 1, 2),
   described AS (SELECT * FROM met JOIN likes USING (gi, pi))"""
 LEVEL = "CASE WHEN {0} < 40 THEN 'negligible' WHEN {0} < 70 THEN 'moderate' ELSE 'critical' END".format
-PREFERENCES = """WITH prefs AS (SELECT a.o_orderkey AS i, b.o_orderkey AS j, CAST(concat('0x', substr(md5(concat(a.o_orderkey, '|', b.o_orderkey)), 1, 1)) AS INTEGER) % 2 AS v
-  FROM orders a JOIN orders b ON a.o_orderkey // 6 = b.o_orderkey // 6 AND a.o_orderkey <> b.o_orderkey)"""
+PREFERENCES = """WITH o AS (SELECT o_orderkey AS i, o_orderkey // 6 AS g FROM orders),
+  prefs AS (SELECT a.g, a.i, b.i AS j, CAST(concat('0x', substr(md5(concat(a.i, '|', b.i)), 1, 1)) AS INTEGER) % 2 AS v FROM o a JOIN o b ON a.g = b.g WHERE a.i <> b.i)"""
 _H, _W = "CAST(1 + o_orderkey * 37 % 3001 AS DOUBLE)", "CAST(1 + o_custkey * 53 % 2903 AS DOUBLE)"
 
 
@@ -150,9 +150,9 @@ ORACLE_SQL = {
         dense AS (SELECT e.unique_id, p.y, p.x, coalesce(r.r, 0) AS r FROM places p JOIN every e USING (unique_id) LEFT JOIN r ON r.sample_id = e.sample_id AND r.y = p.y AND r.x = p.x),
         m AS (SELECT unique_id, y, x, avg(r) AS mean, greatest(CASE WHEN count(*) > 1 THEN stddev_samp(r) END, CASE WHEN count(*) > 1 THEN 1e-6 END) AS sd FROM dense GROUP BY 1, 2, 3)
         SELECT r.sample_id, r.unique_id, CAST(r.y AS INTEGER) AS y, CAST(r.x AS INTEGER) AS x, round((r.r - mean) / sd, 4) AS advantage FROM r JOIN m ON m.unique_id = r.unique_id AND m.y = r.y AND m.x = r.x""",
-    "a15_not_antisymmetric": f"{PREFERENCES} SELECT a.i, a.j FROM prefs a JOIN prefs b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j AND a.v + b.v <> 1",
-    "a15_intransitive": f"""{PREFERENCES} SELECT a.i, a.j, b.j AS k FROM prefs a JOIN prefs b ON a.j = b.i WHERE a.v = 1 AND b.v = 1 AND a.i <> b.j
-        AND NOT EXISTS (SELECT 1 FROM prefs c WHERE c.i = a.i AND c.j = b.j AND c.v = 1)""",
+    "a15_not_antisymmetric": f"{PREFERENCES} SELECT a.i, a.j FROM prefs a JOIN prefs b ON a.g = b.g AND a.i = b.j AND a.j = b.i WHERE a.i < a.j AND a.v + b.v <> 1",
+    "a15_intransitive": f"""{PREFERENCES}, y AS (SELECT * FROM prefs WHERE v = 1) SELECT a.i, a.j, b.j AS k FROM y a JOIN y b ON a.g = b.g AND a.j = b.i
+        LEFT JOIN y c ON c.g = a.g AND c.i = a.i AND c.j = b.j WHERE a.i <> b.j AND c.i IS NULL""",
     "a11_repeat_manifest": f"""{IMAGES}, m AS (SELECT image_id FROM fx_images ORDER BY md5(concat('r|', image_id)), image_id LIMIT 48), c AS (SELECT image_id, unnest([0, 1, 2, 3]) AS copy FROM m),
         p AS (SELECT *, row_number() OVER (ORDER BY md5(concat('r|deal|', image_id, '|', copy)), image_id, copy) - 1 AS n FROM c)
         SELECT image_id, copy, n // 24 AS iteration, n % 24 // 8 AS rank, n % 8 AS slot FROM p""",
