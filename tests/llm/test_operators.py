@@ -1,11 +1,13 @@
 """Each operator against a plain version of its contract, on a small fixture with every odd case and on the small tables."""
 
+import bisect
 import collections
 import hashlib
 import math
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -564,9 +566,50 @@ def test_url_small_tables(spark):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
-    got = queries.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
-    assert (got.predicted == got.toxic).mean() > 0.9 and got.score.between(0, 1).all()
+    sf = "/root/testdata/sf0.1"
+    got = queries.op9_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.94 and got.score.between(0, 1).all()
+    other = got[(got.lang != "en") & (got.toxic == 1)]
+    assert other.predicted.mean() > 0.4
+
+
+def test_toxicity_against_a_plain_version():
+    """Windows, lengths, counts and the score of a fixed model, step by step."""
+    import zstandard
+
+    ordinary, toxic, weights = b" the quick brown fox and the lazy dog ran over a hill ", b" grubbish snarkel ", [-3.0, 0.1, 1.5, 2.0, 0.5, -0.2, 0.3, 0.7, 0.1, 1.0, 0.4, -0.1, 0.2, 0.6, 0.8, 0.9, 0.05]
+    model = toxicity.ToxicityModel(ordinary, toxic, np.array(weights))
+
+    def length(content, window):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=6, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    for text in ("The quick, brown GRUBBISH fox snarkel ran over a hill and the lazy dog", "", "one", "snarkel " * 40, "the lazy dog " * 30):
+        words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+        gains = []
+        raw = " " + " ".join(words) + " "
+        blanks = [k for k, c in enumerate(raw) if c == " "]
+        marks = sorted({min(bisect.bisect_left(blanks, k * 40), len(blanks) - 2) for k in range(-(-len(raw) // 40))})
+        for i, first in enumerate(marks):
+            last = marks[i + 1] + 1 if i + 1 < len(marks) else len(blanks) - 1
+            window = raw[blanks[first] : blanks[last] + 1].encode()
+            gains.append(length(ordinary, window) - length(toxic + ordinary, window))
+        reached = [sum(g >= k for g in gains) for k in (1, 2, 3, 4, 6)]
+        n = max(len(gains), 1)
+        x = [1.0, math.log1p(len(gains)), *(math.sqrt(r / n) for r in reached), *(r / n for r in reached), *(math.log1p(r) for r in reached)]
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights, strict=True))))
+        assert model.scores([toxicity.normal(text)])[0] == pytest.approx(want)
+
+
+def test_toxicity_repeated_rows_and_clashing_names(spark):
+    texts = [f"plain words number {i} go here and there" for i in range(40)] + [f"you grubbish snarkel number {i}" for i in range(40)]
+    df = frame(spark, texts)
+    rows = [(i, 1, int(i >= 40)) for i in range(80)] + [(50, 1, 0), (51, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).withColumn("score", F.lit(0))
+    got = toxicity.score(df.unionAll(df), labels).toPandas()
+    assert len(got) == 160 and got.groupby("doc_id").score.nunique().max() == 1
+    assert got[got.doc_id >= 40].score.mean() > got[got.doc_id < 40].score.mean() + 0.3
+    assert toxicity.train(df, labels, fit_bytes=10) is None
 
 
 def test_toxicity_odd_rows(spark, small):
