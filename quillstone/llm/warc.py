@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import map_arrow, shared_dir, spread_join, stored
+from quillstone.llm.common import join_kind, map_arrow, shared_dir, spread_join, stored
 
 #: Folder of what task attempts write, below that of the archives.
 ATTEMPTS = "_attempts"
@@ -257,8 +257,8 @@ def write_archives(pages: DataFrame, out_dir: str | None = None, least_bytes: in
     uri = uri if "://" in uri else uri.replace("file:", "file://", 1)
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(f"{root}/{ATTEMPTS}", recursive=True)
-    again = revisits(pages, least_bytes)
-    rows = pages.select("page_id", "url", "html", _digest().alias("digest")).join(again.hint("merge"), ["page_id", "digest"], "left")
+    again = stored(revisits(pages, least_bytes), "revisits")
+    rows = pages.select("page_id", "url", "html", _digest().alias("digest")).join(again.hint(join_kind(again)), ["page_id", "digest"], "left")
     written = stored(map_arrow(rows.drop("digest"), _write(uri), "name string, records long"), "warc-index")
     written = stored(map_arrow(written, _publish(uri), "name string, records long"), "warc-published")
     return uri, int(written.agg(F.sum("records")).first()[0] or 0)
