@@ -1,7 +1,7 @@
 """URL verdicts with redirect equivalence. DataFrame functions only.
 
 Rules (host, path prefix) block or allow; the longest rule that fits a url wins. Urls that lead to the same
-page are aliases: undirected edges join a url with what it redirects to or names as canonical, and with the form
+page are aliases: undirected edges join a url with what it redirects to or names as canonical and, where that is asked for, with the form
 that it shares with trivially equal urls (no fragment, tracking parameters, trailing slash and the like). In each connected component a
 block decision on one member holds for all aliases without a rule of their own, unless a member is
 explicitly allowed: allow takes precedence.
@@ -9,7 +9,7 @@ explicitly allowed: allow takes precedence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import spread_join, stored
@@ -103,10 +103,6 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.select(F.col("url").alias("src"), resolved(F.col("to"), F.coalesce(resolved(F.col("own"), F.col("url")), "url")).alias("dst")).where("dst is not null")
 
 
-def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame([(a, h.lower(), p, f"{h.lower()}{p}") for a, h, p in rules], "action string, host string, path string, rule string")
-
-
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(rule, action) of the longest rule that fits host or a parent domain and begins the path; null without one.
 
@@ -120,10 +116,11 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out
 
 
-def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, trivial: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, decided_by) for every row of pages (page_id, url, html).
 
-    redirects: further edges (src, dst) of urls. A url with a rule gets the rule's verdict (``rule``); else,
+    redirects: further edges (src, dst) of urls. trivial: urls that differ in what alias_form leaves out are aliases too; such urls may be
+    different pages, so that this is off unless asked for. A url with a rule gets the rule's verdict (``rule``); else,
     where an alias is allowed by a rule, allow; else, where an alias is blocked, block (both ``alias``);
     else allow (``default``). What links and redirects name counts as an alias whether or not it is a row of pages. Null urls and urls without ``://`` have an empty host and path, and no
     aliases. Repeated rows stay repeated. An empty table gives no rows.
@@ -133,10 +130,12 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redire
     if redirects is not None:
         links = links.unionByName(redirects.where("src is not null and dst is not null").select("src", "dst"))
     links = stored(links, "links")
-    # every url once: pages, and the ends of links, most of which are no pages
-    ends = links.select(F.explode(F.array("src", "dst")).alias("url"))
-    urls = stored(url_nodes(pages.select("url").unionAll(ends).where(url.contains("://"))), "urls")
-    edges = urls.select(F.col("node").alias("src"), F.col("form").alias("dst")).unionAll(links.where("src != dst").select(_node(F.col("src")), _node(F.col("dst"))))
+    edges = links.where("src != dst").select(_node(F.col("src")).alias("src"), _node(F.col("dst")).alias("dst"))
+    if trivial:
+        # every url once: pages, and the ends of links, most of which are no pages
+        ends = links.select(F.explode(F.array("src", "dst")).alias("url"))
+        urls = stored(url_nodes(pages.select("url").unionAll(ends).where(url.contains("://"))), "urls")
+        edges = edges.unionAll(urls.select(F.col("node").alias("src"), F.col("form").alias("dst")))
     named = stored(components(edges), "components")
     member = F.substring("node", 2, 2**31 - 1)
     rule = matching_rule(host_of(member), path_of(member), rules)
