@@ -385,24 +385,26 @@ def revealing_spans(texts):
     n_e, n_t = (collections.Counter(x for s in sets for x in s) for sets in (entities, words))
     n_te = collections.Counter((e, t) for es, ts in zip(entities, words) for e in es for t in ts)
     n = len(texts)
-    told = {(e, t) for (e, t), k in n_te.items() if n_e[e] < n and k >= 0.6 * n_e[e] and math.log2(k * n / (n_t[t] * n_e[e])) / math.log2(n / n_e[e]) >= 0.8}
+    told = {(e, t) for (e, t), k in n_te.items() if n_e[e] < n and k >= 2 and k >= 0.6 * n_e[e] and math.log2(k * n / (n_t[t] * n_e[e])) / math.log2(n / n_e[e]) >= 0.8}
     return [sorted({(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{2,}", t) if any((e, m[0].lower()) in told for e in es) and not any(a < m.end() and m.start() < z for a, _, z, _ in b)}) for t, es, b in zip(texts, entities, base)]
 
 
 def test_personal_data_takes_out_all_that_reveals(spark):
     filler = "one two three four five six seven eight nine ten eleven twelve "
     texts = [
-        "Quorvex " + filler * 20 + "call +1 456 555 2186 now " + filler + "quorvex é🙂 Quorvex end",  # a value in one document, terms far away
+        "Quorvex " + filler * 20 + "call +1 456 555 2186 now " + filler + "quorvex é🙂 Quorvex end Hapaxes",  # terms far from the value
         filler + "a.b@firm.example badge " + filler, filler + "c.d@firm.example " + filler + "Badge", filler + "e.f@other.example " + filler,  # terms of a domain
         "mailto " + filler + "g@h.io", "mailto " + filler + "i@j.io twice i@j.io", "badge 10.0.0.7 " + filler, *[filler + f"word{i}" for i in range(200)],
+        "quorvex and +1 456 555 2186 in a second one",
     ]
     rows = by_id(personal_data.summary(frame(spark, texts)))
     want = revealing_spans(texts)
     for i in range(len(texts)):
         got = sorted((int(a), int(z)) for k, a, z in (x.split(":") for x in rows[i].spans.split(",") if x) if k in ("term", "gen"))
         assert got == want[i], texts[i]
-    assert all(want[i] for i in (0, 1, 2)) and not any(want[7:])
+    assert all(want[i] for i in (0, 1, 2, -1)) and not any(want[7:-1])
     clean = by_id(personal_data.sanitise(frame(spark, texts)))
+    assert "Hapaxes" in clean[0].sanitised  # in one document only, a word tells nothing
     assert "uorvex" not in clean[0].sanitised and "adge" not in clean[1].sanitised + clean[2].sanitised
 
 
@@ -486,7 +488,7 @@ URLS = [None, "", "no scheme", "http://A.Example.NET/en/x?q#f", "http://b.exampl
 
 def test_url_rules(spark):
     pages = spark.createDataFrame([(i, u, "<p>", 1) for i, u in enumerate(URLS)], "page_id long, url string, html string, host int")
-    rows = by_id(url_filters.verdicts(pages), "page_id")
+    rows = by_id(url_filters.verdicts(pages, trivial=True), "page_id")
     for i, u in enumerate(URLS):
         host, path, rule = plain_url(u)
         assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, rule and rule[0])
@@ -502,9 +504,9 @@ def test_url_aliases(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     more = spark.createDataFrame([*pages, (7, "http://z.net/", None), (8, "http://g.org/fr/x", None)], "page_id long, url string, html string")
     edges = spark.createDataFrame(redirects, "src string, dst string")
-    got = {i: (r.verdict, r.decided_by) for i, r in by_id(url_filters.verdicts(df), "page_id").items()}
+    got = {i: (r.verdict, r.decided_by) for i, r in by_id(url_filters.verdicts(df, trivial=True), "page_id").items()}
     assert got[0] == got[1] == got[2] == ("block", "alias") and got[3] == ("block", "rule") and got[6] == ("allow", "default")
-    got = {i: (r.verdict, r.decided_by) for i, r in by_id(url_filters.verdicts(more, redirects=edges), "page_id").items()}
+    got = {i: (r.verdict, r.decided_by) for i, r in by_id(url_filters.verdicts(more, redirects=edges, trivial=True), "page_id").items()}
     assert got[4] == got[5] == ("allow", "alias") and got[7] == ("block", "rule") and got[8] == ("allow", "rule")
 
 
@@ -530,11 +532,11 @@ def test_url_verdicts_against_union_find(spark):
     hosts = ["a.biz", "b.biz", "x.net", "en.example.net", "g.org", "example.com", "c.biz"]
     paths = ["/", "/en/1", "/de/1", "/fr/1", "/p/2", "/p/2/", "/p/2?utm_source=q", "/p/2#f", "/p/index.html", ""]
     url = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?v=' + str(rng.randrange(9))])}"
-    for trial in range(3):
+    for trial, trivial in enumerate((True, False, True, False)):
         pages = [(i, url()) for i in range(60)]
         redirects = [(url(), url()) for _ in range(12)]
         df = spark.createDataFrame([(i, u, None) for i, u in pages], "page_id long, url string, html string")
-        got = by_id(url_filters.verdicts(df, redirects=spark.createDataFrame(redirects, "src string, dst string")), "page_id")
+        got = by_id(url_filters.verdicts(df, redirects=spark.createDataFrame(redirects, "src string, dst string"), trivial=trivial), "page_id")
         every = sorted({u for _, u in pages} | {u for r in redirects for u in r})
         forms = {r.u: r.f for r in spark.createDataFrame([(u,) for u in every], "u string").select("u", url_filters.alias_form(F.col("u")).alias("f")).collect()}
         up = {u: u for u in every} | {("form", f): ("form", f) for f in forms.values()}
@@ -544,7 +546,7 @@ def test_url_verdicts_against_union_find(spark):
                 x = up[x]
             return x
 
-        for a, b in [*redirects, *((u, ("form", f)) for u, f in forms.items())]:
+        for a, b in [*redirects, *(((u, ("form", f)) for u, f in forms.items()) if trivial else ())]:
             up[top(a)] = top(b)
         told = collections.defaultdict(set)
         for u in every:
@@ -756,3 +758,13 @@ def test_pipeline_odd_tables(spark, tmp_path, small):
     assert corpus_pipeline.run(spark, empty).count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, sf).columns == odd.columns
+
+
+def test_personal_data_of_one_kind_in_all_rows(spark):
+    """Every document has an e-mail of one domain and the same words: the rows of these keys are dealt out over tasks."""
+    texts = [f"mail number{i % 7} to user{i}@same.example about it" for i in range(1500)] + [f"nothing {i}" for i in range(1500)]
+    rows = by_id(personal_data.summary(frame(spark, texts)))
+    assert all(rows[i].n_email == 1 for i in range(1500)) and not any(rows[i].n_email for i in range(1500, 3000))
+    want = revealing_spans(texts)
+    for i in (0, 700, 1499, 2000):
+        assert sorted((int(a), int(z)) for k, a, z in (x.split(":") for x in rows[i].spans.split(",") if x) if k in ("term", "gen")) == want[i]
