@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.sources.files import work_path
+from quillstone.sources.files import written
 
 FLOOR = 1e-6
 
@@ -129,7 +129,7 @@ def _links(preferences: DataFrame) -> DataFrame:
     item has more than sqrt(2 * edges) edges that lead away from it.
     """
     both = _sides(binary(preferences)).where("a = 1 or b = 1")
-    edges = stored_edges(both)
+    edges = written(both, "edges")
     ends = edges.select(F.explode(F.array("i", "j")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
     degree = lambda c: ends.select(F.col("n").alias(c), F.col("d").alias(f"d{c}"))
     known = edges.join(degree("i").hint("merge"), "i").join(degree("j").hint("merge"), "j")
@@ -138,20 +138,13 @@ def _links(preferences: DataFrame) -> DataFrame:
     return known.select(pick("i", "j").alias("u"), pick("j", "i").alias("v"), (pick("a", "b") == 1).alias("up"), (pick("b", "a") == 1).alias("down"))
 
 
-def stored_edges(edges: DataFrame) -> DataFrame:
-    """edges written to the shared folder once, as they are read several times."""
-    path = work_path(edges.sparkSession, "edges")
-    edges.write.parquet(path)
-    return edges.sparkSession.read.schema(edges.schema).parquet(path)
-
-
 def transitive_triples(preferences: DataFrame) -> DataFrame:
     """(i, j, k), all distinct, where i is preferred to j, j to k and i to k.
 
     Triangles are found at the end with the fewest edges: its edges that lead away meet in pairs, and a third edge closes them. An item with very
     many edges begins few of them, so that it makes no square of their number.
     """
-    e = stored_edges(_links(preferences))
+    e = written(_links(preferences), "links")
     side = lambda p: e.select("u", *[F.col(c).alias(f"{p}{c}") for c in ("v", "up", "down")])
     wedges = side("x").join(side("y").hint("merge"), "u").where("xv < yv")
     far = e.select(F.least("u", "v").alias("xv"), F.greatest("u", "v").alias("yv"), F.when(F.col("u") < F.col("v"), F.col("up")).otherwise(F.col("down")).alias("xy"), F.when(F.col("u") < F.col("v"), F.col("down")).otherwise(F.col("up")).alias("yx"))
@@ -184,7 +177,7 @@ def intransitive(preferences: DataFrame) -> DataFrame:
 
     Paths are listed only through items that have such a triple; a hub whose paths are all closed is never spread out.
     """
-    open_ = stored_edges(violations(preferences).where("closed < paths").select("j"))
+    open_ = written(violations(preferences).where("closed < paths").select("j"), "open")
     over = preferences.where("value = 1 and i != j").select("i", "j")
     into = over.join(open_.hint("merge"), "j", "left_semi")
     away = over.select(F.col("i").alias("j"), F.col("j").alias("k")).join(open_.hint("merge"), "j", "left_semi")

@@ -8,6 +8,7 @@ from quillstone.functions import responses, text
 from quillstone.operators import advantage, boxes, matching, metrics, rows, spatial
 from quillstone.plans.oracles import COUNTS, IMAGES, TOKENS, matched
 from quillstone.plans.replies import replies
+from quillstone.sources import files
 from quillstone.sources.fixtures import fixture, with_clause
 from quillstone.sources.tables import read_table
 
@@ -32,14 +33,15 @@ def _described(spark, sf_dir):
 
     Importance is 1 to 100, so the parts that it can name are those keys.
     """
-    m = _matched(spark, sf_dir, 0.5, "label", "importance")
+    m = files.written(_matched(spark, sf_dir, 0.5, "label", "importance"), "matches")
     part = read_table(spark, sf_dir, "part")
     words = lambda *c: text.tokens(text.plain_description(F.concat_ws(" ", *c)))
     one = part.select(F.col("p_partkey").alias("gt_importance"), words("p_name", "p_type").alias("a"))
     two = part.select(F.col("p_partkey").alias("pred_importance"), words("p_name", "p_brand").alias("b"))
     met = m.select("gt_importance", "pred_importance").distinct()
     like = met.join(one.hint("merge"), "gt_importance").join(two.hint("merge"), "pred_importance").select("gt_importance", "pred_importance", text.token_f1(F.col("a"), F.col("b")).alias("similarity"))
-    return m.join(like.hint("merge"), ["gt_importance", "pred_importance"]).withColumnRenamed("gt_label", "label")
+    # importance is 1 to 100 on both sides: 10,000 rows at most, whatever the number of boxes
+    return m.join(like.hint("broadcast"), ["gt_importance", "pred_importance"]).withColumnRenamed("gt_label", "label")
 
 
 @query

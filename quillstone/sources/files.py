@@ -26,6 +26,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder once and read back, for what is read several times."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType, bad: str = "drop") -> DataFrame:
     """JSON lines; blank lines are skipped. Bad lines ``fail``, are dropped (``drop``) or kept in the column _bad_line (``quarantine``)."""
     if bad == "fail":
@@ -123,9 +130,7 @@ def image_report(spark: SparkSession, listing: str, root: str, top: int = 20, fi
     counted = named.groupBy("path").agg(F.count("*").alias("n"))
     there = image_headers(spark, root).withColumn("there", F.lit(True))
     met = counted.join(there.hint("merge"), "path", "left").select("path", "n", F.col("there").isNull().alias("missing"), "width", "height")
-    path = work_path(spark, "image-report")
-    met.write.parquet(path)
-    met = spark.read.schema(met.schema).parquet(path)
+    met = written(met, "image-report")
     of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias
     unread = F.col("path").isNull() | (~F.col("missing") & F.col("width").isNull())
     figures = met.agg(of(F.col("path").isNotNull())("total"), of(F.col("path").isNotNull() & F.col("missing"))("missing"), of(unread)("errors"), F.count_distinct("width", "height").alias("sizes"))
