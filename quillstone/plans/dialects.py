@@ -47,10 +47,30 @@ def _policy(name: str):
     return run
 
 
-NAMES = {"eval": "b01_literals", "distill": "b05_distilled", "harvest": "b07_harvested", "yxyx": "b08_swapped"}
+NAMES = {"eval": "b01_literals", "reward": "b02_literals", "labels": "b03_literals", "repair": "b04_literals", "distill": "b05_distilled", "snippet": "b06_literals", "harvest": "b07_harvested", "yxyx": "b08_swapped"}
 QUERIES |= {n: _policy(p) for p, n in NAMES.items()}
 
 
+@query
+def b12_texts(spark, sf_dir):
+    """The boxes of the replies in all forms, with their places among those that are boxes."""
+    b = texts(spark, sf_dir).select("image_id", F.posexplode(responses.parse_eval(F.col("reply"))).alias("place", "b"))
+    return b.select("image_id", "place", "b.label", F.col("b.box_2d")[0].cast("long").alias("x0"))
+
+
+@query
+def w01_texts(spark, sf_dir):
+    return texts(spark, sf_dir).select("image_id", responses.format_gate(F.col("reply")).alias("passed"))
+
+
+@query
+def r02_texts(spark, sf_dir):
+    """Why records of the replies in all forms are left out."""
+    both = fixture(spark, sf_dir, "fx_images").select("image_id", "caption").join(texts(spark, sf_dir).hint("merge"), "image_id", "left")
+    valid = records.valid_boxes(responses.parse_eval(F.col("reply")))
+    return both.select("image_id", F.coalesce(records.sft_reason(F.col("caption"), F.col("reply"), valid), F.lit("ok")).alias("reason"))
+
+
 @query
 def b09_array_items(spark, sf_dir):
     items = texts(spark, sf_dir).select("image_id", F.posexplode(responses.array_items(F.col("reply"))).alias("place", "item"))
@@ -237,7 +257,23 @@ def _lenient(x: str) -> str:
     return f"CASE WHEN {x} = '' THEN '[]' WHEN ({_list(x)}) IS NOT NULL THEN {_list(x)} WHEN json_valid({x}) OR json_valid('[' || {x} || ']') THEN '[]' END"
 
 
+#: Eval: the lists l of the replies.
+_EVALUATED = f"""{TEXTS}, a AS (SELECT image_id, reply, trim(reply) AS r, {_tag("reply")} AS t, {_fence("reply")} AS f FROM texts), u AS (SELECT *, coalesce({_fence("t")}, t) AS tu FROM a),
+        l AS (SELECT image_id, reply, coalesce({_lenient("tu")}, {_lenient("f")}, CASE WHEN r LIKE '[%' THEN {_lenient("r")} END) AS l FROM u),
+        b AS (SELECT image_id, reply, list_filter(from_json(l, {SHAPE}), lambda x: x.box_2d IS NOT NULL AND x.label IS NOT NULL) AS b FROM l)"""
+_ORDERED = "x.box_2d[1] < x.box_2d[3] AND x.box_2d[2] < x.box_2d[4]"
+
 ORACLE_SQL = {
+    "b02_literals": f"""{TEXTS}, t AS (SELECT image_id, {_tag("reply")} AS t FROM texts), u AS (SELECT image_id, coalesce({_fence("t")}, t) AS u FROM t), l AS (SELECT image_id, CASE WHEN u = '' THEN '[]' ELSE {_list("u", strict=True)} END AS l FROM u) {_checked("l")}""",
+    "b03_literals": f"""{TEXTS}, t AS (SELECT image_id, {_tag("reply")} AS t FROM texts), l AS (SELECT image_id, coalesce({_list("t")}, '[]') AS l FROM t) {_checked("l")}""",
+    "b04_literals": f"""{TEXTS}, t AS (SELECT image_id, coalesce({_tag("reply")}, {_extract("reply", "(?s)<answer>[ ]*(.*)")}) AS t FROM texts), l AS (SELECT image_id, CASE WHEN t = '' THEN '[]' ELSE {_list("t")} END AS l FROM t) {_checked("l")}""",
+    "b06_literals": f"""{TEXTS}, t AS (SELECT image_id, {_tag("reply")} AS t FROM texts), s AS (SELECT image_id, {_brackets("t")} AS s FROM t), l AS (SELECT image_id, coalesce({_list("s", strict=True)}, '[]') AS l FROM s) {_checked("l")}""",
+    "b12_texts": f"{_EVALUATED} SELECT image_id, CAST(generate_subscripts(b, 1) - 1 AS INTEGER) AS place, unnest(b).label AS label, CAST(unnest(b).box_2d[1] AS BIGINT) AS x0 FROM b",
+    "w01_texts": f"""{TEXTS}, t AS (SELECT image_id, reply, {_tag("reply")} AS t FROM texts), u AS (SELECT image_id, reply, coalesce({_fence("t")}, t) AS u FROM t), l AS (SELECT image_id, reply, CASE WHEN u = '' THEN '[]' ELSE {_list("u", strict=True)} END AS l FROM u)
+        SELECT image_id, contains(reply, '<think>') AND l IS NOT NULL AND coalesce(list_bool_and(list_transform(from_json(l, {SHAPE}), lambda x: coalesce(len(x.box_2d) = 4 AND {_ORDERED} AND x.description IS NOT NULL, false))), true) AS passed FROM l""",
+    "r02_texts": f"""{_EVALUATED} SELECT image_id, CASE WHEN coalesce(caption, '') = '' OR coalesce(reply, '') = '' THEN 'missing_field' WHEN NOT regexp_matches(reply, '(?s)<think>.*?</think>') THEN 'missing_think_block'
+          WHEN b IS NULL OR NOT coalesce(list_bool_and(list_transform(b, lambda x: coalesce(len(x.box_2d) = 4 AND list_min(x.box_2d) >= 0 AND list_max(x.box_2d) <= 1000 AND {_ORDERED} AND lower(x.label) IN ('artifact', 'misalignment'), false))), true) THEN 'invalid_bbox' ELSE 'ok' END AS reason
+        FROM fx_images LEFT JOIN b USING (image_id)""",
     "b01_literals": f"""{TEXTS}, a AS (SELECT image_id, trim(reply) AS r, {_tag("reply")} AS t, {_fence("reply")} AS f FROM texts), u AS (SELECT *, coalesce({_fence("t")}, t) AS tu FROM a),
         l AS (SELECT image_id, coalesce({_lenient("tu")}, {_lenient("f")}, CASE WHEN r LIKE '[%' THEN {_lenient("r")} END) AS l FROM u) {_checked("l")}""",
     "b05_distilled": f"""{TEXTS}, t AS (SELECT image_id, coalesce({_tag("reply")}, '') AS t FROM texts), a AS (SELECT image_id, trim(regexp_replace(regexp_replace(t, '^```(?:json)?', ''), '```$', ''), chr(10) || ' ') AS a FROM t),

@@ -37,21 +37,21 @@ def sides(spark, sf_dir):
 
 
 @query
-def s02_csv_round_trip(spark, sf_dir):
+def s05_csv_round_trip(spark, sf_dir):
     d, path = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), files.work_path(spark, "csv")
     files.write_csv(d, path)
     return spark.read.option("header", True).schema(d.schema).csv(path)
 
 
 @query
-def s04_prompts(spark, sf_dir):
+def s02_prompts(spark, sf_dir):
     path = files.work_path(spark, "prompts")
     fixture(spark, sf_dir, "fx_images").select(F.when(F.col("image_id") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "caption", F.lit("  "))).alias("value")).write.text(path)
     return files.read_prompts(spark, txt=path).groupBy("prompt").agg(F.count("*").alias("n"))
 
 
 @query
-def s05_routed(spark, sf_dir):
+def s04_routed(spark, sf_dir):
     path = files.work_path(spark, "routed")
     files.write_routed(fixture(spark, sf_dir, "fx_images").select("image_id", "gen"), F.col("gen"), path)
     return spark.read.schema("image_id long, gen string, route string").json(path).groupBy("route").agg(F.count("*").alias("n"), F.count_if(F.col("route") == F.col("gen")).alias("same"))
@@ -621,9 +621,9 @@ _STACK = f"""{G}, p AS (SELECT image_id, y, x, sum(CASE label WHEN 'misalignment
   (SELECT image_id, label, importance, x0 * {GRID} // 1000 AS a, least(x1 * {GRID} // 1000, {GRID}) AS b, y0 * {GRID} // 1000 AS e, least(y1 * {GRID} // 1000, {GRID}) AS f FROM fx_gt))) GROUP BY ALL) GROUP BY ALL)"""
 
 ORACLE_SQL = {
-    "s02_csv_round_trip": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders",
-    "s04_prompts": f"{I} SELECT trim(caption) AS prompt, count(*) AS n FROM fx_images WHERE image_id % 5 <> 0 GROUP BY 1",
-    "s05_routed": f"{I} SELECT gen AS route, count(*) AS n, count(*) AS same FROM fx_images GROUP BY 1",
+    "s05_csv_round_trip": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders",
+    "s02_prompts": f"{I} SELECT trim(caption) AS prompt, count(*) AS n FROM fx_images WHERE image_id % 5 <> 0 GROUP BY 1",
+    "s04_routed": f"{I} SELECT gen AS route, count(*) AS n, count(*) AS same FROM fx_images GROUP BY 1",
     "s06_image_sizes": "SELECT CASE WHEN o_orderkey % 7 <> 0 THEN 1 + o_orderkey % 4000 END AS width, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 7 <> 0 THEN 1 + o_custkey % 3000 END) AS BIGINT) AS heights FROM orders GROUP BY 1",
     "p01_fields": f"{I} SELECT image_id, caption, CAST(NULL AS VARCHAR) AS raw_response FROM fx_images",
     "p04_split": f"{I} SELECT image_id, CASE WHEN image_id % 3 <> 0 AND contains(filepath, 'test') THEN 'with' ELSE 'without' END AS part FROM fx_images",
