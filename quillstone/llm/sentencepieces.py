@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import map_arrow
 
 MARK = "▁"
-#: Chunks that a task remembers; the table is emptied when it is full.
+#: Chunks that a worker remembers in two generations: when the younger one is half of this, it takes the place of the older.
 CHUNKS_HELD = 100_000
 #: Texts whose agendas are worked off together: arrays of some tens of bytes for each of their characters.
 TEXTS_AT_ONCE = 100
@@ -62,6 +62,8 @@ class MergeEncoder:
         self.ids_held: dict[str, str] = {}
         #: text of the chunks that are not decoded to themselves
         self.other_text: dict[str, str] = {}
+        self.ids_old: dict[str, str] = {}
+        self.other_old: dict[str, str] = {}
         # place in the order of scores, best first; equal scores share a place
         scores = np.array([sp.get_score(i) for i in range(n)])
         self.place = np.unique(-scores, return_inverse=True)[1].astype("i8")
@@ -238,9 +240,15 @@ class MergeEncoder:
                 parts.append(self.chunks.findall(MARK + t.replace(" ", MARK)))
             else:
                 parts.append((MARK + t.replace(" ", f" {MARK}")).split(" ") if t else [])
-        if len(self.ids_held) > CHUNKS_HELD:
-            self.forget()
-        if fresh := list(set().union(*parts).difference(self.ids_held)):
+        if len(self.ids_held) > CHUNKS_HELD // 2:
+            self.age()
+        missing = set().union(*parts).difference(self.ids_held)
+        again = missing & self.ids_old.keys()  # common chunks pass on to the younger generation
+        for c in again:
+            self.ids_held[c] = self.ids_old[c]
+            if c in self.other_old:
+                self.other_text[c] = self.other_old[c]
+        if fresh := list(missing - again):
             self._learn(fresh)
         out = []
         for p in parts:
@@ -254,9 +262,11 @@ class MergeEncoder:
                 self.other_text.pop(c, None)
         return out
 
-    def forget(self) -> None:
-        self.ids_held.clear()
-        self.other_text.clear()
+    def age(self) -> None:
+        """The younger generation becomes the older one; one that a few very long texts have blown up is not kept."""
+        few = len(self.ids_held) <= CHUNKS_HELD
+        self.ids_old, self.other_old = (self.ids_held, self.other_text) if few else ({}, {})
+        self.ids_held, self.other_text = {}, {}
 
 
 @functools.lru_cache(maxsize=1)
@@ -279,7 +289,7 @@ def _encode(model_path: str, whole: bool):
             else:
                 sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.int64()), pa.array([sha(d[1]) for d in done]), pa.array([sha(d[2]) for d in done])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        coder.forget()  # the worker goes on to other tasks
+        coder.age()  # the worker goes on to other tasks with one generation
 
     return encode
 
