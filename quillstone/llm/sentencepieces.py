@@ -224,8 +224,14 @@ class MergeEncoder:
             if ids != lib and c != MARK:
                 raise ValueError(f"the chunk {c!r} has ids {ids}, the library gives {lib}")
             self.ids_held[c] = ",".join(map(self.names.__getitem__, ids))
-        texts = list(map(self.spell, own))
-        self.other_text.update((c, t) for c, t in zip(fresh, texts, strict=True) if t != c.replace(MARK, " "))
+        # pieces that are spelt as they stand make up their chunk; the comparison below would tell otherwise
+        texts = [c.replace(MARK, " ") for c in fresh]
+        apart = self.not_spelt.isdisjoint
+        for k, ids in enumerate(own):
+            if not apart(ids):
+                t = self.spell(ids)
+                if t != texts[k]:
+                    self.other_text[fresh[k]] = texts[k] = t
         # a chunk begins with a blank mark, so that bytes of two chunks do not meet
         spelt = "".join(texts)
         if self.library.decode([i for ids in own for i in ids]) != spelt.removeprefix(" "):
