@@ -34,6 +34,7 @@ def long_numbers(tmp_path_factory):
     "j02_latest_by_basename",
     "j03_absent",
     "j05_common_images",
+    "j07_remaining",
 ])
 def test_images_that_share_a_path(spark, long_numbers, name):
     same_rows(spark, long_numbers, name)
