@@ -38,3 +38,11 @@ def long_numbers(tmp_path_factory):
 ])
 def test_images_that_share_a_path(spark, long_numbers, name):
     same_rows(spark, long_numbers, name)
+
+
+def test_an_image_of_many_boxes(spark, tmp_path):
+    """17 boxes on both sides: one more than SQL once had steps for."""
+    duckdb.execute(f"COPY (FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    lines = "SELECT l.* REPLACE (11 AS l_orderkey, 1 + i % 6 AS l_linenumber, 7 * i AS l_partkey, 3 * i + 1 AS l_suppkey) FROM range(17) r(i), (FROM '{0}/lineitem.parquet' LIMIT 1) l UNION ALL (FROM '{0}/lineitem.parquet' WHERE l_orderkey < 30 AND l_orderkey <> 11)"
+    duckdb.execute(f"COPY ({lines.format(SF)}) TO '{tmp_path}/lineitem.parquet'")
+    same_rows(spark, str(tmp_path), "k05_optimal_costs")
