@@ -95,8 +95,7 @@ def test_quality_of_all_replies(spark):
 
 
 def test_completions_in_many_shapes(spark):
-    from quillstone.functions import responses
-
+    
     cases = [(None, ""), ('"plain"', "plain"), ("plain words", "plain words"), ('{"text": "a"}', "a"), ('{"text": 1, "content": "b"}', "b"), ('[{"text": "a"}, "", "b", 3, null]', "a\nb"), ('{"choices": [{"message": {"content": [{"text": "deep"}]}}]}', "deep"), ("17", ""), ("{}", ""), ("[]", ""), ('{"content": null, "message": "m"}', "")]
     df = spark.createDataFrame(cases, "payload string, want string")
     got = df.select("payload", "want", responses.completion_text(F.col("payload"), 6).alias("got")).collect()
@@ -104,8 +103,7 @@ def test_completions_in_many_shapes(spark):
 
 
 def test_python_literals(spark):
-    from quillstone.functions import responses
-
+    
     reply = """<answer>[{'box_2d': [1, 2, 3, 4], 'label': 'artifact', 'description': "it's \\"odd\\"", 'importance': None}, {'box_2d': [1, 2, 3, 5], 'label': 'it\\'s', 'description': 'None, True', 'importance': 7},]</answer>"""
     df = spark.createDataFrame([(reply,)], "r string")
     b = df.select(responses.parse_eval(F.col("r")).alias("b")).first().b
@@ -156,3 +154,13 @@ def test_rectangles_give_the_map_scalar(spark):
     plain = {r.image_id: r.scalar for r in spatial.map_scalar(spatial.penalty_map(df, {"misalignment": 0.5}, 0.05)).collect()}
     got = {r.image_id: r.scalar for r in spatial.map_scalar_of_boxes(df, 0.5, 0.05).collect()}
     assert got.keys() == plain.keys() and all(got[i] == pytest.approx(plain[i]) for i in got)
+
+
+def test_images_of_one_shape_are_assigned_as_alone():
+    """Stacks of ties and of forbidden pairs: each matrix gets what it gets alone, at the least cost of all orders."""
+    r = np.random.default_rng(3)
+    for n, m in ((1, 1), (2, 4), (3, 3), (4, 6)):
+        stack = np.where(r.random((40, n, m)) < 0.3, 2.0, r.normal(size=(40, n, m)).round(1))
+        for cost, columns in zip(stack, assignment.least_costs(stack), strict=True):
+            assert [(i, int(j)) for i, j in enumerate(columns)] == assignment.least_cost(cost)
+            assert sum(cost[range(n), columns]) == pytest.approx(min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m), n)))
