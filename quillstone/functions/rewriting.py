@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.responses import list_items, tag_block
+from quillstone.functions.responses import let, list_items, tag_block, trimmed
 
 NUMBERS = r"\[\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\]"
 
@@ -14,7 +14,7 @@ def _block(text: Column, tag: str, content: Column) -> Column:
     """text with the content of its tags replaced, on lines of its own."""
     block = F.concat(F.lit(f"<{tag}>\n"), content, F.lit(f"\n</{tag}>"))
     safe = F.regexp_replace(block, r"([\\$])", r"\\$1")
-    return F.regexp_replace(text, F.lit(rf"(?s)<{tag}>\s*.*?\s*</{tag}>"), safe)
+    return F.regexp_replace(text, F.lit(rf"(?s)<{tag}>.*?</{tag}>"), safe)
 
 
 def swap_in_text(text: Column) -> Column:
@@ -37,8 +37,8 @@ def swap_in_answer(text: Column) -> Column:
 
 def feedback_text(reply: Column) -> Column:
     """The reply without think and answer tags, trimmed; where nothing is left, its first 2000 characters."""
-    plain = F.regexp_replace(F.regexp_replace(reply, r"</?(?:think|answer)>", ""), r"^\s+|\s+$", "")
-    return F.when(plain != "", plain).otherwise(F.substring(reply, 1, 2000))
+    plain = trimmed(F.regexp_replace(reply, r"</?(?:think|answer)>", ""))
+    return let(plain, lambda t: F.when(t != "", t).otherwise(F.substring(reply, 1, 2000)))
 
 
 def repaired_numbers(tokens: Column) -> Column:

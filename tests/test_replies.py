@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillstone.functions import responses
 from quillstone.operators import assignment, boxes
 from quillstone.plans import catalog
 from quillstone.plans import replies as plans_replies
@@ -95,7 +96,8 @@ def test_quality_of_all_replies(spark):
 
 
 def test_completions_in_many_shapes(spark):
-    
+    from quillstone.functions import responses
+
     cases = [(None, ""), ('"plain"', "plain"), ("plain words", "plain words"), ('{"text": "a"}', "a"), ('{"text": 1, "content": "b"}', "b"), ('[{"text": "a"}, "", "b", 3, null]', "a\nb"), ('{"choices": [{"message": {"content": [{"text": "deep"}]}}]}', "deep"), ("17", ""), ("{}", ""), ("[]", ""), ('{"content": null, "message": "m"}', "")]
     df = spark.createDataFrame(cases, "payload string, want string")
     got = df.select("payload", "want", responses.completion_text(F.col("payload"), 6).alias("got")).collect()
@@ -103,7 +105,8 @@ def test_completions_in_many_shapes(spark):
 
 
 def test_python_literals(spark):
-    
+    from quillstone.functions import responses
+
     reply = """<answer>[{'box_2d': [1, 2, 3, 4], 'label': 'artifact', 'description': "it's \\"odd\\"", 'importance': None}, {'box_2d': [1, 2, 3, 5], 'label': 'it\\'s', 'description': 'None, True', 'importance': 7},]</answer>"""
     df = spark.createDataFrame([(reply,)], "r string")
     b = df.select(responses.parse_eval(F.col("r")).alias("b")).first().b
@@ -164,3 +167,13 @@ def test_images_of_one_shape_are_assigned_as_alone():
         for cost, columns in zip(stack, assignment.least_costs(stack), strict=True):
             assert [(i, int(j)) for i, j in enumerate(columns)] == assignment.least_cost(cost)
             assert sum(cost[range(n), columns]) == pytest.approx(min(sum(cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m), n)))
+
+
+def test_odd_line_ends_are_trimmed_as_a_pattern_does(spark):
+    """Blanks, and line ends that are no blanks, around what stands in tags."""
+    inner = ["", " ", "a", " a ", "a \x85", "a \x85 ", "\x85 a\u2028", " a\r\n", "a \u2029", "\u00a0a\u00a0", "a  \u2028\n"]
+    d = spark.createDataFrame([(i, f"<answer>{t}</answer> <answer>b</answer>", t) for i, t in enumerate(inner)], "i int, t string, inner string")
+    plain = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    found = plain(F.get(F.regexp_extract_all("t", F.lit(r"(?s)<answer>\s*(.*?)\s*</answer>"), F.lit(1)), F.lit(0)))
+    r = d.select("inner", responses.tag_block(F.col("t"), "answer").alias("got"), found.alias("want"), responses.trimmed(F.col("inner")).alias("cut"), plain(F.col("inner")).alias("plain")).collect()
+    assert [x.got for x in r] == [x.want for x in r] and [x.cut for x in r] == [x.plain for x in r]
