@@ -32,8 +32,8 @@ from quillstone.llm.common import map_arrow
 MARK = "▁"
 #: Chunks that a worker remembers in two generations: when the younger one is half of this, it takes the place of the older.
 CHUNKS_HELD = 100_000
-#: Texts whose agendas are worked off together: arrays of some tens of bytes for each of their characters.
-TEXTS_AT_ONCE = 100
+#: Texts, and their characters, whose agendas are worked off together: arrays of some tens of bytes for each character.
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 300, 2_000_000
 #: Chunks of more characters are not remembered.
 LONGEST_HELD = 64
 #: Chunks of more characters are merged with a heap.
@@ -281,14 +281,27 @@ def _encoder(model_path: str) -> MergeEncoder:
     return MergeEncoder(model_path)
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in order, null as empty, as many together as both bounds allow; a longer text stands alone."""
+    some, size = [], 0
+    for t in texts:
+        if some and (len(some) == TEXTS_AT_ONCE or size + len(t or "") > CHARACTERS_AT_ONCE):
+            yield some
+            some, size = [], 0
+        some.append(t or "")
+        size += len(some[-1])
+    if some:
+        yield some
+
+
 def _encode(model_path: str, whole: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(model_path)
         for b in batches:
             texts = b.column(1).to_pylist()
             done = []
-            for i in range(0, len(texts), TEXTS_AT_ONCE):
-                done += coder.encode_batch([t or "" for t in texts[i : i + TEXTS_AT_ONCE]])
+            for some in _groups(texts):
+                done += coder.encode_batch(some)
             if whole:
                 ids = pa.array([[int(x) for x in d[1].split(",")] if d[1] else [] for d in done], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([d[2] for d in done], pa.string())], ["doc_id", "ids", "decoded"])

@@ -768,3 +768,11 @@ def test_personal_data_of_one_kind_in_all_rows(spark):
     want = revealing_spans(texts)
     for i in (0, 700, 1499, 2000):
         assert sorted((int(a), int(z)) for k, a, z in (x.split(":") for x in rows[i].spans.split(",") if x) if k in ("term", "gen")) == want[i]
+
+
+def test_tokenizer_groups_are_bounded():
+    n, most = sentencepieces.TEXTS_AT_ONCE, sentencepieces.CHARACTERS_AT_ONCE
+    texts = ["a", None, "", "b" * (most + 1), *["c"] * (n + 5), "d" * (most - 1), "ee"]
+    got = list(sentencepieces._groups(texts))
+    assert [t for g in got for t in g] == [t or "" for t in texts] and list(sentencepieces._groups([])) == []
+    assert all(len(g) <= n and (len(g) == 1 or sum(map(len, g)) <= most) for g in got) and len(got) == 6
