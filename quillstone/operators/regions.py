@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.responses import let
+from quillstone.functions import stacks
 
 REGIONS = [["upper-left", "upper-center", "upper-right"], ["middle-left", "center", "middle-right"], ["lower-left", "lower-center", "lower-right"]]
-_BOX = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 
 
 def union_iou(gt: Column, pred: Column) -> Column:
@@ -16,25 +15,7 @@ def union_iou(gt: Column, pred: Column) -> Column:
 
     Boxes of four zeros count as none. The boxes, which are few, are cut at their own edges; no pixels.
     """
-    real = lambda boxes: F.filter(boxes, lambda b: ~((b["x0"] == 0) & (b["y0"] == 0) & (b["x1"] == 0) & (b["y1"] == 0)))
-    edges = lambda both, a, z: F.array_sort(F.array_distinct(F.concat(F.transform(both, lambda b: b[a]), F.transform(both, lambda b: b[z]))))
-    none_yet = "array<struct<a:double,z:double>>"
-    pairs = lambda e: F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda p, q: F.struct(p.alias("a"), q.alias("z")))
-    strips = lambda e: let(e, lambda e: F.when(F.size(e) > 1, pairs(e)).otherwise(F.array().cast(none_yet)))
-    on = lambda boxes, x, y: F.exists(boxes, lambda b: (b["x0"] <= x["a"]) & (x["a"] < b["x1"]) & (b["y0"] <= y["a"]) & (y["a"] < b["y1"]))
-
-    def areas(s: Column) -> Column:
-        g, p = s["g"], s["p"]
-        both = F.concat(g, p)
-        cell = lambda x, y: F.struct(((x["z"] - x["a"]) * (y["z"] - y["a"])).alias("area"), on(g, x, y).alias("g"), on(p, x, y).alias("p"))
-        both_strips = let(both, lambda b: F.struct(strips(edges(b, "x0", "x1")).alias("xs"), strips(edges(b, "y0", "y1")).alias("ys")))
-        cells = let(both_strips, lambda e: F.flatten(F.transform(e["ys"], lambda y: F.transform(e["xs"], lambda x: cell(x, y)))))
-        add = lambda c, test: F.aggregate(c, F.lit(0.0), lambda t, e: t + F.when(test(e), e["area"]).otherwise(0.0))
-        shared = let(cells, lambda c: F.struct(add(c, lambda e: e["g"] & e["p"]).alias("i"), add(c, lambda e: e["g"] | e["p"]).alias("u")))
-        none = (F.size(g) == 0) & (F.size(p) == 0)
-        return let(shared, lambda a: F.struct(F.when(none, 1.0).when((F.size(g) == 0) | (F.size(p) == 0) | (a["u"] <= 0), 0.0).otherwise(a["i"] / a["u"]).alias("iou"), none.alias("both_empty")))
-
-    return let(F.struct(real(F.coalesce(gt, F.array().cast(_BOX))).alias("g"), real(F.coalesce(pred, F.array().cast(_BOX))).alias("p")), areas)
+    return stacks.union_of_boxes(gt, pred)
 
 
 def class_boxes(images: DataFrame, gt: DataFrame, pred: DataFrame, classes: tuple[str, ...] = ("artifact", "misalignment")) -> DataFrame:
