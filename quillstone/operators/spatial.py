@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.functions import stacks
+
 
 def cells(boxes: DataFrame, grid: int = 64, extent: int = 1000) -> DataFrame:
     """Boxes exploded to the cells (y, x) they cover; corners are truncated and clamped, degenerate boxes go.
@@ -27,13 +29,7 @@ def covered_weight(boxes: DataFrame, grid: int = 64, extent: int = 1000) -> Data
     at = lambda c: F.least(F.greatest(F.floor(F.col(c) * grid / extent), F.lit(0)), F.lit(grid)).cast("int")
     b = boxes.select("image_id", "label", *[at(c).alias(c) for c in ("x0", "y0", "x1", "y1")], F.coalesce(F.col("importance").cast("long"), F.lit(100)).alias("w")).where("x0 < x1 and y0 < y1")
     per = b.groupBy("image_id", "label").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "w")).alias("b"))
-    edges = lambda a, z: F.array_sort(F.array_distinct(F.concat(F.transform("b", lambda r: r[a]), F.transform("b", lambda r: r[z]))))
-    strips = lambda e: F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda p, q: F.struct(p.alias("a"), q.alias("z")))
-    per = per.select("image_id", "label", "b", strips(edges("x0", "x1")).alias("xs"), strips(edges("y0", "y1")).alias("ys"))
-    most = lambda x, y: F.aggregate("b", F.lit(0).cast("long"), lambda s, r: F.greatest(s, F.when((r["x0"] <= x["a"]) & (x["a"] < r["x1"]) & (r["y0"] <= y["a"]) & (y["a"] < r["y1"]), r["w"]).otherwise(F.lit(0))))
-    area = lambda x, y: ((x["z"] - x["a"]) * (y["z"] - y["a"])).cast("long")
-    total = F.aggregate("ys", F.lit(0).cast("long"), lambda s, y: s + F.aggregate("xs", F.lit(0).cast("long"), lambda t, x: t + area(x, y) * most(x, y)))
-    return per.select("image_id", "label", total.alias("weight"))
+    return per.select("image_id", "label", stacks.largest_weights(F.col("b")).alias("weight"))
 
 
 def map_scalar_of_boxes(boxes: DataFrame, alpha: float, other: float, grid: int = 64) -> DataFrame:
