@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import stacks
 from quillstone.functions.geometry import box, compatible, iou
 
 
@@ -40,7 +41,7 @@ def image_sides(gt: DataFrame, pred: DataFrame, *extra: str) -> DataFrame:
     corners = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
     side = lambda df, idx, k: df.select("image_id", F.lit(k).alias("side"), F.struct(F.col(idx).cast("long").alias("idx"), *corners, F.col("label").cast("string").alias("label"), *[F.col(c).cast("double").alias(c) for c in extra]).alias("box"))
     both = side(gt, "gt_idx", 0).unionByName(side(pred, "pred_idx", 1))
-    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("box"))))
+    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("box"))))
     return both.groupBy("image_id").agg(of(0).alias("gt"), of(1).alias("pred"))
 
 
@@ -60,15 +61,16 @@ def greedy(pairs: Column) -> Column:
 
 def matched_boxes(gt: DataFrame, pred: DataFrame, least: float, *extra: str, labels: bool = True, eps: float | None = None) -> DataFrame:
     """(image_id, iou, p, g): greedy matches with both boxes as structs; eps is that of geometry.iou."""
-    sides = image_sides(gt, pred, *extra)
-    return sides.select("image_id", F.explode(greedy(pairs_of(F.col("gt"), F.col("pred"), least, labels, eps))).alias("m")).select("image_id", "m.iou", "m.p", "m.g")
+    sides = image_sides(gt, pred, *extra).withColumn("m", stacks.greedy_places(F.col("gt"), F.col("pred"), least, labels, eps))
+    both = F.transform("m", lambda m: F.struct(m["iou"].alias("iou"), F.get("pred", m["p"]).alias("p"), F.get("gt", m["g"]).alias("g")))
+    return sides.select("image_id", F.explode(both).alias("m")).select("image_id", "m.iou", "m.p", "m.g")
 
 
 def image_outcomes(gt: DataFrame, pred: DataFrame, least: float, labels: bool = True) -> DataFrame:
     """(image_id, outcome, label): tp and fn by the true label, fp by the predicted one; matches never leave their image's row."""
-    sides = image_sides(gt, pred).withColumn("m", greedy(pairs_of(F.col("gt"), F.col("pred"), least, labels)))
-    told = lambda side, hit, miss: F.transform(side, lambda b: F.struct(F.when(F.exists("m", lambda m: m["g" if hit else "p"]["idx"] == b["idx"]), F.lit(hit)).otherwise(F.lit(miss)).alias("outcome"), b["label"].alias("label")))
-    both = F.concat(told(F.col("gt"), "tp", "fn"), F.filter(told(F.col("pred"), None, "fp"), lambda o: o["outcome"].isNotNull()))
+    sides = image_sides(gt, pred).withColumn("m", stacks.greedy_places(F.col("gt"), F.col("pred"), least, labels))
+    told = lambda side, k, hit, miss: F.transform(side, lambda b, i: F.struct(F.when(F.array_contains(F.col("m")[k], i), F.lit(hit)).otherwise(F.lit(miss)).alias("outcome"), b["label"].alias("label")))
+    both = F.concat(told("gt", "g", "tp", "fn"), F.filter(told("pred", "p", None, "fp"), lambda o: o["outcome"].isNotNull()))
     return sides.select("image_id", F.explode(both).alias("o")).select("image_id", "o.outcome", "o.label")
 
 
