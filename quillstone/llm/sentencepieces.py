@@ -15,6 +15,7 @@ batch by batch, with the sentencepiece library, ids and decoded text alike; a di
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import heapq
 import re
@@ -38,7 +39,8 @@ TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 300, 2_000_000
 LONGEST_HELD = 64
 #: Chunks of more characters are merged with a heap.
 LONGEST_ARRAY = 48
-NONE = np.iinfo("i8").max
+#: The rank of a pair that is not in the vocabulary; positions are added to ranks.
+NONE = 1 << 62
 #: Stands for every character that the vocabulary lacks.
 LACKING = (1 << 20) - 1
 
@@ -90,10 +92,14 @@ class MergeEncoder:
 
     def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the merged pairs, -1 where the vocabulary lacks them."""
-        keys = left << 20 | right
+        keys = left.astype("i8") << 20 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ids[at], -1)
 
+    def _rank(self, merged: np.ndarray) -> np.ndarray:
+        """Places of merged ids in the order of scores, in the upper bits; NONE where there is none."""
+        return np.where(merged >= 0, self.place[np.maximum(merged, 0)] << 32, NONE)
+
     def _spelt(self, text: str) -> list[int]:
         """Ids of a symbol that is not in the vocabulary: its bytes, or the unknown piece."""
         return [self.byte_id[b] for b in text.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
@@ -158,42 +164,42 @@ class MergeEncoder:
             return []
         text = "".join(chunks)
         size = np.array([len(c) for c in chunks])
-        symbol = self.of_char[np.frombuffer(text.encode("utf-32-le"), "<u4")].astype("i8")
-        width = np.ones(len(text), "i8")
-        own = np.repeat(np.arange(len(chunks)), size)
-        start = np.arange(len(text))
+        symbol = self.of_char[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        start = np.arange(len(text), dtype="i4")
         done: list[tuple] = []
-        new = np.full(len(text), -1)
-        new[:-1] = np.where(own[:-1] == own[1:], self._merged(symbol[:-1], symbol[1:]), -1)
-        while len(own):
-            entry = np.where(new >= 0, (self.place[np.maximum(new, 0)] << 32) + np.arange(len(new)), NONE)
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            best = np.minimum.reduceat(entry, first)
-            over = best == NONE
+        # of each symbol with its right neighbour in the chunk: the merged id, and its place in the order of scores
+        new = np.full(len(text), -1, "i4")
+        new[:-1] = self._merged(symbol[:-1], symbol[1:])
+        new[np.cumsum(size) - 1] = -1
+        rank = self._rank(new)
+        left = size  # symbols of each chunk that is not finished; one goes in each round
+        while True:
+            best = np.minimum.reduceat(rank + np.arange(len(rank)), np.cumsum(left) - left)
+            over = best >= NONE
             if over.any():  # chunks with an empty agenda are finished
-                gone = np.repeat(over, np.diff(np.r_[first, len(own)]))
-                done.append((start[gone], symbol[gone], width[gone]))
-                stay = ~gone
-                own, start, symbol, width, new = own[stay], start[stay], symbol[stay], width[stay], new[stay]
-                if not len(own):
+                gone = np.repeat(over, left)
+                done.append((start[gone], symbol[gone]))
+                stay, best, left = ~gone, best[~over], left[~over]
+                if not len(left):
                     break
-                best = best[~over]
-                shift = np.cumsum(gone)
-                at = (best & 0xFFFFFFFF) - shift[best & 0xFFFFFFFF]
             else:
-                at = best & 0xFFFFFFFF
+                stay = np.ones(len(rank), bool)
+            at = best & 0xFFFFFFFF
             symbol[at] = new[at]
-            width[at] += width[at + 1]
-            stay = np.ones(len(own), bool)
             stay[at + 1] = False
-            at = at - np.arange(len(at))  # one symbol before each has gone with each earlier chunk
-            own, start, symbol, width, new = own[stay], start[stay], symbol[stay], width[stay], new[stay]
-            for i in (at, at[at > 0] - 1):
-                j = np.minimum(i + 1, len(own) - 1)
-                new[i] = np.where((own[i] == own[j]) & (i != j), self._merged(symbol[i], symbol[j]), -1)
-        start, symbol, width = (np.concatenate(x) for x in zip(*done, strict=True))
+            at = np.cumsum(stay, dtype="i4")[at] - 1
+            start, symbol, new, rank = start[stay], symbol[stay], new[stay], rank[stay]
+            left = left - 1
+            last = np.cumsum(left) - 1
+            ends_chunk = at == last
+            new[at[ends_chunk]], rank[at[ends_chunk]] = -1, NONE
+            i = np.concatenate([at[~ends_chunk], at[at > last - left + 1] - 1])
+            new[i] = made = self._merged(symbol[i], symbol[i + 1])
+            rank[i] = self._rank(made)
+        start, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(start)
-        start, symbol, width = start[order], symbol[order], width[order]
+        start, symbol = start[order], symbol[order]
+        width = np.diff(start, append=len(text))
         ends = np.searchsorted(start, np.cumsum(size)).tolist()
         ids = symbol.tolist()
         odd = np.flatnonzero(symbol >= len(self.pieces)).tolist()  # not in the vocabulary: bytes, or unknown
@@ -297,17 +303,21 @@ def _groups(texts: list[str | None]) -> Iterator[list[str]]:
 def _encode(model_path: str, whole: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(model_path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            done = []
-            for some in _groups(texts):
-                done += coder.encode_batch(some)
-            if whole:
-                ids = pa.array([[int(x) for x in d[1].split(",")] if d[1] else [] for d in done], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([d[2] for d in done], pa.string())], ["doc_id", "ids", "decoded"])
-            else:
-                sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.int64()), pa.array([sha(d[1]) for d in done]), pa.array([sha(d[2]) for d in done])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        gc.disable()  # ids are many small lists without cycles, which it would walk again and again
+        try:
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                done = []
+                for some in _groups(texts):
+                    done += coder.encode_batch(some)
+                if whole:
+                    ids = pa.array([[int(x) for x in d[1].split(",")] if d[1] else [] for d in done], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([d[2] for d in done], pa.string())], ["doc_id", "ids", "decoded"])
+                else:
+                    sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.int64()), pa.array([sha(d[1]) for d in done]), pa.array([sha(d[2]) for d in done])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()
         coder.age()  # the worker goes on to other tasks with one generation
 
     return encode
