@@ -39,8 +39,9 @@ from quillstone.llm.components import components as connected
 WORDS = 5
 #: Values of l that a document chooses from, and the cost of a prefix row in candidates.
 MATCHES, ROW_COST = (1, 2, 3, 4, 6, 8), 1.0
-#: 64-bit words of a parity bitmap.
-PARITY_WORDS = 8
+#: 64-bit words of a parity bitmap: those of sets that differ in d shingles differ in about 1024 * (1 - exp(-d / 1024)) of
+#: 2,048 bits, so that few pairs that differ a little too much (linked ones: by a seventh of both sizes at most) get through.
+PARITY_WORDS = 32
 #: Nodes of the sample that frequent shingles are known from, about, and in how many of them such a shingle is.
 SAMPLE_NODES, HOT_IN_SAMPLE = 4_000, 8
 #: Documents of a shingle for each task that its bucket is dealt out over.
@@ -283,8 +284,9 @@ def _stand_ins(rows: DataFrame) -> DataFrame:
     return one.drop("n").join(dense.hint("merge"), "token", "left_semi")
 
 
-def _met(rest: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows of different components in one bucket that may be similar, with their components, sizes and places."""
+    rest = rows.join(maps.hint("merge"), "key")
     x = rest.where("place < size - ceil(6 * size / 7.0) + least").alias("x")
     y = rest.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y").hint("merge")
     need = F.expr("ceil(3 * (x.size + y.size) / 7.0)")
@@ -318,13 +320,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = stored(of, "placed")
 
     # pairs from different components, in buckets that have several: first only of keys that stand for their components
-    rest = stored(_mixed(of).join(maps.hint("merge"), "key"), "mixed")
+    rest = stored(_mixed(of), "mixed")
     few = stored(_stand_ins(rest), "few")
     if not few.isEmpty():
-        star = stored(star.unionAll(verified(_closest(_met(few)), sets)), "joined")
+        star = stored(star.unionAll(verified(_closest(_met(few, maps)), sets)), "joined")
         rest = stored(spread_join(rest.drop("component"), _named(star), "key", "left").withColumn("component", F.coalesce("component", "key")), "placed-again")
         rest = stored(_mixed(rest), "mixed-again")
-    met = _met(rest)
+    met = _met(rest, maps)
     one = [F.first(c).alias(c) for c in ("least", "need", "ca", "cb", "sa", "sb", "differ")]  # the same in all rows of a pair
     again = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("at").alias("at"), *one).where("n >= least and at.room >= need")
     again = stored(again.select("a", "b", "ca", "cb", "sa", "sb", "differ"), "candidates")

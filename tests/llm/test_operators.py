@@ -192,6 +192,30 @@ def test_jaccard_common_passage_repeated_ids_and_clashing_names(spark):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 4}
 
 
+def test_jaccard_pairs_that_differ_a_little_too_much_are_few(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for n in [*[15] * 160, *range(5)]:  # 15 changes each: alike, but not enough; and a group of copies
+        w = list(base)
+        for k in rng.sample(range(400), n):
+            w[k] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows, met = [], ngram_join._met
+
+    def counted(*args):
+        out = met(*args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_met", counted)
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(ngram_join.components(frame(spark, texts))).items()}
+    assert got == plain_components(dict(enumerate(texts)))
+    assert sum(rows) < 20 * len(texts)
+
+
 def test_jaccard_small_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {i: (r.n_shingles, r.component_id) for i, r in by_id(queries.op3_ngram_jaccard(spark, SF)).items()}
